@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from cartulary.llm.quality_rules import op10_quality_rules
+from cartulary.llm.secret_scans import op8_secret_scans
 
 
 def queries() -> dict[str, Callable]:
     import corpus_pipeline
 
     return {
+        "op8_secret_scans": op8_secret_scans,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": corpus_pipeline.run,
     }
