@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,12 @@ def crc_mod(column: Column, divisor: int) -> Column:
 def words(text: Column) -> Column:
     """The words of a text, parted by SPACE_CLASS; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
+
+
+def with_columns(batch: pa.RecordBatch, keep: list[str], added: dict, types: dict | None = None) -> pa.RecordBatch:
+    """The ``keep`` columns of an Arrow batch as they are, then the ``added`` ones; Python ints and arrays become long."""
+    arrays = [batch.column(k) for k in keep]
+    for name, values in added.items():
+        kind = (types or {}).get(name)
+        arrays.append(values if isinstance(values, pa.Array) else pa.array(values, type=kind or (pa.int64() if isinstance(values, list) else None)))
+    return pa.RecordBatch.from_arrays(arrays, names=[*keep, *added])
