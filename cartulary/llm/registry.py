@@ -7,6 +7,7 @@ from collections.abc import Callable
 from cartulary.llm.packing import op1_packing
 from cartulary.llm.quality_rules import op10_quality_rules
 from cartulary.llm.secret_scans import op8_secret_scans
+from cartulary.llm.sentence_pieces import op3_sentence_pieces
 
 
 def queries() -> dict[str, Callable]:
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable]:
 
     return {
         "op1_packing": op1_packing,
+        "op3_sentence_pieces": op3_sentence_pieces,
         "op8_secret_scans": op8_secret_scans,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": corpus_pipeline.run,
