@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from cartulary.llm.language_id import op4_language_id
 from cartulary.llm.packing import op1_packing
 from cartulary.llm.quality_rules import op10_quality_rules
 from cartulary.llm.secret_scans import op8_secret_scans
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable]:
     return {
         "op1_packing": op1_packing,
         "op3_sentence_pieces": op3_sentence_pieces,
+        "op4_language_id": op4_language_id,
         "op8_secret_scans": op8_secret_scans,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": corpus_pipeline.run,
