@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from cartulary.llm.language_id import op4_language_id
 from cartulary.llm.packing import op1_packing
+from cartulary.llm.passage_quality import op9_passage_quality
 from cartulary.llm.quality_rules import op10_quality_rules
 from cartulary.llm.secret_scans import op8_secret_scans
 from cartulary.llm.sentence_pieces import op3_sentence_pieces
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable]:
         "op3_sentence_pieces": op3_sentence_pieces,
         "op4_language_id": op4_language_id,
         "op8_secret_scans": op8_secret_scans,
+        "op9_passage_quality": op9_passage_quality,
         "op10_quality_rules": op10_quality_rules,
         "pipeline": corpus_pipeline.run,
     }

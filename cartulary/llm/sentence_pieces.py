@@ -203,6 +203,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", end_id: int | None =
     A null text counts as empty. Repeated rows are encoded each. Columns named as added ones are replaced.
     """
     kept = docs.drop("ids", "begins", "ends")
+    names = kept.columns
 
     def run(batches):
         m = model(path)
@@ -217,7 +218,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", end_id: int | None =
                 out["ids"].append([*ids.tolist(), *([] if end_id is None else [end_id])])
                 out["begins"].append([*begins.tolist(), *tail])
                 out["ends"].append([*ends.tolist(), *tail])
-            yield with_columns(batch, kept.columns, out, dict.fromkeys(out, pa.list_(pa.int64())))
+            yield with_columns(batch, names, out, dict.fromkeys(out, pa.list_(pa.int64())))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "ids array<long>, begins array<long>, ends array<long>"])
     return kept.mapInArrow(run, schema)
@@ -226,12 +227,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", end_id: int | None =
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded``, the text of an array of ids; null for null."""
     kept = df.drop("decoded")
+    names = kept.columns
 
     def run(batches):
         m = model(path)
         for batch in batches:
             texts = [None if x is None else m.library.decode(x) for x in batch.column(ids).to_pylist()]
-            yield with_columns(batch, kept.columns, {"decoded": pa.array(texts, pa.string())})
+            yield with_columns(batch, names, {"decoded": pa.array(texts, pa.string())})
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "decoded string"])
     return kept.mapInArrow(run, schema)
