@@ -10,6 +10,7 @@ from cartulary.llm.passage_quality import op9_passage_quality
 from cartulary.llm.quality_rules import op10_quality_rules
 from cartulary.llm.secret_scans import op8_secret_scans
 from cartulary.llm.sentence_pieces import op3_sentence_pieces
+from cartulary.llm.syncmers import op5_syncmers
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable]:
         "op1_packing": op1_packing,
         "op3_sentence_pieces": op3_sentence_pieces,
         "op4_language_id": op4_language_id,
+        "op5_syncmers": op5_syncmers,
         "op8_secret_scans": op8_secret_scans,
         "op9_passage_quality": op9_passage_quality,
         "op10_quality_rules": op10_quality_rules,
