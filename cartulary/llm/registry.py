@@ -7,6 +7,7 @@ from collections.abc import Callable
 from cartulary.llm.language_id import op4_language_id
 from cartulary.llm.packing import op1_packing
 from cartulary.llm.passage_quality import op9_passage_quality
+from cartulary.llm.pseudonyms import op2_pseudonyms
 from cartulary.llm.quality_rules import op10_quality_rules
 from cartulary.llm.secret_scans import op8_secret_scans
 from cartulary.llm.sentence_pieces import op3_sentence_pieces
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable]:
 
     return {
         "op1_packing": op1_packing,
+        "op2_pseudonyms": op2_pseudonyms,
         "op3_sentence_pieces": op3_sentence_pieces,
         "op4_language_id": op4_language_id,
         "op5_syncmers": op5_syncmers,
