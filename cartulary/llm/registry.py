@@ -11,6 +11,7 @@ from cartulary.llm.pseudonyms import op2_pseudonyms
 from cartulary.llm.quality_rules import op10_quality_rules
 from cartulary.llm.secret_scans import op8_secret_scans
 from cartulary.llm.sentence_pieces import op3_sentence_pieces
+from cartulary.llm.shingle_join import op6_shingle_join
 from cartulary.llm.syncmers import op5_syncmers
 
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable]:
         "op3_sentence_pieces": op3_sentence_pieces,
         "op4_language_id": op4_language_id,
         "op5_syncmers": op5_syncmers,
+        "op6_shingle_join": op6_shingle_join,
         "op8_secret_scans": op8_secret_scans,
         "op9_passage_quality": op9_passage_quality,
         "op10_quality_rules": op10_quality_rules,
