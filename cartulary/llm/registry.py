@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from cartulary.llm.language_id import op4_language_id
+from cartulary.llm.line_dedup import op7_line_dedup
 from cartulary.llm.packing import op1_packing
 from cartulary.llm.passage_quality import op9_passage_quality
 from cartulary.llm.pseudonyms import op2_pseudonyms
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable]:
         "op4_language_id": op4_language_id,
         "op5_syncmers": op5_syncmers,
         "op6_shingle_join": op6_shingle_join,
+        "op7_line_dedup": op7_line_dedup,
         "op8_secret_scans": op8_secret_scans,
         "op9_passage_quality": op9_passage_quality,
         "op10_quality_rules": op10_quality_rules,

@@ -16,8 +16,9 @@ compared there). Candidates pass a bound on their size and on the distance of th
 true difference) and are then verified on their full sets.
 
 Copies collapse first: sets are vertices by 128-bit identity. Among sets that share a signature, each is first compared
-with the first of them only. Pairs of different components are then compared throughout, so no link between components
-is missed, and a group of a thousand near copies costs a thousand comparisons rather than half a million.
+with two pivots only, those of the lowest and the highest component, in a few rounds. Pairs of different components are
+then compared throughout, so no link between components is missed, and a group of a thousand near copies costs a few
+thousand comparisons rather than half a million.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def allotted(index: int, low: int, high: int, percent: int, n_sets: int) -> Band
     parts = most // 2 + 1
     cost_deletion = high + parts + n_sets * parts * (1 + 2 * high / parts) * SHARED ** (high / parts)
     deletion = cost_deletion < cost_exact
-    bits = 64 * max(2, -(-4 * most // 64))
+    bits = 64 * max(2, -(-16 * most // 64))
     return Band(index, low, high, most, deletion, parts if deletion else exact, parts if deletion else most + 1, bits)
 
 
@@ -279,6 +280,24 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return roots
 
 
+#: What a candidate side carries beside its signature, and how often pivots are tried before all pairs are.
+PARTS = ("root", "uid", "home", "n", "bits")
+STAR_ROUNDS = 2
+
+
+def _mixed_signs(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows of signatures that still lie in several components, with their roots."""
+    if roots is None:
+        return members.withColumn("root", F.col("uid"))
+    rooted = members.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    mixed_signs = rooted.groupBy("sign").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high")
+    return rooted.join(mixed_signs.select("sign"), "sign", "left_semi").select(*members.columns, "root")
+
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("sign", *[F.col(c).alias(f"{c}_{name}") for c in (*PARTS, "whole")])
+
+
 def linked(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -298,44 +317,42 @@ def linked(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80)
     rows = ones.select("uid", F.explode("signs").alias("_s")).select(
         F.shiftright("_s", 2).alias("sign"), "uid", F.col("_s").bitwiseAND(2).cast("boolean").alias("whole"), F.col("_s").bitwiseAND(1).cast("boolean").alias("home")
     )
-    w = Window.partitionBy("sign").orderBy(F.col("whole").desc(), F.col("home").desc(), "uid")
-    # The pivot is the first row of a signature: whole, at home if any is. A set can sign whole and shortened alike.
-    placed = rows.withColumns({"pivot": F.first("uid").over(w), "pivot_whole": F.first("whole").over(w), "after": F.lead("uid").over(w), "k": F.row_number().over(w)})
-    shared = scratch.write(
-        placed.where("pivot_whole and (k > 1 or after is not null)").select("sign", "uid", "whole", "home", "pivot")
-    )
+    # Whole rows first: a signature whose first row is not whole, or that has one row, joins nothing.
+    w = Window.partitionBy("sign").orderBy(F.col("whole").desc(), "uid")
+    placed = rows.withColumns({"_whole": F.first("whole").over(w), "_next": F.lead("uid").over(w), "_k": F.row_number().over(w)})
+    shared = scratch.write(placed.where("_whole and (_k > 1 or _next is not null)").select("sign", "uid", "whole", "home"))
     bitmaps = ones.select("uid", "n_shingles", "at_home", "as_guest").join(shared.select("uid").distinct(), "uid", "left_semi")
     bitmaps = scratch.write(bitmaps)
     members = scratch.write(
         shared.join(bitmaps, "uid").select(
-            "sign", "uid", "whole", "home", "pivot", F.col("n_shingles").alias("n"), F.when(F.col("home"), F.col("at_home")).otherwise(F.col("as_guest")).alias("bits")
+            "sign", "uid", "whole", "home", F.col("n_shingles").alias("n"), F.when(F.col("home"), F.col("at_home")).otherwise(F.col("as_guest")).alias("bits")
         )
     )
     scratch.drop(shared, bitmaps)
 
-    def side(name: str) -> DataFrame:  # the rows of a signature
-        return members.select("sign", *[F.col(c).alias(f"{c}_{name}") for c in ("uid", "whole", "home", "n", "bits")])
-
     possible = may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
-    # First round: every set with the first pivot that it may link to.
-    pivots = members.where("uid = pivot and whole").groupBy("sign").agg(*[F.first(c).alias(f"{c}_a") for c in ("uid", "home", "n", "bits")])
-    met = (F.col("uid_a") != F.col("uid_b")) & (F.col("home_a") | F.col("home_b"))
-    first = pivots.join(side("b"), "sign").where(met & possible)
-    stars = scratch.write(first.groupBy(F.col("uid_b").alias("b")).agg(F.min("uid_a").alias("a")).select("a", "b"))
-    links = verified(stars, docs, sets, width, percent, scratch)
-    roots = components(links, scratch)
-
-    # Second round: within a signature, all pairs of different components.
-    rooted = members.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    split = rooted.groupBy("sign").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("sign")
-    rest = scratch.write(rooted.join(split, "sign", "left_semi").select("sign", "uid", "whole", "home", "n", "bits", "root"))
-    a, b = (rest.select("sign", *[F.col(c).alias(f"{c}_{name}") for c in ("uid", "whole", "home", "n", "bits", "root")]) for name in "ab")
+    home = F.col("home_a") | F.col("home_b")
+    links = roots = None
+    for turn in range(STAR_ROUNDS):
+        pick = F.max if turn % 2 else F.min  # another pivot each time, should one fail
+        mixed_now = scratch.write(_mixed_signs(members, roots))
+        whole = mixed_now.where("whole").select("sign", F.struct("root", "uid", "home", "n", "bits").alias("p"))
+        ends = whole.groupBy("sign").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+        pivots = ends.select("sign", F.explode(F.array("low", "high")).alias("p")).select("sign", *[F.col(f"p.{c}").alias(f"{c}_a") for c in PARTS])
+        met = pivots.join(_side(mixed_now, "b"), "sign").where((F.col("root_a") != F.col("root_b")) & home & possible)
+        stars = scratch.write(met.groupBy(F.col("uid_b").alias("b")).agg(pick("uid_a").alias("a")).select("a", "b"))
+        found = verified(stars, docs, sets, width, percent, scratch)
+        links = found if links is None else links.union(found)
+        roots = components(links, scratch)
+        scratch.drop(mixed_now)
+
+    # Within a signature, all pairs of components that are still apart.
+    rest = scratch.write(_mixed_signs(members, roots))
+    a, b = _side(rest, "a"), _side(rest, "b")
     apart = (F.col("uid_a") < F.col("uid_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("whole_a") | F.col("whole_b"))
-    pairs = a.join(b, (a["sign"] == b["sign"]) & apart & (F.col("home_a") | F.col("home_b")) & possible)
-    pairs = pairs.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct()
-    pairs = scratch.write(pairs.join(stars, ["a", "b"], "left_anti"))
-    more = verified(pairs, docs, sets, width, percent, scratch)
-    final = components(links.union(more), scratch)
+    pairs = a.join(b, (a["sign"] == b["sign"]) & apart & home & possible)
+    pairs = scratch.write(pairs.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct())
+    final = components(links.union(verified(pairs, docs, sets, width, percent, scratch)), scratch)
 
     joined = vertices.join(final.withColumnRenamed("root", "component").withColumnRenamed("uid", "root"), "root", "left")
     joined = joined.withColumn("component", F.coalesce("component", "root"))
