@@ -24,6 +24,17 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """The batch in runs of rows with at most ``most`` bytes of text each (a longer text is a run of its own), so that
+    arrays of numbers for every byte stay small."""
+    starts = buffer(batch.column(column))[1]
+    a = 0
+    while a < batch.num_rows:
+        b = max(int(np.searchsorted(starts, starts[a] + most, side="right")) - 1, a + 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def buckets(raw: np.ndarray, starts: np.ndarray, n_buckets: int, fold: bool = True) -> np.ndarray:
     """The bucket of the trigram that starts at each byte; a blank stands before and behind every text.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.llm.byte_grams import buffer
+from cartulary.llm.byte_grams import buffer, slices
 from cartulary.llm.shared import Scratch, table, with_columns
 
 _U = np.uint64
@@ -185,7 +185,7 @@ def signed(docs: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
     bands = [allotted(i, int(limits[i - 1]) + 1, int(limits[i]), percent, n_docs // 10) for i in range(1, len(limits))]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             out = {k: [] for k in ("n_shingles", "i1", "i2", "signs", "at_home", "as_guest")}
             for x in shingle_sets(*buffer(batch.column("text")), width):
                 n = len(x)
@@ -231,7 +231,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, per
     some = texts.join(own, F.col("_id").eqNullSafe(F.col("_own")), "left_semi")
 
     def make(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             found = shingle_sets(*buffer(batch.column("text")), width)
             ids = [identity(x) for x in found]
             out = {"n_shingles": [len(x) for x in found], "i1": [i[0] for i in ids], "i2": [i[1] for i in ids], "members": [x.tobytes() for x in found]}
