@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    return []
+    from cartulary.plans import crosswalk
+
+    return [crosswalk]
 
 
 def queries() -> dict[str, Callable]:
