@@ -41,7 +41,8 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 def pattern_items(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
     """(doc_id, pattern, pos, id, text): lines that match the first pattern with at least ``least`` matching lines."""
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), trim_all), lambda x: x != "")
-    matching = [F.struct(F.lit(i).alias("pattern"), F.filter(lines, lambda x, p=p: x.rlike(p)).alias("lines")) for i, p in enumerate(LINE_PATTERNS)]
+    fits = lambda p: lambda x: x.rlike(p)
+    matching = [F.struct(F.lit(i).alias("pattern"), F.filter(lines, fits(p)).alias("lines")) for i, p in enumerate(LINE_PATTERNS)]
     first = F.get(F.filter(F.array(*matching), lambda x: F.size(x["lines"]) >= least), F.lit(0))
     found = docs.select("doc_id", first.alias("m")).where("m is not null").select("doc_id", "m.pattern", F.posexplode("m.lines").alias("pos", "text"))
     name = F.lit(None).cast("string")

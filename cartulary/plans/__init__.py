@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from cartulary.plans import crosswalk
+    from cartulary.plans import crosswalk, facts, texts
 
-    return [crosswalk]
+    return [crosswalk, facts, texts]
 
 
 def queries() -> dict[str, Callable]:
