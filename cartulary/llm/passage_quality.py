@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.byte_grams import buckets, buffer
+from cartulary.llm.byte_grams import buckets, buffer, slices
 from cartulary.llm.shared import crc_mod, table, with_columns
 
 MOST_ROWS = 4000
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Att
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_place", "_label", "text")  # most_rows at most
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             raw, starts = buffer(batch.column("text"))
             e, text = encode(raw, starts)
             ends = np.searchsorted(text, np.arange(len(starts)))
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Attention | float, threshold: float = THRESHOL
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             m = shared.value
             raw, starts = buffer(batch.column("text"))
             p = np.full(len(starts) - 1, m) if isinstance(m, float) else m.score(*encode(raw, starts))
