@@ -154,7 +154,7 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     """
     gone = scratch.write(deletions(scratch.write(lines_of(docs)), scratch, min_words))  # cut: the texts are read again
     kept = docs.drop("n_lines", "n_deleted", "deleted").withColumn("_key", F.xxhash64("doc_id", "text"))
-    joined = kept.join(gone.withColumnRenamed("key", "_key"), "_key", "left")
+    joined = kept.join(gone.withColumnRenamed("key", "_key").hint("merge"), "_key", "left")  # its size has no bound
     split = F.split("text", "\n")
     left = F.array_join(F.filter(F.col("_split"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     return (
