@@ -15,6 +15,10 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/cartulary"
 
 
+#: Spark's own setting: shuffle files go when the execution that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,9 +42,15 @@ class Scratch:
         self.count = 0
 
     def write(self, df: DataFrame) -> DataFrame:
+        """Writes and reads back; what was shuffled for it is removed as soon as it is written."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before or "false")
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:

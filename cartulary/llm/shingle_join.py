@@ -15,7 +15,7 @@ A set signs in its own band (at home) and, if it is large enough, in the next on
 compared there). Candidates pass a bound on their size and on the distance of their parity bitmaps (never above the
 true difference) and are then verified on their full sets.
 
-Copies collapse first: sets are vertices by 128-bit identity. Among sets that share a signature, each is first compared
+Copies collapse first: sets are vertices by 64-bit identity. Among sets that share a signature, each is first compared
 with two pivots only, those of the lowest and the highest component, in a few rounds. Pairs of different components are
 then compared throughout, so no link between components is missed, and a group of a thousand near copies costs a few
 thousand comparisons rather than half a million.
@@ -111,7 +111,7 @@ class Band:
 
 #: The cost model: a signed row costs 1, and so does a chance meeting. Of two sets in a band a share of ``SHARED``
 #: shingles is taken to be common property (passages that many texts repeat).
-SHARED = 0.45
+SHARED = 0.2
 MOST_BANDS = 400
 
 
@@ -125,7 +125,7 @@ def allotted(index: int, low: int, high: int, percent: int, n_sets: int) -> Band
     parts = most // 2 + 1
     cost_deletion = high + parts + n_sets * parts * (1 + 2 * high / parts) * SHARED ** (high / parts)
     deletion = cost_deletion < cost_exact
-    bits = 64 * max(2, -(-16 * most // 64))
+    bits = 64 * max(2, -(-12 * most // 64))
     return Band(index, low, high, most, deletion, parts if deletion else exact, parts if deletion else most + 1, bits)
 
 
@@ -167,9 +167,11 @@ def parity(x: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def identity(x: np.ndarray) -> tuple[int, int]:
+def identity(x: np.ndarray) -> int:
+    """64 bits of a whole set; of ten billion different sets, two pairs are expected to share one."""
     with np.errstate(over="ignore"):
-        return int(np.sum(mixed(x + _B)).astype(np.int64)), int(np.sum(mixed(x ^ _A)).astype(np.int64))
+        one, two = np.sum(mixed(x + _B)), np.sum(mixed(x ^ _A))
+        return int(mixed(np.array([one * _A + two + _U(len(x))], np.uint64)).view(np.int64)[0])
 
 
 @lru_cache(maxsize=8)
@@ -177,86 +179,129 @@ def _limits(percent: int) -> np.ndarray:
     return np.array(band_limits(percent), np.int64)
 
 
-def signed(docs: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
-    """uid (unique), doc_id, n_shingles, the set's identity, its signatures, its bitmaps at home and as a guest."""
-    limits = _limits(percent)
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles and uid, the 64-bit identity of the set; equal sets have equal ones."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # A band is taken to hold a tenth of all sets; only costs depend on it.
-    bands = [allotted(i, int(limits[i - 1]) + 1, int(limits[i]), percent, n_docs // 10) for i in range(1, len(limits))]
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            out = {k: [] for k in ("n_shingles", "i1", "i2", "signs", "at_home", "as_guest")}
+            sets = shingle_sets(*buffer(batch.column("text")), width)
+            yield with_columns(batch, ["doc_id"], {"n_shingles": [len(x) for x in sets], "uid": [identity(x) for x in sets]})
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, uid long")
+
+
+def _bands(percent: int, n_docs: int) -> list[Band]:
+    """A band is taken to hold a tenth of all sets; only costs depend on it."""
+    limits = _limits(percent)
+    return [allotted(i, int(limits[i - 1]) + 1, int(limits[i]), percent, n_docs // 10) for i in range(1, len(limits))]
+
+
+def _own_bands(n: int, percent: int, bands: list[Band]) -> tuple[Band | None, Band | None]:
+    """Where a set of ``n`` shingles signs: at home and as a guest."""
+    limits = _limits(percent)
+    at = int(np.searchsorted(limits, n))
+    return bands[at - 1] if at > 0 else None, bands[at] if 100 * n >= percent * (int(limits[at]) + 1) else None
+
+
+#: A task signs for a set once, as far as it remembers; copies that other tasks signed meet again behind the shuffle.
+REMEMBERED = 500_000
+
+
+def signed(docs: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
+    """(sign, uid, flags) of every set: flags has 2 for a whole segment and 1 for a set at home."""
+    bands = _bands(percent, n_docs)
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            signs, uids, sizes = [], [], []
             for x in shingle_sets(*buffer(batch.column("text")), width):
-                n = len(x)
-                signs, home, guest = [], None, None
-                if n:
-                    at = int(np.searchsorted(limits, n))
-                    if at > 0:
-                        signs += signatures(x, bands[at - 1], True)
-                        home = parity(x, bands[at - 1].bits)
-                    if 100 * n >= percent * (int(limits[at]) + 1):
-                        signs += signatures(x, bands[at], False)
-                        guest = parity(x, bands[at].bits)
-                i1, i2 = identity(x)
-                row = n, i1, i2, np.concatenate(signs).view(np.int64) if signs else [], home, guest
-                for column, value in zip(out.values(), row, strict=True):
-                    column.append(value)
-            lists = pa.list_(pa.int64())
-            yield with_columns(batch, ["uid", "doc_id"], out, dict.fromkeys(("signs", "at_home", "as_guest"), lists))
+                uid = identity(x)
+                if not len(x) or uid in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(uid)
+                home, guest = _own_bands(len(x), percent, bands)
+                own = [*(signatures(x, home, True) if home else []), *(signatures(x, guest, False) if guest else [])]
+                signs += own
+                uids.append(uid)
+                sizes.append(sum(map(len, own)))
+            all_signs = np.concatenate(signs).view(np.int64) if signs else np.empty(0, np.int64)
+            out = {"sign": all_signs >> 2, "uid": np.repeat(np.array(uids, np.int64), np.array(sizes, np.int64)), "flags": (all_signs & 3).astype(np.int8)}
+            yield with_columns(batch, [], out)
+
+    return docs.select("text").mapInArrow(run, "sign long, uid long, flags byte")
+
+
+SKETCH = ("k0", "k1", "k2", "k3")
 
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(
-        run,
-        f"uid long, doc_id {kind}, n_shingles long, i1 long, i2 long, signs array<long>, at_home array<long>, as_guest array<long>",
-    )
 
+def _most(n_a: Column, n_b: Column, percent: int) -> Column:
+    return n_a + n_b - 2 * F.ceil(F.lit(percent) * (n_a + n_b) / F.lit(100 + percent))
 
-def may_link(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column, percent: int) -> Column:
-    """Whether sizes and bitmaps leave room for a link; bitmaps never differ in more bits than sets in shingles."""
-    total = n_a + n_b
-    most = total - 2 * F.ceil(F.lit(percent) * total / F.lit(100 + percent))
-    apart = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (apart <= most)
 
+def may_link(percent: int) -> Column:
+    """Whether sizes and 256-bit bitmaps (n, k0 to k3; _a and _b) leave room for a link: bitmaps never differ in more
+    bits than sets in shingles."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    apart = sum((F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH), F.lit(0))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (apart <= _most(n_a, n_b, percent))
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of uids that link, by their full sets.
 
-    The sets are made again from the texts of the documents concerned; a set finds its uid by its identity.
+def closer(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, home_a, home_b) those (a, b) that the bitmaps of their band leave room for."""
+    out = pairs
+    for side in "ab":
+        own = sets.select(F.col("uid").alias(side), F.col("n").alias(f"n_{side}"), F.col("at_home").alias(f"h_{side}"), F.col("as_guest").alias(f"g_{side}"))
+        out = out.join(own, side).withColumn(f"bits_{side}", F.when(F.col(f"home_{side}"), F.col(f"h_{side}")).otherwise(F.col(f"g_{side}"))).drop(f"h_{side}", f"g_{side}")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return out.where(apart <= _most(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+
+
+def fetched(docs: DataFrame, vertices: DataFrame, wanted: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
+    """(uid, n, k0 to k3, at_home, as_guest, members) of the wanted sets, made again from one document of each; k is a
+    parity bitmap of 256 bits, the other bitmaps have the sizes of their bands.
+
+    The texts are shuffled once, whatever the number of rounds that compare sets afterwards.
     """
-    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    concerned = scratch.write(sets.select("uid", "doc_id", "n_shingles", "i1", "i2").join(wanted, "uid"))
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    own = concerned.select(F.col("doc_id").alias("_own")).distinct()
-    some = texts.join(own, F.col("_id").eqNullSafe(F.col("_own")), "left_semi")
+    bands = _bands(percent, n_docs)
+    concerned = vertices.join(wanted, "uid")
+    own = concerned.select(F.col("first").alias("_own")).distinct().hint("merge")
+    some = docs.select(F.col("doc_id").alias("_id"), "text").join(own, F.col("_id").eqNullSafe(F.col("_own")), "left_semi")
 
     def make(batches):
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            found = shingle_sets(*buffer(batch.column("text")), width)
-            ids = [identity(x) for x in found]
-            out = {"n_shingles": [len(x) for x in found], "i1": [i[0] for i in ids], "i2": [i[1] for i in ids], "members": [x.tobytes() for x in found]}
-            yield with_columns(batch, [], out, {"members": pa.binary()})
-
-    same = ["n_shingles", "i1", "i2"]
-    made = some.select("text").mapInArrow(make, "n_shingles long, i1 long, i2 long, members binary")
-    made = made.groupBy(*same).agg(F.first("members").alias("members"))  # repeated rows have one doc_id
-    members = scratch.write(made.join(concerned.select("uid", *same), same).select("uid", "members"))
-    sides = pairs.join(members.select(F.col("uid").alias("a"), F.col("members").alias("of_a")), "a").join(
-        members.select(F.col("uid").alias("b"), F.col("members").alias("of_b")), "b"
-    )
+            out = {k: [] for k in ("uid", "n", *SKETCH, "at_home", "as_guest", "members")}
+            for x in shingle_sets(*buffer(batch.column("text")), width):
+                home, guest = _own_bands(len(x), percent, bands) if len(x) else (None, None)
+                bitmaps = home and parity(x, home.bits), guest and parity(x, guest.bits)
+                row = identity(x), len(x), *parity(x, 256).tolist(), *bitmaps, x.tobytes()
+                for column, value in zip(out.values(), row, strict=True):
+                    column.append(value)
+            yield with_columns(batch, [], out, {"at_home": pa.list_(pa.int64()), "as_guest": pa.list_(pa.int64()), "members": pa.binary()})
+
+    sketch = ", ".join(f"{k} long" for k in SKETCH)
+    made = some.select("text").mapInArrow(make, f"uid long, n long, {sketch}, at_home array<long>, as_guest array<long>, members binary")
+    return made.join(concerned.select("uid"), "uid", "left_semi").dropDuplicates(["uid"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of uids that link, by their full sets."""
+    side = lambda name: sets.select(F.col("uid").alias(name), F.col("members").alias(f"of_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def hold(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = scratch.write(sides.select("a", "b", "of_a", "of_b").mapInArrow(hold, "a long, b long"))
-    scratch.drop(concerned, members)
-    return links
+    return scratch.write(both.select("a", "b", "of_a", "of_b").mapInArrow(hold, "a long, b long"))
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -281,7 +326,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 #: What a candidate side carries beside its signature, and how often pivots are tried before all pairs are.
-PARTS = ("root", "uid", "home", "n", "bits")
+PARTS = ("root", "uid", "home", "n", *SKETCH)
 STAR_ROUNDS = 2
 
 
@@ -307,41 +352,37 @@ def linked(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80)
     all in it are null.
     """
     docs = docs.select("doc_id", "text")
-    sets = scratch.write(signed(docs, width, percent, docs.count()))
-    same = ["n_shingles", "i1", "i2"]
-    plain = sets.select("uid", "doc_id", *same)
-    vertices = scratch.write(plain.where("n_shingles > 0").groupBy(*same).agg(F.min("uid").alias("root"), F.min("doc_id").alias("first")))
-
-    # Signatures of one set of each identity; those that only one set has are dropped in the same shuffle.
-    ones = sets.join(vertices.select(F.col("root").alias("uid")), "uid", "left_semi")
-    rows = ones.select("uid", F.explode("signs").alias("_s")).select(
-        F.shiftright("_s", 2).alias("sign"), "uid", F.col("_s").bitwiseAND(2).cast("boolean").alias("whole"), F.col("_s").bitwiseAND(1).cast("boolean").alias("home")
-    )
-    # Whole rows first: a signature whose first row is not whole, or that has one row, joins nothing.
-    w = Window.partitionBy("sign").orderBy(F.col("whole").desc(), "uid")
-    placed = rows.withColumns({"_whole": F.first("whole").over(w), "_next": F.lead("uid").over(w), "_k": F.row_number().over(w)})
-    shared = scratch.write(placed.where("_whole and (_k > 1 or _next is not null)").select("sign", "uid", "whole", "home"))
-    bitmaps = ones.select("uid", "n_shingles", "at_home", "as_guest").join(shared.select("uid").distinct(), "uid", "left_semi")
-    bitmaps = scratch.write(bitmaps)
+    n_docs = docs.count()
+    plain = scratch.write(described(docs, width))
+    vertices = scratch.write(plain.where("n_shingles > 0").groupBy("uid").agg(F.min("doc_id").alias("first")))
+
+    # Whole rows first: a signature whose first row is not whole, or that only one set has, joins nothing.
+    w = Window.partitionBy("sign").orderBy(F.col("flags").desc(), "uid")
+    ends = {"_top": F.first("flags").over(w), "_first": F.first("uid").over(w), "_next": F.lead("uid").over(w)}
+    placed = signed(docs, width, percent, n_docs).withColumns(ends)
+    alone = (F.col("uid") == F.col("_first")) & (F.col("_next").isNull() | (F.col("_next") == F.col("uid")))
+    shared = placed.where((F.col("_top") >= 2) & ~alone).select("sign", "uid", "flags")
+    shared = scratch.write(shared.dropDuplicates(["sign", "uid", "flags"]))
+    sets = scratch.write(fetched(docs, vertices, shared.select("uid").distinct(), width, percent, n_docs))
+    whole, home = F.col("flags").bitwiseAND(F.lit(2).cast("byte")) > 0, F.col("flags").bitwiseAND(F.lit(1).cast("byte")) > 0
     members = scratch.write(
-        shared.join(bitmaps, "uid").select(
-            "sign", "uid", "whole", "home", F.col("n_shingles").alias("n"), F.when(F.col("home"), F.col("at_home")).otherwise(F.col("as_guest")).alias("bits")
-        )
+        shared.join(sets.select("uid", "n", *SKETCH), "uid").select("sign", "uid", whole.alias("whole"), home.alias("home"), "n", *SKETCH)
     )
-    scratch.drop(shared, bitmaps)
-
-    possible = may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent)
+    scratch.drop(shared)
+    possible = may_link(percent)
     home = F.col("home_a") | F.col("home_b")
     links = roots = None
-    for turn in range(STAR_ROUNDS):
-        pick = F.max if turn % 2 else F.min  # another pivot each time, should one fail
+    for _ in range(STAR_ROUNDS):
         mixed_now = scratch.write(_mixed_signs(members, roots))
-        whole = mixed_now.where("whole").select("sign", F.struct("root", "uid", "home", "n", "bits").alias("p"))
+        whole = mixed_now.where("whole").select("sign", F.struct(*PARTS).alias("p"))
         ends = whole.groupBy("sign").agg(F.min("p").alias("low"), F.max("p").alias("high"))
         pivots = ends.select("sign", F.explode(F.array("low", "high")).alias("p")).select("sign", *[F.col(f"p.{c}").alias(f"{c}_a") for c in PARTS])
         met = pivots.join(_side(mixed_now, "b"), "sign").where((F.col("root_a") != F.col("root_b")) & home & possible)
-        stars = scratch.write(met.groupBy(F.col("uid_b").alias("b")).agg(pick("uid_a").alias("a")).select("a", "b"))
-        found = verified(stars, docs, sets, width, percent, scratch)
+        # Each set with the pivot with which it shares most signatures.
+        common = met.groupBy(F.col("uid_b").alias("b"), F.col("uid_a").alias("a"), "home_a", "home_b").count()
+        best = common.groupBy("b").agg(F.max(F.struct("count", "a", "home_a", "home_b")).alias("best")).select("b", "best.*")
+        stars = scratch.write(closer(best, sets, percent))
+        found = verified(stars, sets, percent, scratch)
         links = found if links is None else links.union(found)
         roots = components(links, scratch)
         scratch.drop(mixed_now)
@@ -351,15 +392,17 @@ def linked(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80)
     a, b = _side(rest, "a"), _side(rest, "b")
     apart = (F.col("uid_a") < F.col("uid_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("whole_a") | F.col("whole_b"))
     pairs = a.join(b, (a["sign"] == b["sign"]) & apart & home & possible)
-    pairs = scratch.write(pairs.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct())
-    final = components(links.union(verified(pairs, docs, sets, width, percent, scratch)), scratch)
-
-    joined = vertices.join(final.withColumnRenamed("root", "component").withColumnRenamed("uid", "root"), "root", "left")
-    joined = joined.withColumn("component", F.coalesce("component", "root"))
-    smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = scratch.write(joined.join(smallest, "component").select(*same, "component_id"))
-    out = plain.join(named, same, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    pairs = pairs.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"), "home_a", "home_b").distinct()
+    pairs = scratch.write(closer(scratch.write(pairs), sets, percent))
+    final = components(links.union(verified(pairs, sets, percent, scratch)), scratch)
+
+    joined = vertices.join(final, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = scratch.write(joined.join(smallest, "root").select("uid", "component_id"))
+    scratch.drop(sets, members)
+    out = plain.join(named, "uid", "left")
+    # Sets without shingles are in no component but their own.
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op6_shingle_join(spark, sf_dir: str) -> DataFrame:
