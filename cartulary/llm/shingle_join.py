@@ -15,10 +15,10 @@ A set signs in its own band (at home) and, if it is large enough, in the next on
 compared there). Candidates pass a bound on their size and on the distance of their parity bitmaps (never above the
 true difference) and are then verified on their full sets.
 
-Copies collapse first: sets are vertices by 64-bit identity. Among sets that share a signature, each is first compared
-with two pivots only, those of the lowest and the highest component, in a few rounds. Pairs of different components are
-then compared throughout, so no link between components is missed, and a group of a thousand near copies costs a few
-thousand comparisons rather than half a million.
+Copies collapse first: sets are vertices by 64-bit identity. The sets that share a signature are strung in an order that
+differs from signature to signature, and each set is compared with the nearest of its neighbours, in a few rounds.
+Pairs of different components are then compared throughout, so no link between components is missed, and a group of a
+thousand near copies costs a few thousand comparisons rather than half a million.
 """
 
 from __future__ import annotations
@@ -242,12 +242,16 @@ def _most(n_a: Column, n_b: Column, percent: int) -> Column:
     return n_a + n_b - 2 * F.ceil(F.lit(percent) * (n_a + n_b) / F.lit(100 + percent))
 
 
+def _apart() -> Column:
+    """In how many of 256 bits two sets differ."""
+    return sum((F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH), F.lit(0))
+
+
 def may_link(percent: int) -> Column:
     """Whether sizes and 256-bit bitmaps (n, k0 to k3; _a and _b) leave room for a link: bitmaps never differ in more
     bits than sets in shingles."""
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    apart = sum((F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH), F.lit(0))
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (apart <= _most(n_a, n_b, percent))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (_apart() <= _most(n_a, n_b, percent))
 
 
 def closer(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -325,9 +329,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return roots
 
 
-#: What a candidate side carries beside its signature, and how often pivots are tried before all pairs are.
+#: What a candidate side carries beside its signature, and how often neighbours are tried before all pairs are.
 PARTS = ("root", "uid", "home", "n", *SKETCH)
-STAR_ROUNDS = 2
+CHAIN_ROUNDS = 3
 
 
 def _mixed_signs(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -372,17 +376,18 @@ def linked(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80)
     possible = may_link(percent)
     home = F.col("home_a") | F.col("home_b")
     links = roots = None
-    for _ in range(STAR_ROUNDS):
+    for turn in range(CHAIN_ROUNDS):
         mixed_now = scratch.write(_mixed_signs(members, roots))
-        whole = mixed_now.where("whole").select("sign", F.struct(*PARTS).alias("p"))
-        ends = whole.groupBy("sign").agg(F.min("p").alias("low"), F.max("p").alias("high"))
-        pivots = ends.select("sign", F.explode(F.array("low", "high")).alias("p")).select("sign", *[F.col(f"p.{c}").alias(f"{c}_a") for c in PARTS])
-        met = pivots.join(_side(mixed_now, "b"), "sign").where((F.col("root_a") != F.col("root_b")) & home & possible)
-        # Each set with the pivot with which it shares most signatures.
-        common = met.groupBy(F.col("uid_b").alias("b"), F.col("uid_a").alias("a"), "home_a", "home_b").count()
-        best = common.groupBy("b").agg(F.max(F.struct("count", "a", "home_a", "home_b")).alias("best")).select("b", "best.*")
-        stars = scratch.write(closer(best, sets, percent))
-        found = verified(stars, sets, percent, scratch)
+        w = Window.partitionBy("sign").orderBy(F.xxhash64("uid", "sign", F.lit(turn)))
+        a = [F.col(c).alias(f"{c}_b") for c in (*PARTS, "whole")]
+        b = [F.col("_next")[c].alias(f"{c}_a") for c in (*PARTS, "whole")]
+        chained = mixed_now.withColumn("_next", F.lead(F.struct(*PARTS, "whole")).over(w)).where("_next is not null").select(*a, *b)
+        met = chained.where((F.col("root_a") != F.col("root_b")) & (F.col("whole_a") | F.col("whole_b")) & home & possible)
+        # Each set with the neighbour that is nearest by size and bitmap.
+        nearness = (_apart() / (F.col("n_a") + F.col("n_b"))).alias("far")
+        best = met.groupBy(F.col("uid_b").alias("b")).agg(F.min(F.struct(nearness, F.col("uid_a").alias("a"), "home_a", "home_b")).alias("best"))
+        near = scratch.write(closer(best.select("b", "best.a", "best.home_a", "best.home_b"), sets, percent))
+        found = verified(near, sets, percent, scratch)
         links = found if links is None else links.union(found)
         roots = components(links, scratch)
         scratch.drop(mixed_now)
