@@ -314,7 +314,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Each round a vertex takes the smallest root among its own and its neighbours', then the root of that root, until
     nothing changes; rounds are about the logarithm of the longest chain.
     """
-    edges = links.union(links.select("b", "a")).distinct()
+    edges = scratch.write(links.select("a", "b").union(links.select("b", "a")).distinct())
     roots = scratch.write(edges.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = edges.join(roots.select(F.col("uid").alias("b"), "root"), "b").groupBy(F.col("a").alias("uid")).agg(F.min("root").alias("_near"))
@@ -326,9 +326,26 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(roots)
         roots = new.select("uid", "root")
         if not changed:
+            scratch.drop(edges)
             return roots
 
 
+def joined_up(links: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """The components that ``roots`` holds, joined by further links.
+
+    Links are moved to the roots of their ends first, so a call costs what its own links join and not all that earlier
+    ones did. A root is the smallest uid of its component, and stays so.
+    """
+    if roots is None:
+        return components(links, scratch)
+    for side in "ab":
+        links = links.join(roots.select(F.col("uid").alias(side), "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    over = components(scratch.write(links.where("a != b").distinct()), scratch)
+    moved = roots.join(over.select(F.col("uid").alias("root"), F.col("root").alias("_new")), "root", "left").select("uid", F.coalesce("_new", "root").alias("root"))
+    added = over.join(roots.select("uid"), "uid", "left_anti").select("uid", "root")
+    return scratch.write(moved.union(added))
+
+
 #: What a candidate side carries beside its signature, and how often neighbours are tried before all pairs are.
 PARTS = ("root", "uid", "home", "n", *SKETCH)
 CHAIN_ROUNDS = 3
@@ -375,7 +392,7 @@ def linked(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80)
     scratch.drop(shared)
     possible = may_link(percent)
     home = F.col("home_a") | F.col("home_b")
-    links = roots = None
+    roots = None
     for turn in range(CHAIN_ROUNDS):
         mixed_now = scratch.write(_mixed_signs(members, roots))
         w = Window.partitionBy("sign").orderBy(F.xxhash64("uid", "sign", F.lit(turn)))
@@ -387,9 +404,7 @@ def linked(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80)
         nearness = (_apart() / (F.col("n_a") + F.col("n_b"))).alias("far")
         best = met.groupBy(F.col("uid_b").alias("b")).agg(F.min(F.struct(nearness, F.col("uid_a").alias("a"), "home_a", "home_b")).alias("best"))
         near = scratch.write(closer(best.select("b", "best.a", "best.home_a", "best.home_b"), sets, percent))
-        found = verified(near, sets, percent, scratch)
-        links = found if links is None else links.union(found)
-        roots = components(links, scratch)
+        roots = joined_up(verified(near, sets, percent, scratch), roots, scratch)
         scratch.drop(mixed_now)
 
     # Within a signature, all pairs of components that are still apart.
@@ -399,7 +414,7 @@ def linked(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80)
     pairs = a.join(b, (a["sign"] == b["sign"]) & apart & home & possible)
     pairs = pairs.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"), "home_a", "home_b").distinct()
     pairs = scratch.write(closer(scratch.write(pairs), sets, percent))
-    final = components(links.union(verified(pairs, sets, percent, scratch)), scratch)
+    final = joined_up(verified(pairs, sets, percent, scratch), roots, scratch)
 
     joined = vertices.join(final, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
