@@ -317,6 +317,28 @@ def test_shingle_join_of_nothing(spark, odd):
     assert sorted(got, key=repr) == sorted([(2, 2), (3, 3), (None, None), (7, 7)], key=repr)
 
 
+def test_components_joined_up(spark):
+    """Links in two parts against union-find: a long path, random links, ends that are new and ends that are known."""
+    rng, scratch = random.Random(4), Scratch(spark, "test")
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(400)]
+    first = list(zip(ids[:120], ids[1:121], strict=True)) + [tuple(rng.sample(ids[:300], 2)) for _ in range(60)]
+    more = [tuple(rng.sample(ids, 2)) for _ in range(60)]
+    parent = {x: x for link in first + more for x in link}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in first + more:
+        low, high = sorted((top(a), top(b)))
+        parent[high] = low
+    frame = lambda part: spark.createDataFrame(part, "a long, b long")
+    roots = shingle_join.joined_up(frame(more), shingle_join.joined_up(frame(first), None, scratch), scratch)
+    got = [(r.uid, r.root) for r in roots.collect()]
+    assert sorted(got) == sorted((x, top(x)) for x in parent)
+
+
 def test_both_schemes_find_every_near_pair():
     r = np.random.default_rng(3)
     for high in (10, 30, 80):
