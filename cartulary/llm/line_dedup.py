@@ -1,12 +1,18 @@
 """Line deduplication by pairwise alignment.
 
 A document's lines are hashed. A line alone may be in every document, so lines are made rare: each is joined with the
-lines behind it until they have ``min_words`` words. Such a window's hash leads from every document that has it to the
-first that has it: a passage that a third of all documents share makes one pair for each of them, never pairs of them
-all. Any run of lines that is long enough to be deleted holds a whole window, so no such pair is missed.
+lines behind it, and with those before it, until they have ``min_words`` words. Such a window's hash leads from every
+document that has it to the first that has it: a passage that a third of all documents share makes one pair for each
+of them, never pairs of them all.
 
 Each pair of an earlier and a later document is aligned by patience diff, anchored on lines that are unique in both;
-runs of aligned lines with at least ``min_words`` words are deleted from the later document.
+runs of aligned lines with at least ``min_words`` words are deleted from the later document. What an alignment cannot
+reach (a passage that one of the two repeats, or has in another place) goes by the windows themselves: the lines of
+every window that the earlier document has too are deleted, after their lines are compared.
+
+So a line goes if, and only if, it is in a run of lines of at least ``min_words`` words that some earlier document
+has: such a run's lines are all in windows that end within it, and each window has a first holder. (Lines without
+words at the ends of a run go only where they are aligned or in a window.)
 
 The order of documents is that of (doc_id, row key); a row key is a 64-bit hash of doc_id and text, so repeated rows
 of one doc_id are one document and are treated alike.
@@ -99,19 +105,37 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def windows(h1: list[int], h2: list[int], words: list[int], min_words: int) -> list[int]:
-    """A hash for each line with a word: of it and the fewest lines behind it that together have ``min_words`` words."""
-    out, end, total = [], 0, 0
-    for start in range(len(h1)):
-        while end < len(h1) and total < min_words:
-            total += words[end]
-            end += 1
-        if total < min_words:
-            break
-        if words[start]:
-            out.append(hash((*h1[start:end], *h2[start:end])))  # of integers only, so the same in every process
-        total -= words[start]
-    return out
+def spans(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """The windows (start, end): from each line the fewest lines behind it that together have ``min_words`` words, and
+    up to each line the fewest before it. Of lines without words only the first (the last) of a stretch has one."""
+    found: set[tuple[int, int]] = set()
+    for back in (False, True):
+        n, counts = len(words), words[::-1] if back else words
+        end, total = 0, 0
+        for start in range(n):
+            while end < n and total < min_words:
+                total += counts[end]
+                end += 1
+            if total < min_words:
+                break
+            if counts[start] or start == 0 or counts[start - 1]:
+                found.add((n - end, n - start) if back else (start, end))
+            total -= counts[start]
+    return sorted(found)
+
+
+def windows(h1: list[int], h2: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(hash, start, end) of each window."""
+    # The hash of a tuple of integers is the same in every process.
+    return [(hash((*h1[i:j], *h2[i:j])), i, j) for i, j in spans(words, min_words)]
+
+
+def shared(earlier: tuple, later: tuple, hashes: list[int], min_words: int) -> set[int]:
+    """Positions in the later document of the windows of these hashes that the earlier one has too."""
+    wanted = set(hashes)
+    a, b = (list(zip(*x[:2], strict=True)) for x in (earlier, later))
+    there = {h: a[i:j] for h, i, j in windows(*earlier, min_words) if h in wanted}
+    return {k for h, i, j in windows(*later, min_words) if h in there and there[h] == b[i:j] for k in range(i, j)}
 
 
 def deletions(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
@@ -120,26 +144,29 @@ def deletions(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) ->
 
     def hashes(batches):
         for batch in batches:
-            found = [windows(*x, min_words) for x in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "words")), strict=True)]
+            found = [sorted({h for h, _, _ in windows(*x, min_words)}) for x in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "words")), strict=True)]
             yield with_columns(batch, ["key", "doc_id"], {"windows": found}, {"windows": pa.list_(pa.int64())})
 
     each = scratch.write(lines.mapInArrow(hashes, f"key long, doc_id {kind}, windows array<long>").where(F.size("windows") > 0))
-    each = each.select("key", "doc_id", F.explode(F.array_distinct("windows")).alias("h"))
+    each = each.select("key", "doc_id", F.explode("windows").alias("h"))
     order = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "key")
     firsts = each.groupBy("h").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low < high")
     firsts = scratch.write(firsts.select("h", F.col("low.key").alias("first")))
-    pairs = scratch.write(each.join(firsts, "h").where("key <> first").select("key", "first").distinct())
+    met = each.join(firsts, "h").where("key <> first")
+    pairs = scratch.write(met.groupBy("key", "first").agg(F.collect_list("h").alias("met")))
     scratch.drop(firsts)
-    later = lines.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), "words")
-    earlier = lines.select(F.col("key").alias("first"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    both = pairs.join(later, "key").join(earlier, "first").select("key", "a1", "a2", "b1", "b2", "words")
+    later = lines.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("words").alias("bw"))
+    earlier = lines.select(F.col("key").alias("first"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("words").alias("aw"))
+    names = ("met", "a1", "a2", "aw", "b1", "b2", "bw")
+    both = pairs.join(later, "key").join(earlier, "first").select("key", *names)
 
     def align(batches):
         for batch in batches:
             gone = []
-            for a1, a2, b1, b2, words in zip(*(batch.column(c).to_pylist() for c in ("a1", "a2", "b1", "b2", "words")), strict=True):
+            for met, a1, a2, aw, b1, b2, bw in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 a, b = list(zip(a1, a2, strict=True)), list(zip(b1, b2, strict=True))
-                gone.append(blocks(patience(a, b), words, min_words))
+                aligned = blocks(patience(a, b), bw, min_words)
+                gone.append(sorted(shared((a1, a2, aw), (b1, b2, bw), met, min_words).union(aligned)))
             yield with_columns(batch, ["key"], {"gone": gone}, {"gone": pa.list_(pa.int32())})
 
     found = both.mapInArrow(align, "key long, gone array<int>").where(F.size("gone") > 0)

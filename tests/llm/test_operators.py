@@ -375,3 +375,41 @@ def test_line_dedup(spark):
     want = [(1, passage, 0), (2, "new head\nnew tail", 6), (3, "", 6), (3, "", 6), (4, None, 0), (5, "", 0), (None, "short line", 0), (6, "short line", 0)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert line_dedup.dedup(df.limit(0), Scratch(spark, "test")).count() == 0
+
+
+def _copied(docs, min_words):
+    """Of each document the lines with words that are in a run of that many words which an earlier one has; by brute force."""
+    out = []
+    for n, b in enumerate(docs):
+        gone = set()
+        for a in docs[:n]:
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                        k += 1
+                    if sum(len(x.split()) for x in b[j : j + k]) >= min_words:
+                        gone.update(x for x in range(j, j + k) if b[x].strip())
+        out.append(gone)
+    return out
+
+
+def test_line_dedup_of_repeated_and_reordered_passages(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    p, q, tail = [line("p", 20), "", line("q", 15)], [line("r", 40)], [line("s", 5)]
+    docs = [
+        ["x", *p, "y", *p, "z"],  # the first holder has the passage twice
+        ["clean", *p, "end"],
+        ["u", *p, "v"],
+        [*p, "between", *q, *tail],
+        [*q, *tail, "another order", *p],
+        [*p, *p, "twice here"],
+    ]
+    r = random.Random(11)
+    pool = [line(c, r.choice((0, 1, 4, 9, 14, 31))) for c in "abcdefg"]
+    docs += [r.choices(pool, k=r.randint(1, 14)) for _ in range(60)]
+    df = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {x.doc_id: {int(k) for k in x.deleted.split(",") if k} for x in line_dedup.dedup(df, Scratch(spark, "test")).collect()}
+    want = _copied(docs, line_dedup.MIN_WORDS)
+    assert [{k for k in got[i] if d[k].strip()} for i, d in enumerate(docs)] == want
+    assert got[1] == {1, 2, 3} and got[2] == {1, 2, 3} and got[4] == {0, 1, 3, 4, 5}
