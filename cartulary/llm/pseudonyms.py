@@ -4,6 +4,9 @@ Numbers and dates are found by pattern and validated (check digits, ranges, the
 within the set of all values of its format by a Feistel network under a secret key. The permutation depends on the
 kind and the number of characters only, never on the document or the separators, so equal values stay equal in every
 document, and different ones stay different. Check digits are computed anew, so a pseudonym is as valid as its value.
+
+A match may have swallowed a neighbour (an expiry date behind a card, a word behind an IBAN). One that fails validation
+is tried again without its last groups, the longest first, and then from its next group on.
 """
 
 from __future__ import annotations
@@ -153,6 +156,12 @@ KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4})(?![0-9]|[./-][0-9])", _date),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
+    # Cards grouped as they are printed come first, so that no number beside one takes a part of it.
+    (
+        "card",
+        r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{13,19})(?![0-9])",
+        _card,
+    ),
     ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", _card),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn),
     (
@@ -163,10 +172,28 @@ KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ),
 )
 _PATTERNS = [(kind, re.compile(pattern), replace) for kind, pattern, replace in KINDS]
+#: What may part the groups of a value, by kind.
+_BORDERS = {"card": re.compile("[ -]"), "iban": re.compile(" "), "phone": re.compile("[ .()-]")}
 #: Whatever has none of these has no match of any kind.
 _ANY = re.compile("[0-9@]")
 
 
+def _values(kind: str, pattern: re.Pattern, replace: Callable[[str, bytes], str | None], text: str, key: bytes, taken: bytearray):
+    """(start, end, pseudonym) of the values of a kind: of each match the longest prefix that is valid and not taken."""
+    borders, at = _BORDERS.get(kind), 0
+    while m := pattern.search(text, at):
+        a, b = m.span()
+        ends = [b, *(x.start() for x in reversed(list(borders.finditer(text, a + 1, b))))] if borders else [b]
+        at = a + 1 if borders else b  # no pattern starts within a group, so the next match is one group later
+        for end in ends:
+            if any(taken[a:end]) or (end < b and not pattern.fullmatch(text, a, end)):
+                continue
+            if (new := replace(text[a:end], key)) is not None:
+                yield a, end, new
+                at = end
+                break
+
+
 def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and the (start, end, kind) of each value in the text as it was."""
     if not _ANY.search(text):
@@ -174,10 +201,7 @@ def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     found: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text))
     for kind, pattern, replace in _PATTERNS:
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if any(taken[a:b]) or (new := replace(m[0], key)) is None:
-                continue
+        for a, b, new in _values(kind, pattern, replace, text, key, taken):
             taken[a:b] = b"\x01" * (b - a)
             found.append((a, b, kind, new))
     if not found:

@@ -116,6 +116,29 @@ def test_pseudonyms(spark, odd):
     assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted((i or 0, t or "") for i, t in ROWS) and {r.n_values for r in out} == {0}
 
 
+@pytest.mark.parametrize(
+    ("kind", "before", "value", "after"),
+    [
+        ("card", "card ", "4111 1111 1111 1111", " 12/27"),
+        ("card", "card ", "4111 1111 1111 1111", " 123"),
+        ("card", "order 7 ", "4111 1111 1111 1111", ""),
+        ("card", "orders 12 345 6789 and 918 555 ", "4111-1111-1111-1111", "-2025 8"),
+        ("card", "amex ", "3782 822463 10005", " 12/27 1234"),
+        ("card", "card ", "3782 822463 10005", " 2024-02-29"),
+        ("iban", "to ", "BE68 5390 0754 7034", " PAID"),
+        ("iban", "to ", "BE68539007547034", " EUR 2024 ONLY"),
+        ("iban", "ref XK47 ", "BE68 5390 0754 7034", ""),
+        ("phone", "call ", "+49 30 1234 5678", " 2024 1235"),
+    ],
+)
+def test_values_beside_other_groups(kind, before, value, after):
+    new, found = pseudonyms.replaced(before + value + after, b"k")
+    hits = [(a, b) for a, b, k in found if k == kind]
+    assert value not in new and any(a <= len(before) and b >= len(before + value) for a, b in hits)
+    if kind != "phone":
+        assert hits == [(len(before), len(before + value))]
+
+
 # sentence pieces
 
 
