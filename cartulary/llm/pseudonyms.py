@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from cartulary.llm.shared import table, with_columns
 
 ROUNDS = 8
+#: The country codes of two digits (ITU E.164). 1 and 7 are codes of one digit, all others have three.
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: For tests and the registered query only; a deployment passes its own.
 EXAMPLE_KEY = b"an example key, not a secret"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -114,12 +116,16 @@ def _ssn(text: str, key: bytes) -> str | None:
             return _into(text, digits)
 
 
+def _country(digits: str) -> int:
+    """The length of the country code that a number in international form begins with."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGITS else 3
+
+
 def _phone(text: str, key: bytes) -> str | None:
     digits = _digits(text)
     if not 7 <= len(digits) <= 15:
         return None
-    country = len(re.match(r"\+?(\d*)", text)[1]) if text[0] == "+" else 0
-    country = country if country <= 3 else 1
+    country = _country(digits) if text[0] == "+" else 0
     return _into(text, digits[:country] + _radixed(digits[country:], key, "phone"))
 
 

@@ -139,6 +139,14 @@ def test_values_beside_other_groups(kind, before, value, after):
         assert hits == [(len(before), len(before + value))]
 
 
+@pytest.mark.parametrize("forms", [("+49 30 1234 5678", "+493012345678", "+49-3012-345678"), ("+1 (918) 555-3922", "+19185553922"), ("+353 1 234 5678", "+35312345678", "+353 1234 5678"), ("+7 495 123 4567", "+74951234567")])
+def test_phones_stay_linked_whatever_the_separators(forms):
+    assert all(pseudonyms.replaced(x, b"k")[1] == [(0, len(x), "phone")] for x in forms)
+    made = {pseudonyms._digits(pseudonyms.replaced(x, b"k")[0]) for x in forms}
+    assert len(made) == 1 and made != {pseudonyms._digits(forms[0])}
+    assert any(made.pop().startswith(c) for c in ("49", "1", "353", "7") if forms[0].startswith(f"+{c}"))
+
+
 # sentence pieces
 
 
