@@ -3,15 +3,16 @@
 A k-mer (k characters) is an anchor if the smallest hash among its inner s-mers is that of its first or its last one.
 Whether it is depends on nothing around it, so texts that share a passage share its anchors, at matching positions.
 
-A fingerprint keeps the anchors whose hash ends in ``level`` zero bits, with their positions; the level is the least
-that leaves at most ``most`` of them. Two fingerprints are compared at the higher of their levels: the anchors that
-both have in the same order (longest increasing chain of positions), over all that either has.
+A fingerprint holds all anchors of a text with their positions, however long it is. Of two texts the n-th anchor of a
+hash in one is that of the other; two fingerprints are compared by the anchors that both have in the same order
+(longest increasing chain of positions), over all that either has.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.shared import table, with_columns
 
-K, S, MOST = 24, 8, 64
+K, S = 24, 8
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-HASH_BITS = 32
+HASH_BITS = 48
+#: A batch is handed on when its texts have so many characters: fingerprints are longer than texts.
+CHARACTERS = 1_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,44 +71,60 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
         return at, _mixed(h)
 
 
-def sketch(text: str, most: int = MOST) -> tuple[int, dict[int, int]]:
-    """The level, and the kept anchors' first positions by hash, in order."""
+@dataclass(eq=False)
+class Fingerprint:
+    """Hashes of all anchors and their positions, in order of position."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Fingerprint) and np.array_equal(self.hashes, other.hashes) and np.array_equal(self.at, other.at)
+
+    def identities(self) -> np.ndarray:
+        """A hash for each anchor, of its own and how many before it are the same."""
+        if len(self.hashes) == 0:
+            return self.hashes
+        order = np.argsort(self.hashes, kind="stable")
+        inner = self.hashes[order]
+        place = np.arange(len(inner))
+        first = np.maximum.accumulate(np.where(np.append(True, inner[1:] != inner[:-1]), place, 0))
+        out = np.empty(len(inner), np.uint64)
+        with np.errstate(over="ignore"):
+            out[order] = _mixed(inner + (place - first).astype(np.uint64) * _MIX[0])
+        return out
+
+
+def sketch(text: str) -> Fingerprint:
     at, h = anchors(text)
-    # What is kept of a hash: its highest bits, and its lowest ones, which levels look at.
-    short = ((h >> np.uint64(64 - HASH_BITS)) << np.uint64(16)) | (h & np.uint64(0xFFFF))
-    short, first = np.unique(short, return_index=True)
-    at, level = at[first], 0
-    while len(short) > most and level < 16:
-        level += 1
-        use = (short & np.uint64((1 << level) - 1)) == 0
-        short, at = short[use], at[use]
-    order = np.argsort(at, kind="stable")
-    return level, dict(zip(short[order].tolist(), at[order].tolist(), strict=True))
+    return Fingerprint(h >> np.uint64(64 - HASH_BITS), at)
 
 
-def written(fingerprint: tuple[int, dict[int, int]]) -> str:
-    """level;hash@position,... in order of position."""
-    level, kept = fingerprint
-    return f"{level};" + ",".join(f"{h:x}@{p}" for h, p in sorted(kept.items(), key=lambda x: (x[1], x[0])))
+def written(fingerprint: Fingerprint) -> str:
+    """hash@position,... in order of position."""
+    return ",".join(map("%x@%d".__mod__, zip(fingerprint.hashes.tolist(), fingerprint.at.tolist(), strict=True)))
 
 
-def read(fingerprint: str) -> tuple[int, dict[int, int]]:
-    level, _, rest = fingerprint.partition(";")
-    return int(level), {int(h, 16): int(p) for h, p in (x.split("@") for x in rest.split(",") if x)}
+def read(fingerprint: str) -> Fingerprint:
+    pairs = [x.split("@") for x in fingerprint.split(",") if x]
+    return Fingerprint(np.array([int(h, 16) for h, _ in pairs], np.uint64), np.array([int(p) for _, p in pairs], np.int64))
 
 
-def likeness(a: tuple[int, dict[int, int]], b: tuple[int, dict[int, int]]) -> float:
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """From 0 (no anchor in common) to 1 (equal); two fingerprints without anchors are equal."""
     if a == b:
         return 1.0
-    mask = (1 << max(a[0], b[0])) - 1
-    one, two = ({h: p for h, p in x[1].items() if h & mask == 0} for x in (a, b))
-    chain: list[int] = []
-    for p in (two[h] for h in one if h in two):  # one is in order of position
-        i = bisect_left(chain, p)
-        chain[i : i + 1] = [p]
-    either = len(one.keys() | two.keys())
-    return len(chain) / either if either else 0.0
+    one, two = a.identities(), b.identities()
+    both, i, j = np.intersect1d(one, two, return_indices=True)
+    follow = j[np.argsort(i)]  # the places in b of what a has too, in a's order
+    length = len(follow)
+    if length and (follow[1:] < follow[:-1]).any():
+        chain: list[int] = []
+        for p in follow.tolist():
+            k = bisect_left(chain, p)
+            chain[k : k + 1] = [p]
+        length = len(chain)
+    return length / (len(one) + len(two) - len(both)) if len(one) + len(two) else 0.0
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
@@ -144,11 +163,14 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
 def compared(docs: DataFrame, parts: int) -> DataFrame:
     """Fingerprints each text and its edited form, and compares them with it and with the next document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
     def run(batches):
         own = None  # part, doc_id, text, fingerprint of the row that waits for its next one
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
+            types = {"doc_id": batch.schema.field("doc_id").type, "near_edited": pa.float64(), "near_next": pa.float64()}
+            types |= dict.fromkeys(("edited_sha256", "fingerprint", "edited_fingerprint"), pa.string())
+            out, size = {k: [] for k in names}, 0
             for part, sentinel, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("_part", "_sentinel", "doc_id", "text")), strict=True):
                 found = sketch(text)
                 if own is not None and own[0] == part:
@@ -161,9 +183,11 @@ def compared(docs: DataFrame, parts: int) -> DataFrame:
                     )
                     for column, value in zip(out.values(), row, strict=True):
                         column.append(value)
+                    size += len(own[2])
                 own = None if sentinel else (part, doc_id, text, found)
-            types = {"doc_id": batch.schema.field("doc_id").type, "near_edited": pa.float64(), "near_next": pa.float64()}
-            types |= dict.fromkeys(("edited_sha256", "fingerprint", "edited_fingerprint"), pa.string())
+                if size >= CHARACTERS:
+                    yield with_columns(batch, [], out, types)
+                    out, size = {k: [] for k in names}, 0
             yield with_columns(batch, [], out, types)
 
     return with_next(docs, parts).mapInArrow(
