@@ -5,7 +5,7 @@ then one against one between the languages of the family that won. All machines
 a text is scored by sums of table rows over its bytes.
 
 Training: rows whose crc32(doc_id) modulo 4 is not 2, with a language and a letter in their text; of each language
-those with the smallest hashes, about ``rows_per_language`` of them (the only bound; scoring covers all texts whole).
+those with the smallest hashes of doc_id and text, about ``rows_per_language`` of them (the only bound; scoring covers all texts whole).
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def _vote(margins: np.ndarray, pairs: list[tuple[str, str]], names: list[str]) -
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, n_buckets: int = BUCKETS) -> Hierarchy | None:
-    """Fits on ``docs`` (doc_id, text, lang); None where no row has both a language and a letter.
+    """Fits on ``docs`` (doc_id, text, lang); None where no row has both a language and a letter, or none is drawn.
 
     The driver gets one row of ``n_buckets`` shares for each sampled row.
     """
@@ -105,7 +105,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, n_buckets
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, rows_per_language / n))])
-    place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) / 1_000_003.0
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1_000_003)) / 1_000_003.0
 
     def shares(batches):
         for batch in batches:
@@ -114,8 +114,10 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, n_buckets
             out = [histograms(codes[starts[i] : starts[i + 1]], starts[i : i + 2] - starts[i], n_buckets)[0].tobytes() for i in range(len(starts) - 1)]
             yield with_columns(batch, ["lang"], {"shares": out}, {"shares": pa.binary()})
 
-    most = 2 * rows_per_language * len(counts)  # repeated doc_ids could share a small hash
+    most = 2 * rows_per_language * len(counts)  # repeated rows could share a small hash
     sample = rows.where(place < share[F.col("lang")]).select("lang", "text").mapInArrow(shares, "lang string, shares binary").limit(most).collect()
+    if not sample:
+        return None
     x = np.stack([np.frombuffer(r["shares"], np.float32) for r in sample])
     norm = max(float(np.linalg.norm(x, axis=1).mean()), 1e-9)
     x = x / norm

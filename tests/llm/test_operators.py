@@ -199,6 +199,15 @@ def test_language_id(spark, odd):
     assert got[2] == got[3] == got[7] == "und" != got[1]
 
 
+def test_language_id_without_ids(spark):
+    rows = [(None, f"{word} {i}", lang) for lang, word in (("en", "the house"), ("de", "das haus")) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.train(df, 20)
+    assert found is not None and found.families == {"germanic": ["de", "en"]}
+    one = spark.createDataFrame([(1, "the same", "en")] * 100, "doc_id long, text string, lang string")
+    assert language_id.train(one, 0) is None
+
+
 def test_passage_quality(spark, odd):
     p = {r.doc_id: r for r in passage_quality.op9_passage_quality(spark, SF).collect()}
     labels = [r for r in table(spark, SF, "labels").collect() if r.doc_id in p]
