@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: White space that parts words: blank and the five control characters from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a local session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/cartulary"
 
 
@@ -25,8 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that driver and executors share, from spark.checkpoint.dir; a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set; it names the folder that driver and executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 class Scratch:
@@ -50,7 +53,10 @@ class Scratch:
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before or "false")
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:

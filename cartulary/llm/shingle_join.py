@@ -1,24 +1,26 @@
 """Jaccard self-join of word shingles by partitions of the universe, and its connected components.
 
 Sets whose Jaccard similarity is at least ``percent`` differ in a bounded number of shingles. Sizes are cut into bands,
-each by a ratio of ``percent``; sets that can link lie in one band or in neighbouring ones. For a band, H is the most
-shingles in which two linked sets can differ. Hashing parts the universe into segments, and by the pigeonhole principle
-linked sets agree on segments. Each band is allotted one of two schemes, whichever its cost model prices lower for the
-number of sets in the band:
-
-* ``exact``: H + 1 + E segments, so E + 1 at least agree. A set signs only the H + 1 with most shingles (ties by key):
-  the order is a property of the segments' contents, so both sets drop alike, and one they agree on is left.
+each by the square of that ratio; sets that can link lie in one band or in neighbouring ones. A set signs in its own
+band (at home) and, if it is large enough, in the next one (as a guest; two guests are not compared there). For a band,
+H is the most shingles in which two linked sets can differ. Hashing parts the universe into segments, and by the
+pigeonhole principle linked sets agree on segments. Each band is allotted one of two schemes:
+
+* ``exact``: H + 1 + E segments. Two linked sets that can differ in at most M <= H shingles agree on all but M, so a set
+  with fewer signatures that another set has is out, and of the others it keeps the rarest: as many as leave too few
+  for a link. Both sets rank an agreed signature alike, so at least one that they share is left.
 * ``deletion``: H // 2 + 1 segments, so one at least differs in at most one shingle. A set signs every segment, and
   every segment without one of its shingles; a whole segment meets whole ones and shortened ones.
 
-A set signs in its own band (at home) and, if it is large enough, in the next one (as a guest; two guests are not
-compared there). Candidates pass a bound on their size and on the distance of their parity bitmaps (never above the
-true difference) and are then verified on their full sets.
+The allotment compares costs that do not depend on the table's size: rows signed a set, and what share of them are
+signatures that many sets have, both measured on a sample of at most about ``SAMPLE`` sets. The same sample names the
+hot signatures, which are spread over salts when signatures are brought together.
 
 Copies collapse first: sets are vertices by 64-bit identity. The sets that share a signature are strung in an order that
-differs from signature to signature, and each set is compared with the nearest of its neighbours, in a few rounds.
-Pairs of different components are then compared throughout, so no link between components is missed, and a group of a
-thousand near copies costs a few thousand comparisons rather than half a million.
+differs from round to round, in blocks of bounded size, and each set is compared with the nearest of its neighbours. What
+is left are sets of different components that still share signatures. There shingles that only one component has are
+counted: a set's partner in another component has none of them, which bounds the partner's size and rules most sets out
+altogether. What still can link is compared block by block. No link between components is missed.
 """
 
 from __future__ import annotations
@@ -95,6 +97,11 @@ def differ_at_most(total: int, percent: int) -> int:
     return total - 2 * common
 
 
+def most_apart(total: int, percent: int) -> int:
+    """The most shingles in which two linked sets of at most ``total`` shingles together can differ."""
+    return max(differ_at_most(t, percent) for t in range(max(total - 3, 0), total + 1))
+
+
 @dataclass(frozen=True)
 class Band:
     """Sizes from ``low`` to ``high``; ``most`` is H, ``bits`` the size of the parity bitmaps."""
@@ -105,28 +112,31 @@ class Band:
     most: int
     deletion: bool
     segments: int
-    signed: int
     bits: int
 
 
-#: The cost model: a signed row costs 1, and so does a chance meeting. Of two sets in a band a share of ``SHARED``
-#: shingles is taken to be common property (passages that many texts repeat).
-SHARED = 0.2
-MOST_BANDS = 400
+MOST_BANDS = 200
+#: Allotment and hot signatures are measured on about so many sets; a signature is hot if so many of them have it.
+SAMPLE, HOT = 10_000, 10
+#: What a hot row costs, in rows that meet few others; and how many rows deletion may sign for one of the exact scheme
+#: (so it is a choice for short texts only).
+HOT_COST, MOST_RATIO = 16, 4
+SALTS = 1024
+
 
+def band(index: int, low: int, high: int, percent: int, deletion: bool) -> Band:
+    most = most_apart(2 * high, percent)
+    exact = most + 1 + -(-(most + 1) // 4)
+    return Band(index, low, high, most, deletion, most // 2 + 1 if deletion else exact, 64 * max(2, -(-12 * most // 64)))
 
-def allotted(index: int, low: int, high: int, percent: int, n_sets: int) -> Band:
-    """The cheaper scheme for a band in which ``n_sets`` sets sign."""
-    most = max(differ_at_most(t, percent) for t in range(2 * high - 3, 2 * high + 1) if t > 0)
-    slack = -(-(most + 1) // 4)
-    meet = lambda segments, size, kept: kept * SHARED ** (size * (1 + (segments - kept) / max(segments, 1)))
-    exact = most + 1 + slack
-    cost_exact = most + 1 + n_sets * meet(exact, high / exact, most + 1)
-    parts = most // 2 + 1
-    cost_deletion = high + parts + n_sets * parts * (1 + 2 * high / parts) * SHARED ** (high / parts)
-    deletion = cost_deletion < cost_exact
-    bits = 64 * max(2, -(-12 * most // 64))
-    return Band(index, low, high, most, deletion, parts if deletion else exact, parts if deletion else most + 1, bits)
+
+def allotted(exact: tuple[int, int], deletion: tuple[int, int]) -> bool:
+    """Whether deletion is the cheaper scheme, by (rows, hot rows) of the same sampled sets under either.
+
+    Only shares and ratios count, so the choice, and with it the rows a set signs, is the same for any table size.
+    """
+    cost = lambda rows, hot: rows + HOT_COST * hot
+    return 0 < deletion[0] and cost(*deletion) < cost(*exact)
 
 
 def band_limits(percent: int) -> list[int]:
@@ -136,7 +146,7 @@ def band_limits(percent: int) -> list[int]:
         high += 1
     limits = [high]
     while len(limits) < MOST_BANDS and limits[-1] < 2**40:
-        limits.append(-(-100 * limits[-1] // percent))
+        limits.append(max(-(-10_000 * limits[-1] // (percent * percent)), limits[-1] + 1))
     return limits
 
 
@@ -153,7 +163,6 @@ def signatures(x: np.ndarray, band: Band, home: bool) -> list[np.ndarray]:
         keys = mixed(sums + own)
         low = _U(home)
         if not band.deletion:
-            keys = keys[np.lexsort((keys, -counts))[: band.signed]]
             return [(keys & ~_U(3)) | _U(2) | low]
         less = mixed(sums[segment] - g + own[segment])
         return [(keys & ~_U(3)) | _U(2) | low, (less & ~_U(3)) | low]
@@ -179,41 +188,95 @@ def _limits(percent: int) -> np.ndarray:
     return np.array(band_limits(percent), np.int64)
 
 
-def described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and uid, the 64-bit identity of the set; equal sets have equal ones."""
+def bands_of(percent: int, deletion: frozenset[int] = frozenset()) -> list[Band]:
+    """All bands; those whose index is in ``deletion`` sign deletions."""
+    limits = _limits(percent)
+    return [band(i, int(limits[i - 1]) + 1, int(limits[i]), percent, i in deletion) for i in range(1, len(limits))]
+
+
+def _own_bands(n: int, percent: int, bands: list[Band]) -> tuple[Band | None, Band | None]:
+    """Where a set of ``n`` shingles signs: at home and as a guest."""
+    limits = _limits(percent)
+    at = int(np.searchsorted(limits, n))
+    return bands[at - 1] if at > 0 else None, bands[at] if 100 * n >= percent * (int(limits[at]) + 1) else None
+
+
+def agreed(n: int, own: Band | None, percent: int) -> int:
+    """On how many signatures of a band a set of ``n`` shingles agrees with any set it links with there."""
+    if own is None:
+        return 0
+    return 1 if own.deletion else own.segments - most_apart(n + min(own.high, 100 * n // percent), percent)
+
+
+def described(docs: DataFrame, width: int, percent: int, bands: list[Band]) -> DataFrame:
+    """doc_id, text_hash, n_shingles, uid (the 64-bit identity of the set; equal sets have equal ones), and how many
+    signatures it needs at home and as a guest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, "text")):
             sets = shingle_sets(*buffer(batch.column("text")), width)
-            yield with_columns(batch, ["doc_id"], {"n_shingles": [len(x) for x in sets], "uid": [identity(x) for x in sets]})
+            out = {"n_shingles": [len(x) for x in sets], "uid": [identity(x) for x in sets], "need_home": [], "need_guest": []}
+            for x in sets:
+                home, guest = _own_bands(len(x), percent, bands) if len(x) else (None, None)
+                out["need_home"].append(agreed(len(x), home, percent))
+                out["need_guest"].append(agreed(len(x), guest, percent))
+            yield with_columns(batch, ["doc_id", "text_hash"], out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, uid long")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return hashed.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, uid long, need_home long, need_guest long")
 
 
-def _bands(percent: int, n_docs: int) -> list[Band]:
-    """A band is taken to hold a tenth of all sets; only costs depend on it."""
-    limits = _limits(percent)
-    return [allotted(i, int(limits[i - 1]) + 1, int(limits[i]), percent, n_docs // 10) for i in range(1, len(limits))]
+def measured(docs: DataFrame, width: int, percent: int, n_docs: int, scratch: Scratch) -> tuple[list[Band], np.ndarray]:
+    """The allotted bands and the sorted hot signatures, from a sample of the texts by hash.
 
+    The driver gets a row a band and scheme, and at most one hot signature for ``HOT`` sampled rows.
+    """
+    share = min(1.0, SAMPLE / max(n_docs, 1))
+    sample = docs.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_003)) < share * 1_000_003).select("text")
+    exact = bands_of(percent)
+    other = [band(b.index, b.low, b.high, percent, True) for b in exact]
 
-def _own_bands(n: int, percent: int, bands: list[Band]) -> tuple[Band | None, Band | None]:
-    """Where a set of ``n`` shingles signs: at home and as a guest."""
-    limits = _limits(percent)
-    at = int(np.searchsorted(limits, n))
-    return bands[at - 1] if at > 0 else None, bands[at] if 100 * n >= percent * (int(limits[at]) + 1) else None
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            out = [np.empty((0, 4), np.int64)]
+            for x in shingle_sets(*buffer(batch.column("text")), width):
+                for own, choice, home in zip(_own_bands(len(x), percent, exact), _own_bands(len(x), percent, other), (True, False), strict=True):
+                    if not len(x) or own is None:
+                        continue
+                    for b in (own, choice) if choice.high + choice.segments <= MOST_RATIO * own.segments else (own,):
+                        for signs in signatures(x, b, home):
+                            rows = np.empty((len(signs), 4), np.int64)
+                            rows[:] = b.index, b.deletion, 0, identity(x)
+                            rows[:, 2] = signs.view(np.int64) >> 2
+                            out.append(rows)
+            rows = np.concatenate(out)
+            yield with_columns(batch, [], dict(zip(("band", "deletion", "sign", "uid"), rows.T.copy(), strict=True)))
+
+    rows = sample.mapInArrow(run, "band long, deletion long, sign long, uid long").distinct()
+    met = scratch.write(rows.groupBy("band", "deletion", "sign").count())
+    hot = F.when(F.col("count") >= HOT, F.col("count")).otherwise(0)
+    seen = {(r["band"], r["deletion"]): (r["n"], r["hot"]) for r in met.groupBy("band", "deletion").agg(F.sum("count").alias("n"), F.sum(hot).alias("hot")).collect()}
+    bands = bands_of(percent, frozenset(b for b, scheme in seen if scheme and allotted(seen[b, 0], seen[b, 1])))
+    chosen = [b.index for b in bands if b.deletion]
+    wanted = (F.col("count") >= HOT) & ((F.col("deletion") == 1) == F.col("band").isin(chosen) if chosen else F.col("deletion") == 0)
+    signs = np.array(sorted(r["sign"] for r in met.where(wanted).select("sign").distinct().collect()), np.int64)
+    scratch.drop(met)
+    return bands, signs
 
 
 #: A task signs for a set once, as far as it remembers; copies that other tasks signed meet again behind the shuffle.
 REMEMBERED = 500_000
 
 
-def signed(docs: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
-    """(sign, uid, flags) of every set: flags has 2 for a whole segment and 1 for a set at home."""
-    bands = _bands(percent, n_docs)
+def signed(docs: DataFrame, width: int, percent: int, bands: list[Band], hot: np.ndarray) -> DataFrame:
+    """(sign, salt, uid, flags) of every set: flags has 4 for a hot signature, 2 for a whole segment and 1 for a set at
+    home; the salt is 0 where the signature is not hot."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # bounded by the sample
 
     def run(batches):
         seen: set[int] = set()
+        hot = shared.value
         for batch in (part for whole in batches for part in slices(whole, "text")):
             signs, uids, sizes = [], [], []
             for x in shingle_sets(*buffer(batch.column("text")), width):
@@ -228,11 +291,19 @@ def signed(docs: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
                 signs += own
                 uids.append(uid)
                 sizes.append(sum(map(len, own)))
-            all_signs = np.concatenate(signs).view(np.int64) if signs else np.empty(0, np.int64)
-            out = {"sign": all_signs >> 2, "uid": np.repeat(np.array(uids, np.int64), np.array(sizes, np.int64)), "flags": (all_signs & 3).astype(np.int8)}
+            flagged = np.concatenate(signs).view(np.int64) if signs else np.empty(0, np.int64)
+            keys, owners = flagged >> 2, np.repeat(np.array(uids, np.int64), np.array(sizes, np.int64))
+            at = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
+            is_hot = hot[at] == keys if len(hot) else np.zeros(len(keys), bool)
+            out = {
+                "sign": keys,
+                "salt": np.where(is_hot, owners & (SALTS - 1), 0).astype(np.int16),
+                "uid": owners,
+                "flags": ((flagged & 3) + 4 * is_hot).astype(np.int8),
+            }
             yield with_columns(batch, [], out)
 
-    return docs.select("text").mapInArrow(run, "sign long, uid long, flags byte")
+    return docs.select("text").mapInArrow(run, "sign long, salt short, uid long, flags byte")
 
 
 SKETCH = ("k0", "k1", "k2", "k3")
@@ -264,13 +335,12 @@ def closer(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.where(apart <= _most(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
 
 
-def fetched(docs: DataFrame, vertices: DataFrame, wanted: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
+def fetched(docs: DataFrame, vertices: DataFrame, wanted: DataFrame, width: int, percent: int, bands: list[Band]) -> DataFrame:
     """(uid, n, k0 to k3, at_home, as_guest, members) of the wanted sets, made again from one document of each; k is a
     parity bitmap of 256 bits, the other bitmaps have the sizes of their bands.
 
     The texts are shuffled once, whatever the number of rounds that compare sets afterwards.
     """
-    bands = _bands(percent, n_docs)
     concerned = vertices.join(wanted, "uid")
     own = concerned.select(F.col("first").alias("_own")).distinct().hint("merge")
     some = docs.select(F.col("doc_id").alias("_id"), "text").join(own, F.col("_id").eqNullSafe(F.col("_own")), "left_semi")
@@ -346,85 +416,182 @@ def joined_up(links: DataFrame, roots: DataFrame | None, scratch: Scratch) -> Da
     return scratch.write(moved.union(added))
 
 
-#: What a candidate side carries beside its signature, and how often neighbours are tried before all pairs are.
+#: What a candidate side carries beside its signature, and how often neighbours are tried before the rest is compared.
 PARTS = ("root", "uid", "home", "n", *SKETCH)
 CHAIN_ROUNDS = 3
+#: The sets of one signature are handled in blocks of about so many.
+BLOCK = 512
 
 
-def _mixed_signs(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The rows of signatures that still lie in several components, with their roots."""
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
-        return members.withColumn("root", F.col("uid"))
-    rooted = members.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    mixed_signs = rooted.groupBy("sign").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high")
-    return rooted.join(mixed_signs.select("sign"), "sign", "left_semi").select(*members.columns, "root")
+        return rows.withColumn("root", F.col("uid"))
+    return rows.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
 
-def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("sign", *[F.col(c).alias(f"{c}_{name}") for c in (*PARTS, "whole")])
+def useful(rows: DataFrame, needs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(sign, uid, whole, home, root, df, have, need): the signatures that several components have, of the sets that
+    have as many of them as a link to another component needs. df counts the sets of a signature."""
+    rooted = _rooted(rows.select("sign", "uid", "whole", "home"), roots)
+    spans = rooted.groupBy("sign").agg(
+        F.min("root").alias("_low"), F.max("root").alias("_high"), F.max("whole").alias("_whole"), F.max("home").alias("_home"), F.count("*").alias("df")
+    )
+    spans = spans.where((F.col("_low") < F.col("_high")) & F.col("_whole") & F.col("_home")).select("sign", "df")
+    need = F.when(F.col("home"), F.col("need_home")).otherwise(F.col("need_guest"))
+    kept = rooted.join(spans, "sign").join(needs, "uid").withColumn("need", need).drop("need_home", "need_guest")
+    return kept.withColumn("have", F.count("*").over(Window.partitionBy("uid", "home"))).where("have >= need")
 
 
-def linked(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+def rarest(rows: DataFrame) -> DataFrame:
+    """Of each set's useful signatures the rarest, as many as leave too few for a link."""
+    w = Window.partitionBy("uid", "home").orderBy("df", "sign", F.col("whole").desc())
+    return rows.withColumn("_at", F.row_number().over(w)).where("_at <= have - need + 1").drop("_at", "have", "need")
 
-    A component is what links reach; its id is the smallest doc_id in it. Sets link when 100 * intersection >= percent
-    * union. A null text is empty; a text without words has no shingles and links with nothing, its component is its
-    own doc_id. Repeated rows are copies of each other. A null doc_id takes part but is never a component's id unless
-    all in it are null.
+
+def largest_partner(hard: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(uid, root, upto) of those ``hard`` sets (uid, root) that can link with one of another component, and the size
+    that such a partner has at most.
+
+    A set of n shingles, of which f are found in other components of ``hard`` too, has at most f in common with a
+    partner of m, and a link takes percent * (n + m) / (100 + percent).
     """
+    held = scratch.write(hard.join(sets.select("uid", "n", "members"), "uid").select("uid", "root", "n", "members"))
+
+    def split(batches):
+        most = 1 << 19
+        for batch in batches:
+            each = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("members")]
+            row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+            tokens = np.concatenate(each) if each else np.empty(0, np.int64)
+            for a in range(0, len(tokens), most):
+                of = pa.array(row[a : a + most])
+                yield with_columns(batch.select(["uid", "root"]).take(of), ["uid", "root"], {"token": tokens[a : a + most]})
+
+    tokens = held.select("uid", "root", "members").mapInArrow(split, "uid long, root long, token long")
+    spread = tokens.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("token")
+    foreign = tokens.join(spread, "token").groupBy("uid").count()
+    upto = F.floor(F.col("count") * F.lit(100 + percent) / F.lit(percent)) - F.col("n")
+    found = held.select("uid", "root", "n").join(foreign, "uid").select("uid", "root", "n", upto.alias("upto"))
+    out = scratch.write(found.where(100 * F.col("upto") >= percent * F.col("n")).select("uid", "root", "upto"))
+    scratch.drop(held)
+    return out
+
+
+def compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, home_a, home_b) of useful rows (with n, sketches, upto) of one signature and different components
+    that sizes and sketches leave room for.
+
+    The largest component of a signature is never compared with itself, and its sets are dealt over blocks.
+    """
+    by_root = rows.groupBy("sign", "root").count()
+    largest = by_root.groupBy("sign").agg(F.max(F.struct("count", "root"))["root"].alias("_most"), F.sum("count").alias("_size"))
+    placed = rows.join(largest, "sign").withColumn("_blocks", F.ceil(F.col("_size") / F.lit(BLOCK)).cast("int"))
+    side = lambda df, name, *more: df.select("sign", *[F.col(c).alias(f"{c}_{name}") for c in (*PARTS, "whole", "upto")], *more)
+    block = F.pmod(F.xxhash64("uid"), F.col("_blocks")).cast("int").alias("block")
+    a = side(placed.where("root != _most"), "a", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
+    b = side(placed, "b", block, (F.col("root") == F.col("_most")).alias("most_b"))
+    met = a.join(b, ["sign", "block"]).where(
+        (F.col("root_a") != F.col("root_b"))
+        & (F.col("most_b") | (F.col("uid_a") < F.col("uid_b")))
+        & (F.col("whole_a") | F.col("whole_b"))
+        & (F.col("home_a") | F.col("home_b"))
+        & (F.col("n_a") <= F.col("upto_b"))
+        & (F.col("n_b") <= F.col("upto_a"))
+        & may_link(percent)
+    )
+    return met.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"), "home_a", "home_b").distinct()
+
+
+def joined(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, text_hash, n_shingles, root (the identity of the component; null for
+    a text without words)."""
     docs = docs.select("doc_id", "text")
-    n_docs = docs.count()
-    plain = scratch.write(described(docs, width))
-    vertices = scratch.write(plain.where("n_shingles > 0").groupBy("uid").agg(F.min("doc_id").alias("first")))
-
-    # Whole rows first: a signature whose first row is not whole, or that only one set has, joins nothing.
-    w = Window.partitionBy("sign").orderBy(F.col("flags").desc(), "uid")
-    ends = {"_top": F.first("flags").over(w), "_first": F.first("uid").over(w), "_next": F.lead("uid").over(w)}
-    placed = signed(docs, width, percent, n_docs).withColumns(ends)
-    alone = (F.col("uid") == F.col("_first")) & (F.col("_next").isNull() | (F.col("_next") == F.col("uid")))
-    shared = placed.where((F.col("_top") >= 2) & ~alone).select("sign", "uid", "flags")
-    shared = scratch.write(shared.dropDuplicates(["sign", "uid", "flags"]))
-    sets = scratch.write(fetched(docs, vertices, shared.select("uid").distinct(), width, percent, n_docs))
-    whole, home = F.col("flags").bitwiseAND(F.lit(2).cast("byte")) > 0, F.col("flags").bitwiseAND(F.lit(1).cast("byte")) > 0
-    members = scratch.write(
-        shared.join(sets.select("uid", "n", *SKETCH), "uid").select("sign", "uid", whole.alias("whole"), home.alias("home"), "n", *SKETCH)
+    bands, hot = measured(docs, width, percent, docs.count(), scratch)
+    plain = scratch.write(described(docs, width, percent, bands))
+    vertices = scratch.write(
+        plain.where("n_shingles > 0").groupBy("uid").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("need_home", "need_guest")])
     )
+    needs = vertices.select("uid", "need_home", "need_guest")
+
+    # Whole rows first, those at home first of them: a signature that only one set has joins nothing.
+    flag = lambda bit: F.col("flags").bitwiseAND(F.lit(bit).cast("byte")) > 0
+    w = Window.partitionBy("sign", "salt").orderBy(F.col("flags").desc(), "uid")
+    ends = {"_first": F.first("uid").over(w), "_next": F.lead("uid").over(w)}
+    placed = signed(docs, width, percent, bands, hot).withColumns(ends)
+    alone = (F.col("uid") == F.col("_first")) & (F.col("_next").isNull() | (F.col("_next") == F.col("uid")))
+    shared = placed.where(flag(4) | ~alone).dropDuplicates(["sign", "salt", "uid", "flags"])
+    shared = scratch.write(shared.select("sign", "uid", flag(2).alias("whole"), flag(1).alias("home")))
+    base = scratch.write(useful(shared, needs))
     scratch.drop(shared)
+    sets = scratch.write(fetched(docs, vertices, base.select("uid").distinct(), width, percent, bands))
+    sketches = sets.select("uid", "n", *SKETCH)
+    members = scratch.write(rarest(useful(base, needs)).drop("root").join(sketches, "uid"))
+
     possible = may_link(percent)
     home = F.col("home_a") | F.col("home_b")
     roots = None
     for turn in range(CHAIN_ROUNDS):
-        mixed_now = scratch.write(_mixed_signs(members, roots))
-        w = Window.partitionBy("sign").orderBy(F.xxhash64("uid", "sign", F.lit(turn)))
+        rooted = _rooted(members, roots)
+        if roots is not None:
+            spans = rooted.groupBy("sign").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high")
+            rooted = rooted.join(spans.select("sign"), "sign", "left_semi")
+        block = F.pmod(F.xxhash64("uid", F.lit(turn)), F.ceil(F.col("df") / F.lit(BLOCK)))
+        w = Window.partitionBy("sign", "_block").orderBy(F.xxhash64("uid", "sign", F.lit(turn)))
         a = [F.col(c).alias(f"{c}_b") for c in (*PARTS, "whole")]
         b = [F.col("_next")[c].alias(f"{c}_a") for c in (*PARTS, "whole")]
-        chained = mixed_now.withColumn("_next", F.lead(F.struct(*PARTS, "whole")).over(w)).where("_next is not null").select(*a, *b)
+        chained = rooted.withColumn("_block", block).withColumn("_next", F.lead(F.struct(*PARTS, "whole")).over(w)).where("_next is not null").select(*a, *b)
         met = chained.where((F.col("root_a") != F.col("root_b")) & (F.col("whole_a") | F.col("whole_b")) & home & possible)
         # Each set with the neighbour that is nearest by size and bitmap.
         nearness = (_apart() / (F.col("n_a") + F.col("n_b"))).alias("far")
         best = met.groupBy(F.col("uid_b").alias("b")).agg(F.min(F.struct(nearness, F.col("uid_a").alias("a"), "home_a", "home_b")).alias("best"))
         near = scratch.write(closer(best.select("b", "best.a", "best.home_a", "best.home_b"), sets, percent))
         roots = joined_up(verified(near, sets, percent, scratch), roots, scratch)
-        scratch.drop(mixed_now)
-
-    # Within a signature, all pairs of components that are still apart.
-    rest = scratch.write(_mixed_signs(members, roots))
-    a, b = _side(rest, "a"), _side(rest, "b")
-    apart = (F.col("uid_a") < F.col("uid_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("whole_a") | F.col("whole_b"))
-    pairs = a.join(b, (a["sign"] == b["sign"]) & apart & home & possible)
-    pairs = pairs.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"), "home_a", "home_b").distinct()
-    pairs = scratch.write(closer(scratch.write(pairs), sets, percent))
+    scratch.drop(members)
+
+    # The sets of different components that still share signatures; what they hold alone rules most of them out.
+    rest = base.select("sign", "uid", "whole", "home")
+    rest = scratch.write(useful(rest, needs, roots))
+    for _ in range(2):
+        partners = largest_partner(rest.select("uid", "root").distinct(), sets, percent, scratch)
+        left = rest.select("sign", "uid", "whole", "home").join(partners.select("uid"), "uid", "left_semi")
+        rest = scratch.write(useful(left, needs, roots))
+    last = rarest(rest).join(partners.select("uid", "upto"), "uid").join(sketches, "uid")
+    pairs = scratch.write(closer(scratch.write(compared(scratch.write(last), percent)), sets, percent))
     final = joined_up(verified(pairs, sets, percent, scratch), roots, scratch)
+    named = scratch.write(vertices.select("uid", "first").join(final, "uid", "left").select("uid", "first", F.coalesce("root", "uid").alias("root")))
+    scratch.drop(sets, base)
+    return plain.join(named.select("uid", "root"), "uid", "left").select("doc_id", "text_hash", "n_shingles", "root")
+
+
+def linked(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id. Other columns are not carried.
 
-    joined = vertices.join(final, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = scratch.write(joined.join(smallest, "root").select("uid", "component_id"))
-    scratch.drop(sets, members)
-    out = plain.join(named, "uid", "left")
+    A component is what links reach; its id is the smallest doc_id in it. Sets link when 100 * intersection >= percent
+    * union. A null text is empty; a text without words has no shingles and links with nothing, its component is its
+    own doc_id. Repeated rows are copies of each other. A null doc_id takes part but is never a component's id unless
+    all in it are null. An empty table gives no rows. Ties (equal sizes, equal distances) never change a component.
+    """
+    found = scratch.write(joined(docs, scratch, width, percent))
+    smallest = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(smallest, "root", "left")
     # Sets without shingles are in no component but their own.
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def distinct_documents(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80) -> DataFrame:
+    """Of ``docs`` (doc_id, text, ...) one row of each component: that of the smallest doc_id (null last; then the
+    smallest hash of the text). Of rows with equal doc_id and text one stays; a text without words is a component of
+    its own."""
+    found = scratch.write(joined(docs, scratch, width, percent))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    best = found.where("root is not null").groupBy("root").agg(F.min(row).alias("row")).select("row.doc_id", "row.text_hash")
+    empty = found.where("root is null").select("doc_id", "text_hash")
+    stays = best.union(empty).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct().hint("merge")
+    hashed = docs.withColumn("_text", F.xxhash64("text"))
+    kept = hashed.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+
 def op6_shingle_join(spark, sf_dir: str) -> DataFrame:
     found = linked(table(spark, sf_dir, "documents"), Scratch(spark, "op6"), width=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id")

@@ -399,8 +399,7 @@ def test_both_schemes_find_every_near_pair():
     r = np.random.default_rng(3)
     for high in (10, 30, 80):
         for deletion in (False, True):
-            b = shingle_join.allotted(1, high // 2, high, 85, 10**9 if deletion else 0)
-            assert b.deletion == deletion or high > 60
+            b = shingle_join.band(1, high // 2, high, 85, deletion)
             for _ in range(60):
                 x = r.integers(0, 2**63, high - int(high * 0.1), dtype=np.uint64)
                 drop = r.integers(0, b.most + 1)
@@ -414,6 +413,72 @@ def test_both_schemes_find_every_near_pair():
                 assert whole(sx) & every(sy) or every(sx) & whole(sy)
 
 
+def test_agreed_signatures_and_rows_a_set():
+    """Linked sets agree on as many signatures as the pruning takes for granted, and no choice looks at a table's size."""
+    r = np.random.default_rng(8)
+    bands = shingle_join.bands_of(80)
+    keys = lambda x, b: {int(k) >> 2 for part in shingle_join.signatures(x, b, True) for k in part}
+    for n in r.integers(5, 300, 300).tolist():
+        x = r.integers(0, 2**63, n, dtype=np.uint64)
+        drop = int(r.integers(0, n // 5 + 1))
+        y = np.concatenate([x[drop:], r.integers(0, 2**63, int(r.integers(0, n // 9 + 1)), dtype=np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        if 100 * len(np.intersect1d(x, y)) < 80 * len(np.union1d(x, y)):
+            continue
+        (hx, gx), (hy, gy) = (shingle_join._own_bands(len(z), 80, bands) for z in (x, y))
+        for bx, by in ((hx, hy), (hx, gy), (gx, hy)):
+            if bx is not None and bx is by:
+                assert len(keys(x, bx) & keys(y, bx)) >= max(shingle_join.agreed(len(x), bx, 80), shingle_join.agreed(len(y), bx, 80)) > 0
+                break
+        else:
+            assert np.array_equal(x, y)
+    assert shingle_join.allotted((300, 90), (900, 0)) == shingle_join.allotted((3_000_000, 900_000), (9_000_000, 0))
+    assert shingle_join.allotted((300, 90), (900, 0)) and not shingle_join.allotted((300, 9), (900, 0)) and not shingle_join.allotted((300, 300), (0, 0))
+
+
+def test_shingle_join_of_a_large_group(spark):
+    """2000 near copies and 2000 texts that miss them narrowly, against all pairs."""
+    r, width, percent = random.Random(5), 4, 85
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(4000):
+        w, edits = list(base), r.choice((1, 1, 1, 2)) if i < 2000 else r.choice((2, 3, 3))
+        for _ in range(edits):
+            at = r.randrange(len(w))
+            w[at : at + r.choice((1, 1, 2))] = [f"n{r.randrange(30)}" if r.random() < 0.5 else f"u{i}"] * r.choice((0, 1, 1, 2))
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (t.split() for _, t in rows)]
+    place = {}
+    for s in sets:
+        for x in s:
+            place.setdefault(x, len(place))
+    m = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[x] for x in s]] = 1
+    n = m.sum(1).astype(int)
+    both = (m @ m.T).astype(int)
+    near = 100 * both >= percent * (n[:, None] + n[None] - both)
+    want = np.arange(len(sets))
+    while True:
+        low = np.where(near, want[None], len(sets)).min(1)
+        low = low[low]
+        if (low == want).all():
+            break
+        want = low
+    assert len(set(want.tolist())) > 100 and np.bincount(want).max() > 1500
+    got = shingle_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "test"), width, percent)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == {i: (int(n[i]), int(want[i])) for i in range(len(sets))}
+
+
+def test_distinct_documents(spark):
+    """One row of each component, also where ids are null, repeated or of other columns' names."""
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, near, "x"), (None, near + " end", "y"), (None, "other words here", "x"), (None, "other words here", "y"), (4, near, "z"), (9, "q", "x"), (9, "r", "x"), (8, None, "x"), (8, "", "x"), (8, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    got = [(x.doc_id, x.text) for x in shingle_join.distinct_documents(df, Scratch(spark, "test")).collect()]
+    assert sorted(got, key=repr) == sorted([(4, near), (None, "other words here"), (9, "q"), (9, "r"), (8, None), (8, "")], key=repr)
+
+
 # lines
 
 
