@@ -36,11 +36,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each component of near duplicates (five words, 0.8 or more), and
-    one of rows that repeat. What has no doc_id stays only in a component where nothing has one."""
-    found = shingle_join.linked(docs, Scratch(spark, "pipeline-near"), width=5, percent=80)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct().hint("merge")
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+    one of rows that repeat. What has no doc_id stays only in a component where nothing has one, and then one of it."""
+    return shingle_join.distinct_documents(docs, Scratch(spark, "pipeline-near"), width=5, percent=80).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
