@@ -3,8 +3,10 @@
 A document's ids, ended by one separator, are cut into whole windows and a tail shorter than a window. The histogram of
 tail lengths (at most ``window - 1`` counts, whatever the corpus) goes to the driver, which enumerates the combinations
 of up to ``depth`` lengths that fill a window exactly, solves for their repeat counts by non-negative least squares,
-rounds them within what the histogram holds, and lays the tails that are left end to end, cutting the one that crosses
-the end of a window. The stream's last, partial window is cut at powers of two, so nothing is padded.
+and rounds them within what the histogram holds. The residue is packed greedily: the longest tail with what fits best
+behind it, as often as the histogram allows, wherever that fills a window exactly. Only what no window takes whole is
+laid end to end, cutting the tail that crosses the end of a window. The stream's last, partial window is cut at powers
+of two, so nothing is padded.
 
 The plan is a table of intervals: the tails of one length are numbered, and each interval of numbers has its sequences
 and offset. Numbering is distributed: tails are dealt by (length, salt), numbered within, and shifted by the counts of
@@ -20,8 +22,10 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cartulary.llm.shared import Scratch, table, with_columns
 
@@ -29,23 +33,47 @@ from cartulary.llm.shared import Scratch, table, with_columns
 SALTS = 1024
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str):
-    """text -> ids as a little-endian unsigned 32-bit array; a vocabulary for tokenizers (.json) or tiktoken."""
-    if path.endswith(".json"):
-        from tokenizers import Tokenizer
+#: Characters that every version of Unicode's tables sorts alike, so that the pattern below splits as the vocabulary's
+#: own does: ASCII, Latin letters and signs, dashes and quotation marks. A text with any other is encoded in one go.
+_OTHER = regex.compile(r"[^\t\n\r\x20-\x7E\xA0-\u024F\u2010-\u2027\u20AC]")
+_SPLIT = regex.compile(public_tokenizers.PATTERN)
+#: A worker remembers the ids of so many words, and of no word longer than this.
+REMEMBERED, LONGEST = 400_000, 64
+
+
+class Encoder:
+    """text -> ids of a vocabulary for tokenizers, as a little-endian unsigned 32-bit array.
+
+    Merges never cross the words that the vocabulary's pattern cuts, so a word's ids are asked for once.
+    """
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4")
-    import base64
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, list[int]] = {}
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str) -> np.ndarray:
+        if _OTHER.search(text):
+            return np.array(self.whole(text), dtype="<u4")
+        known, out = self.known, []
+        for word in _SPLIT.findall(text):
+            ids = known.get(word)
+            if ids is None:
+                ids = self.whole(word)
+                if len(word) <= LONGEST:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[word] = ids
+            out += ids
+        return np.array(out, dtype="<u4")
 
-    import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.asarray(t.encode_to_numpy(text), dtype="<u4") if text else np.empty(0, "<u4")
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def tokenized(docs: DataFrame, path: str, window: int, separator: int = 0) -> DataFrame:
@@ -135,6 +163,40 @@ class Plan:
         return np.array(out, dtype=np.int64)
 
 
+def greedy(left: np.ndarray, window: int):
+    """Yields (lengths, times) of combinations that fill a window exactly: behind the longest tail the one that fills
+    the rest, else the two that do, else the longest that fits. ``left`` is brought down to what no window took."""
+    counts = left.copy()
+    for longest in np.flatnonzero(counts)[::-1].tolist():
+        while counts[longest]:
+            have, combo, room = counts.copy(), [longest], window - longest
+            have[longest] -= 1
+            while room:
+                low = np.arange(1, room // 2 + 1)
+                two = np.where(low * 2 == room, have[low] // 2, np.minimum(have[low], have[room - low]))
+                if have[room]:
+                    add = [room]
+                elif two.any():
+                    k = int(np.argmax(two)) + 1
+                    add = [room - k, k]
+                else:
+                    add = np.flatnonzero(have[: room + 1])[-1:].tolist()
+                if not add:
+                    break
+                for x in add:
+                    have[x] -= 1
+                combo += add
+                room -= sum(add)
+            if room:  # no exact fill: these go to the stream
+                counts[longest] = 0
+                break
+            sizes, each = np.unique(combo, return_counts=True)
+            times = int((counts[sizes] // each).min())
+            counts[sizes] -= each * times
+            left[sizes] -= each * times
+            yield combo, times
+
+
 def plan(histogram: dict[int, int], window: int, depth: int = 3) -> Plan:
     """Packs a histogram of lengths below ``window``. Its size depends on the window only."""
     counts = np.zeros(window, np.int64)
@@ -143,22 +205,27 @@ def plan(histogram: dict[int, int], window: int, depth: int = 3) -> Plan:
     left, used = counts.copy(), np.zeros(window, np.int64)
     combos = combinations(np.flatnonzero(counts), window, depth)
     slots, sequence = [], 0
+
+    def take(combo: list[int], n: int) -> None:
+        nonlocal sequence
+        offset = 0
+        for length in combo:
+            slots.append((length, used[length], sequence, offset))
+            used[length] += n
+            offset += length
+        sequence += n
+
     if combos:
         xs = solve(combos, counts.astype(float))
         order = sorted(((x, i, j) for i, each in enumerate(xs) for j, x in enumerate(each) if x > 1e-6), reverse=True)
         for x, i, j in order:
-            combo = combos[i][j]
-            sizes, times = np.unique(combo, return_counts=True)
+            sizes, times = np.unique(combos[i][j], return_counts=True)
             n = int(min(np.ceil(x), (left[sizes] // times).min()))
-            if n <= 0:
-                continue
-            offset = 0
-            for length in combo[::-1]:
-                slots.append((length, used[length], sequence, offset))
-                used[length] += n
-                offset += length
-            left[sizes] -= n * times
-            sequence += n
+            if n > 0:
+                left[sizes] -= n * times
+                take(combos[i][j][::-1].tolist(), n)
+    for combo, n in greedy(left, window):
+        take(combo, n)
     rest, at = [], 0
     for length in np.flatnonzero(left)[::-1]:
         rest.append((length, used[length], at))
@@ -215,6 +282,7 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, window: int = 1024, separ
 
     ``docs`` needs doc_id and text; a null text is packed as an empty one, so as the separator alone. Repeated rows and
     repeated or null doc_ids are packed row by row. Other columns are not carried. An empty table gives no pieces.
+    A text is encoded whole, whatever its length. Ties between combinations go to the first in order of their lengths.
     Sequence ids are unique; those of packed tails come first and have no gaps, those of whole windows may have.
     """
     tokens = scratch.write(tokenized(docs, path, window, separator))
@@ -274,6 +342,5 @@ def _cut(tokens: DataFrame, spots: DataFrame, p: Plan) -> DataFrame:
 
 
 def op1_packing(spark, sf_dir: str, path: str | None = None) -> DataFrame:
-    """The vocabulary is that of byte_bpe_50k.json; its tiktoken form gives the same ids in a quarter of the time."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, path or public_tokenizers.path("byte_bpe_50k.tiktoken"), Scratch(spark, "op1"))
+    return pack(docs, path or public_tokenizers.path("byte_bpe_50k.json"), Scratch(spark, "op1"))
