@@ -53,6 +53,23 @@ def buckets(raw: np.ndarray, starts: np.ndarray, n_buckets: int, fold: bool = Tr
     return (h >> np.uint32(32 - int(n_buckets).bit_length() + 1)).astype(np.int64)
 
 
+def stretches(raw: np.ndarray, starts: np.ndarray, n_buckets: int, most: int = 4 << 20):
+    """(buckets, starts, first text) of runs of whole texts with at most ``most`` bytes; a longer text comes in several
+    stretches, each with the buckets that the whole text has there."""
+    a = 0
+    while a < len(starts) - 1:
+        b = max(int(np.searchsorted(starts, starts[a] + most, side="right")) - 1, a + 1)
+        own = raw[starts[a] : starts[b]]
+        if len(own) <= most:
+            yield buckets(own, starts[a : b + 1] - starts[a], n_buckets), starts[a : b + 1] - starts[a], a
+        else:
+            for at in range(0, len(own), most):
+                low, high, end = max(at - 1, 0), min(at + most + 1, len(own)), min(at + most, len(own))
+                codes = buckets(own[low:high], np.array([0, high - low]), n_buckets)[at - low : end - low]
+                yield codes, np.array([0, len(codes)]), a
+        a = b
+
+
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The sum over each stretch between ``starts``; an empty one sums to 0."""
     out = np.zeros(len(starts) - 1, np.float64)

@@ -5,7 +5,8 @@ then one against one between the languages of the family that won. All machines
 a text is scored by sums of table rows over its bytes.
 
 Training: rows whose crc32(doc_id) modulo 4 is not 2, with a language and a letter in their text; of each language
-those with the smallest hashes of doc_id and text, about ``rows_per_language`` of them (the only bound; scoring covers all texts whole).
+those with the smallest hashes of doc_id and text, about ``rows_per_language`` of them, and about ``MOST_ROWS`` of all
+languages together (the only bounds; scoring covers all texts whole). A repeated row is drawn once.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.byte_grams import buckets, buffer, histograms, sums
+from cartulary.llm.byte_grams import buffer, stretches, sums
 from cartulary.llm.shared import crc_mod, table, with_columns
 
 BUCKETS = 8192
 ROWS_PER_LANGUAGE = 600
+MOST_ROWS = 8000
 
 #: Language families by ISO 639-1 code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -38,10 +40,10 @@ def family(lang: str) -> str:
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
     """Weights of a linear machine with squared hinge loss, by dual coordinate descent; the last one is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     rng, w, alpha = np.random.default_rng(seed), np.zeros(x.shape[1]), np.zeros(len(x))
     cost = c / np.array([np.mean(y == v) * 2 for v in y])  # classes weigh alike
-    diagonal = np.einsum("ij,ij->i", x, x) + 1 / (2 * cost)
+    diagonal = np.einsum("ij,ij->i", x, x).astype(np.float64) + 1 / (2 * cost)
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
             gradient = y[i] * (x[i] @ w) - 1 + alpha[i] / (2 * cost[i])
@@ -98,32 +100,44 @@ def _vote(margins: np.ndarray, pairs: list[tuple[str, str]], names: list[str]) -
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, n_buckets: int = BUCKETS) -> Hierarchy | None:
     """Fits on ``docs`` (doc_id, text, lang); None where no row has both a language and a letter, or none is drawn.
 
-    The driver gets one row of ``n_buckets`` shares for each sampled row.
+    The driver gets the trigrams of each sampled row and its share of each, so a bounded number of rows of a bounded
+    size. The rows are put in order, so the same table gives the same machines.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, rows_per_language / n))])
-    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1_000_003)) / 1_000_003.0
+    wanted = min(rows_per_language, max(MOST_ROWS // len(counts), 1))
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, wanted / n))])
+    place = F.xxhash64("doc_id", "text", F.lit("language"))
+    drawn = (place / F.lit(2.0**64) + 0.5) <= share[F.col("lang")]
 
     def shares(batches):
         for batch in batches:
             raw, starts = buffer(batch.column("text"))
-            codes = buckets(raw, starts, n_buckets)
-            out = [histograms(codes[starts[i] : starts[i + 1]], starts[i : i + 2] - starts[i], n_buckets)[0].tobytes() for i in range(len(starts) - 1)]
-            yield with_columns(batch, ["lang"], {"shares": out}, {"shares": pa.binary()})
-
-    most = 2 * rows_per_language * len(counts)  # repeated rows could share a small hash
-    sample = rows.where(place < share[F.col("lang")]).select("lang", "text").mapInArrow(shares, "lang string, shares binary").limit(most).collect()
+            found: list[list] = [[] for _ in range(batch.num_rows)]
+            for codes, own, first in stretches(raw, starts, n_buckets):
+                for i in range(len(own) - 1):
+                    found[first + i].append(np.bincount(codes[own[i] : own[i + 1]], minlength=n_buckets))
+            out = {"at": [], "share": []}
+            for i, parts in enumerate(found):
+                total = sum(parts, np.zeros(n_buckets, np.int64))
+                used = np.flatnonzero(total)
+                out["at"].append(used.astype("<u2").tobytes())
+                out["share"].append((total[used] / max(int(starts[i + 1] - starts[i]), 1)).astype("<f4").tobytes())
+            yield with_columns(batch, ["lang", "place"], out, {"at": pa.binary(), "share": pa.binary()})
+
+    texts = rows.where(drawn).select("lang", place.alias("place"), "text").dropDuplicates(["lang", "place"])
+    sample = texts.mapInArrow(shares, "lang string, place long, at binary, share binary").collect()
     if not sample:
         return None
-    x = np.stack([np.frombuffer(r["shares"], np.float32) for r in sample])
+    sample.sort(key=lambda r: (r["lang"], r["place"]))
+    x = np.zeros((len(sample), n_buckets), np.float32)
+    for i, r in enumerate(sample):
+        x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["share"], "<f4")
     norm = max(float(np.linalg.norm(x, axis=1).mean()), 1e-9)
-    x = x / norm
+    x /= np.float32(norm)
     langs = np.array([r["lang"] for r in sample])
-    order = np.lexsort((x[:, 0], langs))
-    x, langs = x[order], langs[order]
     families: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         families.setdefault(family(lang), []).append(lang)
@@ -142,7 +156,9 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, n_buckets
 def predict(docs: DataFrame, found: Hierarchy | None, n_buckets: int = BUCKETS) -> DataFrame:
     """Adds lang_pred and score to doc_id and held_out.
 
-    A null text, one without a letter, or any text where nothing could be learned, is ``und`` with score 0.
+    A null text, one without a letter, or any text where nothing could be learned, is ``und`` with score 0. Ties between
+    languages go to the first by name. Repeated rows and doc_ids, null ones too, are scored row by row; other columns
+    are not carried. A text is read in stretches of 4 MB, so its length does not matter. An empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     ready = docs.select("doc_id", "held_out", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
@@ -152,15 +168,14 @@ def predict(docs: DataFrame, found: Hierarchy | None, n_buckets: int = BUCKETS)
 
     def score(batches):
         h = shared.value
+        columns = np.ascontiguousarray(h.weights[:-1].T, np.float32)
         for batch in batches:
             raw, starts = buffer(batch.column("text"))
-            codes = buckets(raw, starts, n_buckets)
-            length = np.maximum(np.diff(starts), 1)
-            margins = np.stack(
-                [sums(np.ascontiguousarray(h.weights[:-1, k], np.float32)[codes], starts) / length + h.weights[-1, k] for k in range(h.weights.shape[1])]
-                or [np.zeros(len(length))],
-                axis=1,
-            )[:, : h.weights.shape[1]]
+            margins = np.zeros((batch.num_rows, h.weights.shape[1]))
+            for codes, own, first in stretches(raw, starts, n_buckets):
+                for k, w in enumerate(columns):
+                    margins[first : first + len(own) - 1, k] += sums(w[codes], own)
+            margins = margins / np.maximum(np.diff(starts), 1)[:, None] + h.weights[-1]
             langs, sure = h.predict(margins)
             letter = batch.column("_letter").to_numpy(zero_copy_only=False)
             langs = [lang if ok else "und" for lang, ok in zip(langs, letter, strict=True)]
