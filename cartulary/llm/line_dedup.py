@@ -181,16 +181,17 @@ def dedup(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> Data
     """
     gone = scratch.write(deletions(scratch.write(lines_of(docs)), scratch, min_words))  # cut: the texts are read again
     kept = docs.drop("n_lines", "n_deleted", "deleted").withColumn("_key", F.xxhash64("doc_id", "text"))
-    joined = kept.join(gone.withColumnRenamed("key", "_key").hint("merge"), "_key", "left")  # its size has no bound
+    renamed = gone.select(F.col("key").alias("_key"), F.col("gone").alias("_gone"))
+    joined = kept.join(renamed.hint("merge"), "_key", "left")  # its size has no bound
     split = F.split("text", "\n")
-    left = F.array_join(F.filter(F.col("_split"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    left = F.array_join(F.filter(F.col("_split"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return (
-        joined.withColumn("_split", F.when(F.size("gone") > 0, split))
+        joined.withColumn("_split", F.when(F.size("_gone") > 0, split))
         .withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.size("gone") > 0, left).otherwise(F.col("text")))
-        .withColumn("n_deleted", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-        .withColumn("deleted", F.coalesce(F.array_join("gone", ","), F.lit("")))
-        .drop("_key", "_split", "gone")
+        .withColumn("text", F.when(F.size("_gone") > 0, left).otherwise(F.col("text")))
+        .withColumn("n_deleted", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+        .withColumn("deleted", F.coalesce(F.array_join("_gone", ","), F.lit("")))
+        .drop("_key", "_split", "_gone")
     )
 
 

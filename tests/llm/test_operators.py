@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from datetime import date
 
 import numpy as np
 import pytest
@@ -59,7 +60,7 @@ def _check_pieces(pieces, rows, window):
 
 
 def test_packing(spark, odd):
-    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.pack(odd, vocabulary, Scratch(spark, "test"), window=64).collect()
     _check_pieces(pieces, ROWS, 64)
     assert packing.pack(odd.limit(0), vocabulary, Scratch(spark, "test")).count() == 0
@@ -79,13 +80,30 @@ def test_packing_pieces_hold_their_ids(spark, docs):
         assert at == len(ids)
 
 
-def test_both_vocabularies_agree():
-    a, b = (packing.encoder(public_tokenizers.path(f"byte_bpe_50k.{k}")) for k in ("json", "tiktoken"))
+def test_words_are_encoded_as_whole_texts():
+    e = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
     r = random.Random(3)
-    marks = [*map(chr, range(0x20, 0x250)), "\n", "\t", "　", "😀", "'s", "<|endoftext|>", "  "]
-    for _ in range(300):
-        text = "".join(r.choices(marks, k=40))
-        assert a(text).tolist() == b(text).tolist()
+    marks = [*map(chr, range(0x20, 0x250)), *map(chr, range(0x2010, 0x2028)), "\u20ac", "\n", "\t", "\r", "'s", "<|endoftext|>", "  "]
+    other = [*marks, "\u3000", "\U0001f600", "\x1c", "\x00", "\u0e01", "\u200b"]
+    for k in range(600):
+        text = "".join(r.choices(marks if k % 3 else other, k=40))
+        assert e(text).tolist() == e.whole(text)
+
+
+def test_greedy_fills_windows_before_anything_is_cut():
+    r = np.random.default_rng(2)
+    for _ in range(20):
+        counts = np.where(r.random(64) < 0.3, r.integers(0, 40, 64), 0)
+        counts[0] = 0
+        left = counts.copy()
+        taken = np.zeros(64, int)
+        for combo, n in packing.greedy(left, 64):
+            assert sum(combo) == 64 and n > 0
+            np.add.at(taken, combo, n)
+        assert (taken + left == counts).all()
+    many = packing.plan(dict.fromkeys(range(1, 64), 1000), 64)
+    left = set(many.rest[:, 0].tolist())
+    assert not any(64 - x in left for x in left)
 
 
 def test_solver_fits_a_histogram_it_can_fit():
@@ -116,6 +134,40 @@ def test_pseudonyms(spark, odd):
     assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted((i or 0, t or "") for i, t in ROWS) and {r.n_values for r in out} == {0}
 
 
+def test_dates_keep_their_link_their_order_and_their_width():
+    one = {k: pseudonyms.replaced(t, b"k")[0] for k, t in {"iso": "2021-06-03", "dot": "03.06.2021", "short": "3/6/2021"}.items()}
+    y, m, d = one["iso"].split("-")
+    assert one["dot"] == f"{d}.{m}.{y}" and one["short"] == f"{int(d)}/{int(m)}/{y}"
+    assert re.fullmatch(r"\d/\d/\d{4}", one["short"])
+    y, m, d = pseudonyms.replaced("1991-06-21", b"k")[0].split("-")
+    assert pseudonyms.replaced("06/21/1991", b"k")[0] == f"{m}/{d}/{y}" and int(d) > 12
+    days = [date.fromordinal(n) for n in range(date(1950, 1, 1).toordinal(), date(1985, 1, 1).toordinal())]
+    forms = [f"{x:%d/%m/%Y}" for x in days] + [f"{x:%m/%d/%Y}" for x in days if x.day > 12]
+    assert len({pseudonyms.replaced(x, b"k")[0] for x in forms}) == len(forms)
+
+
+def test_different_values_stay_different():
+    """As many pseudonyms as values, each valid and of its value's format."""
+    r = random.Random(6)
+    luhn = lambda body: body + str(-pseudonyms.luhn(body + "0") % 10)
+    made = {
+        "card": {luhn(f"4{r.randrange(10**14):014d}") for _ in range(4000)},
+        "phone": {f"+44 20 {r.randrange(10**4):04d} {r.randrange(10**4):04d}" for _ in range(4000)},
+        "ssn": {f"{r.randrange(1, 600):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10**4):04d}" for _ in range(4000)} - {f"666-{i:02d}" for i in range(100)},
+        "ip": {f"10.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}" for _ in range(4000)},
+        "email": {f"ab{r.randrange(10**6):06d}@mail.example.com" for _ in range(4000)},
+    }
+    for kind, values in made.items():
+        out = {}
+        for v in values:
+            new, found = pseudonyms.replaced(v, b"k")
+            assert [k for _, _, k in found] == [kind], v
+            out[v] = new
+        assert len(set(out.values())) == len(values)
+        if kind != "ip":  # its numbers have one to three digits
+            assert all(re.sub("[a-z]", "a", re.sub("[0-9]", "0", a)) == re.sub("[a-z]", "a", re.sub("[0-9]", "0", b)) for a, b in out.items())
+
+
 @pytest.mark.parametrize(
     ("kind", "before", "value", "after"),
     [
@@ -208,6 +260,32 @@ def test_language_id_without_ids(spark):
     assert language_id.train(one, 0) is None
 
 
+def test_language_id_of_odd_tables(spark):
+    kind = "doc_id long, text string, lang string, held_out boolean, score string"
+    rows = [(i, f"{word} {i}", lang, False, "x") for lang, word in (("en", "the house"), ("de", "das haus")) for i in range(40)]
+    model = language_id.train(spark.createDataFrame(rows * 2, kind), 20)
+    once = language_id.train(spark.createDataFrame(rows, kind), 20)
+    assert model.families == once.families
+    assert language_id.train(spark.createDataFrame([], kind)) is None
+    assert language_id.predict(spark.createDataFrame([], kind), model).count() == 0
+    long = [(1, "das haus " * 6_000_000, None, False, "x"), (2, "the house", None, False, "x"), (2, "the house", None, False, "x")]
+    got = [(r.doc_id, r.lang_pred) for r in language_id.predict(spark.createDataFrame(long, kind), model).collect()]
+    assert sorted(got) == [(1, "de"), (2, "en"), (2, "en")]
+
+
+def test_long_texts_have_the_same_trigrams_in_stretches():
+    r = np.random.default_rng(1)
+    texts = ["".join(map(chr, r.integers(32, 127, n))) for n in (0, 3, 50, 1, 0, 70, 9)]
+    import pyarrow as pa
+
+    raw, starts = byte_grams.buffer(pa.array(texts))
+    whole = byte_grams.buckets(raw, starts, 256)
+    for most in (7, 16, 64, 1000):
+        parts = list(byte_grams.stretches(raw, starts, 256, most))
+        assert np.array_equal(np.concatenate([c for c, _, _ in parts]), whole)
+        assert all(s[-1] == len(c) for c, s, _ in parts) and parts[-1][2] + len(parts[-1][1]) - 1 == len(texts)
+
+
 def test_passage_quality(spark, odd):
     p = {r.doc_id: r for r in passage_quality.op9_passage_quality(spark, SF).collect()}
     labels = [r for r in table(spark, SF, "labels").collect() if r.doc_id in p]
@@ -491,7 +569,7 @@ def test_patience():
 def test_line_dedup(spark):
     passage = "\n".join(f"line {i} with some words of its own to count {i}" for i in range(6))
     rows = [(1, passage, "x"), (2, "new head\n" + passage + "\nnew tail", "x"), (3, passage, "x"), (3, passage, "x"), (4, None, "x"), (5, "", "x"), (None, "short line", "x"), (6, "short line", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, deleted string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, deleted string").withColumns({"gone": F.lit(1), "key": F.lit("k")})
     got = [(r.doc_id, r.text, r.n_deleted) for r in line_dedup.dedup(df, Scratch(spark, "test")).collect()]
     want = [(1, passage, 0), (2, "new head\nnew tail", 6), (3, "", 6), (3, "", 6), (4, None, 0), (5, "", 0), (None, "short line", 0), (6, "short line", 0)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
