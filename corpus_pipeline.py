@@ -48,7 +48,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into windows of 1024 tokens; a row for each piece."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), Scratch(spark, "pipeline-pack"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), Scratch(spark, "pipeline-pack"))
 
 
 STAGES = [
