@@ -15,34 +15,71 @@ the salts before; a length that a third of all documents share is dealt over all
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cartulary.llm.byte_grams import slices
 from cartulary.llm.shared import Scratch, table, with_columns
 
 #: Tails of one length are numbered in so many independent parts.
 SALTS = 1024
 
 
-#: Characters that every version of Unicode's tables sorts alike, so that the pattern below splits as the vocabulary's
-#: own does: ASCII, Latin letters and signs, dashes and quotation marks. A text with any other is encoded in one go.
-_OTHER = regex.compile(r"[^\t\n\r\x20-\x7E\xA0-\u024F\u2010-\u2027\u20AC]")
-_SPLIT = regex.compile(public_tokenizers.PATTERN)
-#: A worker remembers the ids of so many words, and of no word longer than this.
-REMEMBERED, LONGEST = 400_000, 64
+#: The letters, numbers and white space among tab, line ends, ASCII, Latin letters and signs up to U+024F,
+#: dashes, quotation marks and the euro sign. Every version of Unicode's tables sorts these alike, so the pattern below
+#: cuts as the vocabulary's own does. A text with any other character is encoded in one go.
+_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPACES = r"\t\n\r \xa0"
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\u024f\u2010-\u2027\u20ac]")
+_SPLIT = re.compile(
+    rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_NUMBERS}]+| ?[^{_LETTERS}{_NUMBERS}{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+)
+#: A worker remembers the ids of at most twice so many words, and of no word longer than this.
+REMEMBERED, LONGEST = 600_000, 64
+#: Words are cut and looked up for so many characters at a time.
+STRETCH = 1 << 20
+
+
+class Words(dict):
+    """word -> its ids as bytes. When full, it keeps the words of the generation before until they are asked for again."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, words: set[str], encode) -> dict[str, bytes]:
+        """Adds the words that are not known; returns those that are too long to be remembered."""
+        if len(self) + len(words) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        new = []
+        for word in words - self.keys():
+            ids = self.older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self[word] = ids
+        made = dict(zip(new, encode(new), strict=True))
+        long = {w: ids for w, ids in made.items() if len(w) > LONGEST}
+        self.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
+        return long
 
 
 class Encoder:
-    """text -> ids of a vocabulary for tokenizers, as a little-endian unsigned 32-bit array.
+    """texts -> ids of a vocabulary for tokenizers, as little-endian unsigned 32-bit arrays.
 
     Merges never cross the words that the vocabulary's pattern cuts, so a word's ids are asked for once.
     """
@@ -50,25 +87,51 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        self.known = Words()
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __call__(self, text: str) -> np.ndarray:
-        if _OTHER.search(text):
-            return np.array(self.whole(text), dtype="<u4")
-        known, out = self.known, []
-        for word in _SPLIT.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.whole(word)
-                if len(word) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        return np.array(out, dtype="<u4")
+    def _several(self, words: list[str]) -> list[bytes]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        made = (e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False))
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in made]
+
+    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of texts that are cut into words."""
+        long = self.known.learn(set().union(*lists), self._several)
+        if not long:
+            return [b"".join(map(self.known.__getitem__, words)) for words in lists]
+        return [b"".join(long[w] if w in long else self.known[w] for w in words) for words in lists]
+
+    def _stretched(self, text: str) -> bytes:
+        """The ids of a long text, its words looked up a stretch at a time."""
+        words, out = (m.group() for m in _SPLIT.finditer(text)), []
+        while part := list(islice(words, STRETCH // 5)):
+            out += self._ids([part])
+        return b"".join(out)
+
+    def __call__(self, texts: list[str]):
+        """Yields the ids of each text."""
+        out: list[bytes | None] = []
+        cut: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if len(text) > STRETCH or _OTHER.search(text):
+                out.append(np.array(self.whole(text), "<u4").tobytes() if _OTHER.search(text) else self._stretched(text))
+            else:
+                out.append(None)
+                cut.append(_SPLIT.findall(text))
+                size += len(text)
+            if size > STRETCH:
+                yield from self._filled(out, cut)
+                out, cut, size = [], [], 0
+        yield from self._filled(out, cut)
+
+    def _filled(self, out: list[bytes | None], cut: list[list[str]]):
+        made = iter(self._ids(cut))
+        for ids in out:
+            yield np.frombuffer(next(made) if ids is None else ids, "<u4")
 
 
 @lru_cache(maxsize=4)
@@ -81,10 +144,10 @@ def tokenized(docs: DataFrame, path: str, window: int, separator: int = 0) -> Da
 
     def encode(batches):
         ids_of = encoder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             out = {"doc_tokens": [], "crcs": [], "tail": [], "tail_crc": [], "tail_ids": []}
-            for text in batch.column("text"):
-                ids = np.append(ids_of(text.as_py() or ""), np.uint32(separator)).astype("<u4")
+            for own in ids_of([text or "" for text in batch.column("text").to_pylist()]):
+                ids = np.append(own, np.uint32(separator)).astype("<u4")
                 whole = len(ids) // window
                 tail = ids[whole * window :].tobytes()
                 crcs = [zlib.crc32(ids[i * window : (i + 1) * window].tobytes()) for i in range(whole)]

@@ -46,7 +46,7 @@ def docs(spark):
 
 
 def _check_pieces(pieces, rows, window):
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")).whole
     want = sorted(zlib.crc32(np.append(encode(t or ""), np.uint32(0)).astype("<u4").tobytes()) for _, t in rows)
     assert len(want) <= len(pieces)
     at = {}
@@ -67,7 +67,7 @@ def test_packing(spark, odd):
 
 
 def test_packing_pieces_hold_their_ids(spark, docs):
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")).whole
     pieces = packing.op1_packing(spark, SF).collect()
     by = {}
     for p in pieces:
@@ -87,7 +87,14 @@ def test_words_are_encoded_as_whole_texts():
     other = [*marks, "\u3000", "\U0001f600", "\x1c", "\x00", "\u0e01", "\u200b"]
     for k in range(600):
         text = "".join(r.choices(marks if k % 3 else other, k=40))
-        assert e(text).tolist() == e.whole(text)
+        assert next(e([text])).tolist() == e.whole(text)
+    texts = [*("".join(r.choices(other, k=r.randrange(90))) for _ in range(200)), "x" * 3000 + " y", "", "some words again " * 90_000]
+    assert [ids.tolist() for ids in e(texts)] == [e.whole(text) for text in texts]
+    few = packing.Words()
+    for k in range(5):
+        few.learn({f"w{i}" for i in range(k * 180_000, k * 180_000 + 200_000)}, lambda ws: [w.encode() for w in ws])
+        assert few[f"w{k * 180_000}"] == f"w{k * 180_000}".encode()
+    assert len(few) + len(few.older) <= 2 * packing.REMEMBERED
 
 
 def test_greedy_fills_windows_before_anything_is_cut():
