@@ -6,7 +6,9 @@ valid_from until before valid_to; without valid_to it is current.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,17 +76,47 @@ def relationships(
     return own
 
 
+def _one(facts: DataFrame, tenant: str, fact: str, label: str | None, moment: datetime | None, kind: str) -> DataFrame:
+    own = facts.where((F.col("tenant_id") == tenant) & (F.col("id") == fact))
+    own = own if label is None else own.where(F.col("label") == label)
+    own = own if moment is None else own.where(at(moment))
+    if own.isEmpty():
+        raise LookupError(f"no {kind} {fact}")
+    return own
+
+
+def node(nodes: DataFrame, tenant: str, fact: str, label: str | None = None, moment: datetime | None = None) -> DataFrame:
+    """The node of this id, or it is an error; given a moment, as it was then."""
+    return _one(nodes, tenant, fact, label, moment, "node")
+
+
+def edge(edges: DataFrame, tenant: str, fact: str, label: str | None = None, moment: datetime | None = None) -> DataFrame:
+    """The edge of this id, or it is an error; given a moment, as it was then."""
+    return _one(edges, tenant, fact, label, moment, "edge")
+
+
+def answered(nodes: DataFrame, edges: DataFrame, tenant: str, query: str, parameters: dict | None = None, moment: datetime | None = None) -> DataFrame:
+    """A SELECT over {nodes} and {edges} of one tenant, with :named parameters; of the facts of a moment if one is given."""
+    if not re.match(r"\s*(select|with)\b", query, re.IGNORECASE):
+        raise ValueError("a query reads: it begins with SELECT or WITH")
+    own = lambda df: df.where(F.col("tenant_id") == tenant).where(F.lit(True) if moment is None else at(moment))
+    used = {k: own(df) for k, df in (("nodes", nodes), ("edges", edges)) if f"{{{k}}}" in query}
+    return edges.sparkSession.sql(query, args=parameters or {}, **used)
+
+
 def traverse(
-    edges: DataFrame, start: DataFrame, depth: int, direction: str = "outbound", labels: list[str] | None = None, moment: datetime | None = None, nodes: DataFrame | None = None
+    edges: DataFrame, start: DataFrame, depth: int | None, direction: str = "outbound", labels: list[str] | None = None, moment: datetime | None = None, nodes: DataFrame | None = None
 ) -> DataFrame:
     """All paths of 1 to ``depth`` edges from the nodes in ``start`` (tenant_id, id), no edge twice in one path.
 
     (tenant_id, start_id, end_id, hops, node_ids, edge_ids). With a moment, edges (and, given ``nodes``, nodes) that
     did not hold are left out before each step, so no invalid path is ever extended. Stored directions are kept.
+    Without a depth, steps are made until none is left to make; no edge is used twice, so that ends. Then each step's
+    paths are checkpointed where the session has a folder for it, and kept in memory or on disk elsewhere.
     """
     if direction not in ("outbound", "inbound", "both"):
         raise ValueError(f"unknown direction {direction}")
-    if depth < 1:
+    if depth is not None and depth < 1:
         raise ValueError("depth must be at least 1")
     own = edges.where(F.col("label").isin(*labels)) if labels else edges
     if moment is not None:
@@ -100,7 +132,7 @@ def traverse(
     none = F.array().cast("array<string>")
     frontier = start.select("tenant_id", F.col("id").alias("start_id"), F.col("id").alias("end_id"), F.lit(0).alias("hops"), F.array(F.col("id").cast("string")).alias("node_ids"), none.alias("edge_ids"))
     found = None
-    for _ in range(depth):
+    for _ in count() if depth is None else range(depth):
         frontier = (
             frontier.join(steps, (frontier["tenant_id"] == steps["tenant_id"]) & (frontier["end_id"] == steps["_a"]))
             .where(~F.array_contains("edge_ids", F.col("_e").cast("string")))
@@ -109,7 +141,11 @@ def traverse(
                 F.array_append("node_ids", F.col("_b").cast("string")).alias("node_ids"), F.array_append("edge_ids", F.col("_e").cast("string")).alias("edge_ids"),
             )
         )
+        if depth is None:
+            frontier = frontier.checkpoint() if start.sparkSession.sparkContext.getCheckpointDir() else frontier.persist()
         found = frontier if found is None else found.union(frontier)
+        if depth is None and frontier.isEmpty():
+            break
     return found
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,95 @@ def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.orderBy(F.col("similarity").desc(), "id_a", "id_b").limit(max(k, 0))
 
 
+#: Vectors of a block; a task compares two blocks.
+BLOCK = 4096
+
+
+def _cells(vectors: DataFrame, ids: str, vector: str, compare, schema: str) -> DataFrame:
+    """``compare(ids, unit vectors by length, side)`` for every two blocks of vectors, each block also with itself.
+
+    The number of blocks follows the number of vectors, so a task's work is bounded; a vector goes to every block once.
+    """
+    known = vectors.where(F.col(ids).isNotNull())
+    blocks = max(-(-known.count() // BLOCK), 1)
+    u = known.select(F.col(ids).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(F.col(ids)), F.lit(blocks)).alias("block"))
+    dealt = u.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", kind="stable").reset_index(drop=True)
+        rows = [np.zeros(0) if v is None else np.asarray(v, float) for v in frame["v"]]
+        lengths = np.array([len(v) for v in rows])
+        units = {}
+        for n in np.unique(lengths[lengths > 0]):
+            at = np.flatnonzero(lengths == n)
+            m = np.stack([rows[i] for i in at])
+            size = np.linalg.norm(m, axis=1, keepdims=True)
+            units[int(n)] = at, np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+        side = (frame["block"] == frame["i"]).to_numpy()
+        return compare(frame["id"].to_numpy(), units, side, bool((frame["i"] == frame["j"]).all()))
+
+    return dealt.groupBy("i", "j").applyInPandas(run, schema)
+
+
+def _tiles(n: int, units: dict, tile: int = 512):
+    """(rows, similarities of these rows to all n) of a cell: the cosine times 100, 0 for other lengths."""
+    for a in range(0, n, tile):
+        rows = np.arange(a, min(a + tile, n))
+        s = np.zeros((len(rows), n))
+        for at, m in units.values():
+            low, high = np.searchsorted(at, (a, a + len(rows)))
+            s[np.ix_(at[low:high] - a, at)] = m[low:high] @ m.T * 100
+        yield rows, s
+
+
+def most_similar(vectors: DataFrame, k: int, ids: str = "id", vector: str = "vector") -> DataFrame:
+    """(id_a, id_b, similarity) of the k most similar pairs, id_a < id_b, ties by ids; none for k <= 0.
+
+    The best of each two blocks are found where the blocks meet; only they leave the task.
+    """
+    kind = vectors.schema[ids].dataType.simpleString()
+
+    def compare(names, units, side, same):
+        best = [np.zeros((0, 3))]
+        for rows, s in _tiles(len(names), units) if k > 0 else ():
+            ahead = (rows[:, None] < np.arange(len(names))[None]) & (same | (side[rows][:, None] != side[None]))
+            a, b = np.nonzero(ahead)
+            if not len(a):
+                continue
+            v = s[a, b]
+            least = np.partition(v, len(v) - k)[len(v) - k] if len(v) > k else -np.inf
+            keep = v >= least
+            found = np.concatenate([best[-1], np.stack([v[keep], rows[a[keep]], b[keep]], 1)])
+            best = [found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))[:k]]]
+        top = best[-1]
+        return pd.DataFrame({"id_a": names[top[:, 1].astype(int)], "id_b": names[top[:, 2].astype(int)], "similarity": top[:, 0]})
+
+    found = _cells(vectors, ids, vector, compare, f"id_a {kind}, id_b {kind}, similarity double")
+    return top_pairs(found, k)
+
+
+def most_similar_of_each(vectors: DataFrame, k: int, ids: str = "id", vector: str = "vector") -> DataFrame:
+    """(source_id, target_id, similarity, rank) of the k vectors most similar to each, ties by id.
+
+    Each two blocks give at most k targets a vector; only they are shuffled.
+    """
+    kind = vectors.schema[ids].dataType.simpleString()
+
+    def compare(names, units, side, same):
+        out = [(names[:0], names[:0], np.zeros(0))]
+        for rows, s in _tiles(len(names), units) if k > 0 else ():
+            other = (rows[:, None] != np.arange(len(names))[None]) & (same | (side[rows][:, None] != side[None]))
+            s[~other] = -np.inf
+            at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            v = np.take_along_axis(s, at, 1)
+            r, c = np.nonzero(v > -np.inf)
+            out.append((names[rows[r]], names[at[r, c]], v[r, c]))
+        return pd.DataFrame(dict(zip(("source_id", "target_id", "similarity"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    found = _cells(vectors, ids, vector, compare, f"source_id {kind}, target_id {kind}, similarity double")
+    return top_of_each(found, "source_id", "target_id", "similarity", k)
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", ids: str = "id", vector: str = "vector") -> DataFrame:
     """The k rows nearest to a vector, with similarity = 1 - distance; ties by id."""
     if k <= 0:

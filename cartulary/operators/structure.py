@@ -60,10 +60,10 @@ def heading_items(sections: DataFrame, most: int = 3) -> DataFrame:
 
 def table_items(tables: DataFrame) -> DataFrame:
     """Rows of tables (doc_id, rows array<array<string>>): the first cell is the id if it has 1 to 49 bytes."""
-    cells = tables.select("doc_id", F.explode("rows").alias("cells"))
+    cells = tables.select("doc_id", F.posexplode("rows").alias("_pos", "cells"))
     text = F.array_join(F.filter(F.transform("cells", trim_all), lambda x: x != ""), " | ")
-    named = cells.select("doc_id", trim_all(F.get("cells", F.lit(0))).alias("first"), text.alias("text")).where("text <> ''")
-    fallback = F.concat(F.lit("tbl-"), F.row_number().over(Window.partitionBy("doc_id").orderBy(F.monotonically_increasing_id())))
+    named = cells.select("doc_id", "_pos", trim_all(F.get("cells", F.lit(0))).alias("first"), text.alias("text")).where("text <> ''")
+    fallback = F.concat(F.lit("tbl-"), F.row_number().over(Window.partitionBy("doc_id").orderBy("_pos")))
     return named.withColumn("_o", fallback).select("doc_id", F.when(F.octet_length("first").between(1, 49), F.col("first")).otherwise(F.col("_o")).alias("id"), "text")
 
 
@@ -185,30 +185,85 @@ def extracted_items(text: str, complete: Completer, chunk_bytes: int = 8000) ->
     return out
 
 
-def structured(docs: DataFrame, pattern: str | None = None, complete: Completer | None = None, keywords: bool = False, min_words: int | None = None) -> DataFrame:
-    """Items (ITEMS) of plain documents (doc_id, text): by ``pattern``, by numbered lines, by a model, by paragraphs."""
+_ITEM = "array<struct<id:string,title:string,text:string>>"
 
-    def of(text: str) -> list[dict]:
-        if pattern and (found := regex_items(text, pattern)):
-            return found
-        lines = [x for x in (y.strip() for y in text.split("\n")) if x]
-        for p in LINE_PATTERNS:
-            hits = [(m[0].strip(), x) for x in lines if (m := re.match(p, x))]
-            if len(hits) >= 3:
-                return [{"id": i, "title": "", "text": x, "class": "requirement", "parent_id": "", "props": {}} for i, x in hits]
-        if complete and (found := detected_items(text, complete) or extracted_items(text, complete)):
-            return found
-        blocks = [(i, b.strip()) for i, b in enumerate(text.split("\n\n"), 1)]
-        return [{"id": f"para-{i}", "title": "", "text": b, "class": "requirement", "parent_id": "", "props": {}} for i, b in blocks if b]
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                rows += [{"doc_id": doc, "position": i, **r} for i, r in enumerate(of(text or ""))]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+def _items(array: Column, make: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """An array of items made of each element and its position; null where there is none."""
+    made = F.transform(array, lambda x, i: F.struct(*[c.cast("string").alias(n) for n, c in zip(("id", "title", "text"), make(x, i), strict=True)]))
+    return made.cast(_ITEM)
+
+
+def _some(items: Column) -> Column:
+    return F.when(F.size(items) > 0, items)
+
+
+def _heading_tier(sections: Column, most: int) -> Column:
+    placed = F.transform(sections, lambda x, i: F.struct(x["title"].alias("title"), x["text"].alias("text"), (i + 1).alias("at")))
+    kept = F.filter(placed, lambda x: F.size(F.filter(sections, lambda y: y["title"].eqNullSafe(x["title"]))) <= (most if most > 0 else 3))
+    return _items(kept, lambda x, i: (F.concat(F.lit("sec-"), x["at"].cast("string")), x["title"], x["text"]))
+
+
+def _table_tier(rows: Column) -> Column:
+    cells = F.filter(F.transform(rows, lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit("")))), lambda r: F.size(r) > 0)
+    first = lambda r: trim_all(F.get(r, F.lit(0)))
+    name = lambda r, i: F.when(F.octet_length(first(r)).between(1, 49), first(r)).otherwise(F.concat(F.lit("tbl-"), (i + 1).cast("string")))
+    return _items(cells, lambda r, i: (name(r, i), F.lit(""), F.array_join(r, " | ")))
+
+
+def _pattern_tier(text: Column, least: int = 3) -> Column:
+    lines = F.filter(F.transform(F.split(text, "\n"), trim_all), lambda x: x != "")
+
+    def tier(pattern: str) -> Column:
+        hits = F.filter(lines, lambda x: x.rlike(pattern))
+        made = _items(hits, lambda x, i: (trim_all(F.regexp_extract(x, f"({pattern})", 1)), F.lit(""), x))
+        return F.when(F.size(hits) >= least, made)
+
+    return F.coalesce(*map(tier, LINE_PATTERNS))
+
+
+def _paragraph_tier(text: Column) -> Column:
+    made = _items(F.split(text, r"\n\n"), lambda x, i: (F.concat(F.lit("para-"), (i + 1).cast("string")), F.lit(""), trim_all(x)))
+    return F.filter(made, lambda x: x["text"] != "")
+
+
+def structured(
+    docs: DataFrame, pattern: str | None = None, complete: Completer | None = None, keywords: bool = False, min_words: int | None = None, heading_repeats: int = 3
+) -> DataFrame:
+    """Items (ITEMS) of plain documents, by the first tier that finds some: ``pattern``, headings, tables, numbered
+    lines, a pattern that a model proposes, items that a model lists, paragraphs.
+
+    ``docs`` has doc_id and text, and may have sections (array of structs of title and text) and rows (array of arrays
+    of strings), the headings and tables that were found in a document. A null text is empty. Only the tiers that take
+    a pattern or a model need Python; the others are columns.
+    """
+    d = docs.select(
+        F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"),
+        (_heading_tier(F.col("sections"), heading_repeats) if "sections" in docs.columns else F.lit(None).cast(_ITEM)).alias("_heading"),
+        (_table_tier(F.col("rows")) if "rows" in docs.columns else F.lit(None).cast(_ITEM)).alias("_table"),
+    )
+
+    def by_python(df: DataFrame, name: str, find: Callable[[str], list[dict]], wanted: Column) -> DataFrame:
+        """Adds an array of what ``find`` makes of the texts that are still wanted."""
+        short = lambda items: [{k: r[k] for k in ("id", "title", "text")} for r in items]
+
+        @F.pandas_udf(_ITEM)
+        def found(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: None if t is None else short(find(t)))
+
+        return df.withColumn(name, found(F.when(wanted, F.col("text"))))
 
-    items = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, ITEMS)
+    earlier = [F.col("_heading"), F.col("_table")]
+    if pattern:
+        d = by_python(d, "_regex", lambda t: regex_items(t, pattern), F.lit(True))
+        earlier.insert(0, F.col("_regex"))
+    d = d.withColumn("_first", F.coalesce(*map(_some, earlier), _pattern_tier(F.col("text"))))
+    if complete:
+        d = by_python(d, "_model", lambda t: detected_items(t, complete) or extracted_items(t, complete), F.col("_first").isNull())
+        d = d.withColumn("_first", F.coalesce("_first", _some(F.col("_model"))))
+    all_items = d.select("doc_id", F.posexplode(F.coalesce("_first", _paragraph_tier(F.col("text")))).alias("position", "_item"))
+    blank = F.create_map().cast("map<string,string>")
+    items = all_items.select("doc_id", "position", "_item.*", F.lit("requirement").alias("class"), F.lit("").alias("parent_id"), blank.alias("props"))
     if keywords:
         items = required_items(items)
     return decomposed(items, min_words) if min_words is not None else items

@@ -47,6 +47,13 @@ def page(df: DataFrame, order: list[Column | str], limit: int = 0, offset: int =
     return df.orderBy(*order).offset(max(offset, 0)).limit(limit)
 
 
+def paged(df: DataFrame, order: list[Column | str], limit: int = 0, offset: int = 0) -> tuple[DataFrame, int, int | None]:
+    """A page, the number of all rows, and the next page's offset; None on the last page."""
+    limit, offset = 50 if limit <= 0 else min(limit, 1000), max(offset, 0)
+    total = df.count()
+    return page(df, order, limit, offset), total, offset + limit if offset + limit < total else None
+
+
 def with_control_counts(catalogs: DataFrame, controls: DataFrame) -> DataFrame:
     """Catalogs with their number of controls and with defaults for what is not set."""
     counted = controls.groupBy("catalog_id").agg(F.count("*").alias("control_count"))

@@ -67,14 +67,11 @@ def _vectors(spark, sf):
 
 
 def vec_allpairs_topk(spark, sf):
-    top = S.top_pairs(S.all_pairs(_vectors(spark, sf)), 50)
-    return top.select("id_a", "id_b", F.round("similarity", 4).alias("similarity"))
+    return S.most_similar(_vectors(spark, sf), 50).select("id_a", "id_b", F.round("similarity", 4).alias("similarity"))
 
 
 def vec_topk_per_source(spark, sf):
-    pairs = S.all_pairs(_vectors(spark, sf))
-    both = pairs.select(F.col("id_a").alias("source_id"), F.col("id_b").alias("target_id"), "similarity").union(pairs.select("id_b", "id_a", "similarity"))
-    return S.top_of_each(both, "source_id", "target_id", "similarity", 3).select("source_id", "target_id", F.round("similarity", 4).alias("similarity"))
+    return S.most_similar_of_each(_vectors(spark, sf), 3).select("source_id", "target_id", F.round("similarity", 4).alias("similarity"))
 
 
 def vec_knn(spark, sf):
@@ -88,8 +85,8 @@ def vec_metrics(spark, sf):
     from cartulary.functions import vectors as M
 
     v = _vectors(spark, sf)
-    a = v.where("id % 50 = 0").select(F.col("id").alias("a"), F.col("vector").alias("va"))
-    b = v.where("id % 50 = 1").select(F.col("id").alias("b"), F.col("vector").alias("vb"))
+    a = v.select(F.col("id").alias("a"), F.col("vector").alias("va"))
+    b = v.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
     p = a.join(b, F.col("b") == F.col("a") + 1)
     return p.select("a", "b", F.round(M.cosine("va", "vb"), 4).alias("cosine"), F.round(M.euclidean("va", "vb"), 4).alias("euclidean"), F.round(M.dot("va", "vb"), 4).alias("dot"))
 
@@ -118,7 +115,7 @@ def cand_level(spark, sf):
 def cand_keyword(spark, sf):
     s, d = _controls(spark, sf)
     # Part names stand for sources here, supplier texts for targets with a foundational word.
-    out = C.Keyword().generate(d.where("control_id < 'p2'"), s)
+    out = C.Keyword().generate(d, s)
     return out.groupBy("target_id").agg(F.count("*").alias("n"), F.min(F.col("metadata")["keywords"]).alias("keywords"))
 
 
@@ -255,10 +252,10 @@ ORACLE = {
     "vec_knn": "SELECT b.vec_id AS id, round(list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]),4) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id=0 AND b.vec_id<>0 ORDER BY list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]) DESC, id LIMIT 20",
     "vec_metrics": """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),4) AS cosine,
       round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),4) AS euclidean, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),4) AS dot
-      FROM embeddings a JOIN embeddings b ON b.vec_id=a.vec_id+1 WHERE a.vec_id % 50 = 0""",
+      FROM embeddings a JOIN embeddings b ON b.vec_id=a.vec_id+1""",
     "vec_text": "SELECT p_partkey, p_partkey::DOUBLE AS x, p_size::DOUBLE AS y FROM part",
     "cand_level": f"SELECT s.control_id AS source_id, count(*) AS n FROM ({_S_SQL}) s JOIN ({_T_SQL}) t ON t.at < s.at GROUP BY s.control_id",
-    "cand_keyword": "SELECT 's'||s_suppkey AS target_id, (SELECT count(*) FROM part WHERE 'p'||p_partkey < 'p2') AS n, 'policy' AS keywords FROM supplier WHERE (SELECT count(*) FROM part WHERE 'p'||p_partkey < 'p2') > 0",
+    "cand_keyword": "SELECT 's'||s_suppkey AS target_id, (SELECT count(*) FROM part) AS n, 'policy' AS keywords FROM supplier WHERE (SELECT count(*) FROM part) > 0",
     "cand_union": f"WITH {_GENERATED} SELECT source_id, target_id, round(arg_min(score, generator),6) AS score, min(generator) AS generator FROM g GROUP BY source_id, target_id",
     "cand_weighted_union": f"WITH {_GENERATED} SELECT source_id, target_id, round(sum(score*weight)/sum(weight),6) AS score, min(generator) AS generator FROM g GROUP BY source_id, target_id HAVING sum(score*weight)/sum(weight) >= 0.4",
     "cand_provenance": f"WITH {_GENERATED} SELECT source_id, target_id, round(max(score),6) AS aggregate_score, count(*) AS n FROM g GROUP BY source_id, target_id",

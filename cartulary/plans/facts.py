@@ -48,12 +48,63 @@ def graph_traverse_in(spark, sf):
 
 
 def graph_traverse_both(spark, sf):
-    """Nations that are two steps from a region's own: over the region and back."""
+    """What is two steps from a nation in either direction."""
     nations = I.table(spark, sf, "nation").select(F.lit("acme").alias("tenant_id"), F.concat(F.lit("n"), "n_nationkey").alias("id"))
-    p = G.traverse(I.places(spark, sf).where("source_id like 'r%'"), nations, 2, "both").where("hops = 2")
+    p = G.traverse(I.places(spark, sf), nations, 2, "both").where("hops = 2")
     return p.select("start_id", "end_id")
 
 
+def graph_traverse_deep(spark, sf):
+    """All that regions lead to, however far."""
+    p = G.traverse(I.places(spark, sf), _roots(spark), None)
+    return p.select("start_id", "end_id", F.col("hops").cast("long").alias("hops"))
+
+
+def graph_path_asof(spark, sf):
+    """Paths of two steps over the edges of a day: customers that placed orders of the same priority."""
+    e = I.edges(spark, sf)
+    start = e.where(G.at(DAY)).where("label = 'P'").select("tenant_id", F.col("source_id").alias("id")).distinct()
+    p = G.traverse(e, start, 1, moment=DAY)
+    return p.groupBy("start_id", "end_id").agg(F.count("*").alias("n"))
+
+
+def graph_node(spark, sf):
+    return G.node(I.nodes(spark, sf), "acme", "1", "Customer").select("id", "label", F.col("props")["segment"].alias("segment"))
+
+
+def graph_edge(spark, sf):
+    return G.edge(I.edges(spark, sf), "acme", "1").select("id", "label", "source_id", "target_id")
+
+
+def graph_query(spark, sf):
+    """A question in SQL over the facts of a day, with a parameter."""
+    q = "SELECT target_id AS priority, count(*) AS n FROM {edges} WHERE label = :label GROUP BY target_id"
+    return G.answered(I.nodes(spark, sf), I.edges(spark, sf), "acme", q, {"label": "O"}, DAY)
+
+
+def _new_nodes(spark, sf):
+    n = I.table(spark, sf, "nation")
+    return n.select(F.lit("acme").alias("tenant_id"), F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit("Nation").alias("label"), F.lit(DAY).alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.create_map(F.lit("name"), F.col("n_name")).alias("props"))
+
+
+def graph_add_nodes(spark, sf):
+    return G.add_nodes(I.nodes(spark, sf), _new_nodes(spark, sf)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def graph_add_edges(spark, sf):
+    """Only edges whose ends exist are added: customers to their nations."""
+    nodes = I.nodes(spark, sf).unionByName(_new_nodes(spark, sf))
+    c = I.table(spark, sf, "customer")
+    new = c.select(F.lit("acme").alias("tenant_id"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("LIVES_IN").alias("label"), F.col("c_custkey").cast("string").alias("source_id"), F.concat(F.lit("n"), (F.col("c_nationkey") * 2).cast("string")).alias("target_id"), F.lit(DAY).alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.create_map(F.lit("status"), F.lit("L")).alias("props"))
+    return G.add_edges(I.edges(spark, sf), nodes, new).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def page_with_total(spark, sf):
+    """A page, the number of all rows, and where the next page begins."""
+    rows, total, following = T.paged(I.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate").desc(), "o_orderkey"], 20, 40)
+    return rows.select("o_orderkey", F.lit(total).cast("long").alias("total"), F.lit(following).cast("long").alias("next_offset"))
+
+
 def graph_reached(spark, sf):
     return G.reached(G.traverse(I.places(spark, sf), _roots(spark), 2)).select("id")
 
@@ -133,7 +184,7 @@ def delete_by_model(spark, sf):
 
 def _stages(spark, sf):
     stages = F.array(*map(F.lit, ("classify", "embedding", "relationship", "synthesis", "graph")))
-    o = I.table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").cast("string").alias("job_id"), F.explode(stages).alias("stage"))
+    o = I.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.explode(stages).alias("stage"))
     return o.select("job_id", "stage", F.lit("completed").alias("status"), F.lit(DAY).alias("started_at"), F.lit(DAY).alias("completed_at"), F.lit(0).alias("retry_count"))
 
 
@@ -145,7 +196,7 @@ def reset_stages(spark, sf):
 
 def job_stamp(spark, sf):
     jobs = I.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.lit("pending").alias("status"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"))
-    return T.stamped(T.stamped(jobs, "1", "running", F.lit(DAY)), "2", "failed", F.lit(DAY)).where("job_id in ('1','2','3')")
+    return T.stamped(T.stamped(jobs, "1", "running", F.lit(DAY)), "2", "failed", F.lit(DAY))
 
 
 def tally_results(spark, sf):
@@ -154,7 +205,7 @@ def tally_results(spark, sf):
 
 
 def duplicate_ids(spark, sf):
-    items = I.table(spark, sf, "lineitem").where("l_orderkey < 200").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_linenumber").cast("string").alias("parent_id"))
+    items = I.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_linenumber").cast("string").alias("parent_id"))
     return T.duplicates(items)
 
 
@@ -193,7 +244,7 @@ def retention_filter(spark, sf):
 
 
 def fan_out(spark, sf):
-    p = I.pairs(spark, sf).where("pos % 1000 = 1").select(F.lit("j1").alias("job_id"), "source_id", "target_id")
+    p = I.pairs(spark, sf).select(F.lit("j1").alias("job_id"), "source_id", "target_id")
     t = B.tasks(p, ["m1", "m2"], 3)
     return t.groupBy("model", F.col("sample").cast("long").alias("sample")).agg(F.count("*").alias("n"))
 
@@ -208,7 +259,7 @@ def collect_results(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_current, graph_asof, graph_by_property, graph_supersede, graph_traverse_out, graph_traverse_in, graph_traverse_both, graph_reached, graph_degree, mat_relationship_edges,
+        graph_current, graph_asof, graph_by_property, graph_supersede, graph_traverse_out, graph_traverse_in, graph_traverse_both, graph_traverse_deep, graph_path_asof, graph_node, graph_edge, graph_query, graph_add_nodes, graph_add_edges, page_with_total, graph_reached, graph_degree, mat_relationship_edges,
         mat_requires_edges, mat_merge, mat_mappings, catalog_parent_edges, catalog_counts, catalog_list_page, list_filters, upsert_embedding, delete_by_model, reset_stages,
         job_stamp, tally_results, duplicate_ids, manifest, content_ids, stream_verify_hash, stream_subjects, retention_filter, fan_out, collect_results,
     )
@@ -225,8 +276,16 @@ ORACLE = {
     "graph_supersede": f"WITH {_E} SELECT id, CASE WHEN id='1' AND valid_to IS NULL THEN TIMESTAMP '1995-06-17' ELSE valid_to END AS valid_to FROM e WHERE id='1' OR valid_to IS NULL",
     "graph_traverse_out": f"WITH RECURSIVE {_P}, r AS (SELECT source_id AS start_id, target_id AS end_id, 1 AS hops FROM p WHERE source_id LIKE 'r%' UNION ALL SELECT r.start_id, p.target_id, hops+1 FROM r JOIN p ON p.source_id=r.end_id WHERE hops<2) SELECT start_id, end_id, hops::BIGINT AS hops FROM r",
     "graph_traverse_in": f"WITH RECURSIVE {_P}, r AS (SELECT target_id AS start_id, source_id AS end_id, 1 AS hops FROM p WHERE target_id LIKE 's%' UNION ALL SELECT r.start_id, p.source_id, hops+1 FROM r JOIN p ON p.target_id=r.end_id WHERE hops<2) SELECT start_id, end_id, hops::BIGINT AS hops FROM r",
-    "graph_traverse_both": "SELECT 'n'||a.n_nationkey AS start_id, 'n'||b.n_nationkey AS end_id FROM nation a JOIN nation b ON a.n_regionkey=b.n_regionkey AND a.n_nationkey<>b.n_nationkey",
+    "graph_traverse_both": f"WITH {_P}, u AS (SELECT source_id AS a, target_id AS b, source_id||'>'||target_id AS e FROM p UNION ALL SELECT target_id, source_id, source_id||'>'||target_id FROM p) SELECT x.a AS start_id, y.b AS end_id FROM u x JOIN u y ON x.b=y.a AND x.e<>y.e WHERE x.a LIKE 'n%'",
     "graph_reached": "SELECT 'r'||r_regionkey AS id FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION SELECT 'n'||n_nationkey FROM nation UNION SELECT 's'||s_suppkey FROM supplier",
+    "graph_traverse_deep": f"WITH RECURSIVE {_P}, r AS (SELECT source_id AS start_id, target_id AS end_id, 1 AS hops FROM p WHERE source_id LIKE 'r%' UNION ALL SELECT r.start_id, p.target_id, hops+1 FROM r JOIN p ON p.source_id=r.end_id) SELECT start_id, end_id, hops::BIGINT AS hops FROM r",
+    "graph_path_asof": f"WITH {_E} SELECT source_id AS start_id, target_id AS end_id, count(*) AS n FROM e WHERE {_AT} AND source_id IN (SELECT source_id FROM e WHERE label='P' AND {_AT}) GROUP BY ALL",
+    "graph_node": "SELECT '1' AS id, 'Customer' AS label, c_mktsegment AS segment FROM customer WHERE c_custkey=1",
+    "graph_edge": f"WITH {_E} SELECT id, label, source_id, target_id FROM e WHERE id='1'",
+    "graph_query": f"WITH {_E} SELECT target_id AS priority, count(*) AS n FROM e WHERE label='O' AND {_AT} GROUP BY target_id",
+    "graph_add_nodes": "SELECT 'Customer' AS label, count(*) AS n FROM customer UNION ALL SELECT 'Priority', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'Nation', count(*) FROM nation",
+    "graph_add_edges": f"WITH {_E} SELECT label, count(*) AS n FROM e GROUP BY label UNION ALL SELECT 'LIVES_IN', count(*) FROM customer WHERE c_nationkey*2 IN (SELECT n_nationkey FROM nation)",
+    "page_with_total": "SELECT o_orderkey, (SELECT count(*) FROM orders) AS total, CASE WHEN (SELECT count(*) FROM orders) > 60 THEN 60 END::BIGINT AS next_offset FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40",
     "graph_degree": f"WITH {_E} SELECT target_id, count(*) AS n, count(DISTINCT source_id) AS sources FROM e WHERE {_AT} GROUP BY target_id",
     "mat_relationship_edges": f"WITH {_CONS}, d AS (SELECT relationship, count(*) AS n, count(DISTINCT (source_id, target_id)) AS ids FROM c GROUP BY relationship) SELECT * FROM d",
     "mat_requires_edges": f"SELECT pair_id AS source_id, vote_key AS target_id, 'REQUIRES' AS label, TIMESTAMP '1995-06-17' AS valid_from FROM ({I.VOTES_SQL}) WHERE decision",
@@ -238,15 +297,15 @@ ORACLE = {
     "list_filters": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus='F' AND o_totalprice>100000 AND o_orderpriority IN ('1-URGENT','2-HIGH') AND contains(o_orderpriority,'-')",
     "upsert_embedding": "SELECT model, dim, count(*) AS n FROM (SELECT 'm1' AS model, len(embedding)::BIGINT + CASE WHEN vec_id%10=0 THEN 1 ELSE 0 END AS dim FROM embeddings UNION ALL SELECT 'm2', len(embedding)::BIGINT FROM embeddings WHERE vec_id%100=1) GROUP BY ALL",
     "delete_by_model": "SELECT (label%3)::BIGINT AS catalog_id, count(*) AS n FROM embeddings WHERE vec_id%4<>0 GROUP BY 1",
-    "reset_stages": "SELECT o_orderkey::VARCHAR AS job_id, stage, CASE WHEN o_orderkey=50 AND pos>2 THEN 'pending' ELSE 'completed' END AS status, CASE WHEN o_orderkey=50 AND pos>2 THEN 1 ELSE 0 END AS retry_count, (o_orderkey=50 AND pos>2) AS cleared FROM orders, (VALUES (1,'classify'),(2,'embedding'),(3,'relationship'),(4,'synthesis'),(5,'graph')) s(pos,stage) WHERE o_orderkey%50=0",
-    "job_stamp": "SELECT o_orderkey::VARCHAR AS job_id, CASE o_orderkey WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN o_orderkey=1 THEN TIMESTAMP '1995-06-17' END AS started_at, CASE WHEN o_orderkey=2 THEN TIMESTAMP '1995-06-17' END AS completed_at FROM orders WHERE o_orderkey IN (1,2,3)",
+    "reset_stages": "SELECT o_orderkey::VARCHAR AS job_id, stage, CASE WHEN o_orderkey=50 AND pos>2 THEN 'pending' ELSE 'completed' END AS status, CASE WHEN o_orderkey=50 AND pos>2 THEN 1 ELSE 0 END AS retry_count, (o_orderkey=50 AND pos>2) AS cleared FROM orders, (VALUES (1,'classify'),(2,'embedding'),(3,'relationship'),(4,'synthesis'),(5,'graph')) s(pos,stage)",
+    "job_stamp": "SELECT o_orderkey::VARCHAR AS job_id, CASE o_orderkey WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN o_orderkey=1 THEN TIMESTAMP '1995-06-17' END AS started_at, CASE WHEN o_orderkey=2 THEN TIMESTAMP '1995-06-17' END AS completed_at FROM orders",
     "tally_results": "SELECT event_type AS analyzer, count_if(event_id%9<>0 AND event_id%13<>0 AND event_id%5<>0)::BIGINT AS processed, count_if(event_id%9<>0 AND event_id%13<>0 AND event_id%5=0)::BIGINT AS skipped, count_if(event_id%9=0 OR event_id%13=0)::BIGINT AS errors, count_if(event_id%9=0 OR event_id%13=0)>0 AS incomplete, count_if(event_id%9<>0 AND event_id%13<>0)=0 AS failed FROM events GROUP BY event_type",
-    "duplicate_ids": "SELECT l_orderkey::VARCHAR AS id, 'duplicate' AS problem FROM lineitem WHERE l_orderkey<200 GROUP BY l_orderkey HAVING count(*)>1 UNION ALL SELECT l_orderkey::VARCHAR, 'own parent' FROM lineitem WHERE l_orderkey<200 AND l_orderkey=l_linenumber",
+    "duplicate_ids": "SELECT l_orderkey::VARCHAR AS id, 'duplicate' AS problem FROM lineitem GROUP BY l_orderkey HAVING count(*)>1 UNION ALL SELECT l_orderkey::VARCHAR, 'own parent' FROM lineitem WHERE l_orderkey=l_linenumber",
     "manifest": "SELECT string_agg(sha256(n_name)||'  '||n_name, chr(10) ORDER BY n_name)||chr(10) AS manifest FROM nation",
     "content_ids": "SELECT p_partkey, sha256(p_name) AS digest, substr(sha256(sha256(p_name)||'acme'),1,16) AS catalog_id, 'cat/'||p_brand AS control_id, 'c1__art_'||substr(sha256(p_name||':POLICY'),1,8) AS artifact_id FROM part",
     "stream_verify_hash": "SELECT 'acme' AS tenant, 'acme' AS header, count(*) AS n FROM conversations WHERE turn % 5 <> 2",
     "stream_subjects": "SELECT count(*) AS n FROM conversations WHERE role='user'",
     "retention_filter": "SELECT stream, count(*) AS n FROM (SELECT ts, CASE event_id%3 WHEN 0 THEN 'llm' WHEN 1 THEN 'events' ELSE 'decisions' END AS stream FROM events) WHERE stream='decisions' OR (stream='llm' AND ts >= TIMESTAMP '2024-03-01' - INTERVAL 90 DAY) OR (stream='events' AND ts >= TIMESTAMP '2024-03-01' - INTERVAL 30 DAY) GROUP BY stream",
-    "fan_out": f"SELECT model, sample::BIGINT AS sample, count(*) AS n FROM ({I.PAIRS_SQL}), (VALUES ('m1'),('m2')) m(model), (VALUES (1),(2),(3)) s(sample) WHERE pos%1000=1 GROUP BY ALL",
+    "fan_out": f"SELECT model, sample::BIGINT AS sample, count(*) AS n FROM ({I.PAIRS_SQL}), (VALUES ('m1'),('m2')) m(model), (VALUES (1),(2),(3)) s(sample) GROUP BY ALL",
     "collect_results": "WITH r AS (SELECT (l_orderkey+1)::VARCHAR AS task_id, count_if(l_linenumber%2=1) AS errors, count_if(l_linenumber%2=0) AS good FROM lineitem GROUP BY 1) SELECT CASE WHEN good>0 THEN 'done' WHEN errors>2 THEN 'failed' ELSE 'pending' END AS state, count(*) AS n, sum(coalesce(errors,0))::BIGINT AS errors FROM orders LEFT JOIN r ON task_id=o_orderkey::VARCHAR GROUP BY 1",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions import text as X
 from cartulary.operators import search as R
+from cartulary.operators import similarity as S
 from cartulary.operators import structure as Q
 from cartulary.plans import inputs as I
 from cartulary.sources import catalogs as K
@@ -16,10 +17,10 @@ from cartulary.sources import catalogs as K
 
 def _dirty(spark, sf):
     d = I.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("raw"))
-    return d.select("doc_id", F.concat(F.lit("  {{ insert: param, p1 }}head  of\n\n\n\nVerDate Sep 11 2014\nx Jkt 012345 tail\n"), F.substring("raw", 1, 400), F.lit("\nPO 00000 Frm 00001 end\n")).alias("text"))
+    return d.select("doc_id", F.concat(F.lit("  {{ insert: param, p1 }}head  of\n\n\n\nVerDate Sep 11 2014\nx Jkt 012345 tail\n"), F.col("raw"), F.lit("\nPO 00000 Frm 00001 end\n")).alias("text"))
 
 
-_DIRTY = "SELECT doc_id, '  {{ insert: param, p1 }}head  of' || repeat(chr(10),4) || 'VerDate Sep 11 2014' || chr(10) || 'x Jkt 012345 tail' || chr(10) || substring(coalesce(text,''),1,400) || chr(10) || 'PO 00000 Frm 00001 end' || chr(10) AS text FROM documents"
+_DIRTY = "SELECT doc_id, '  {{ insert: param, p1 }}head  of' || repeat(chr(10),4) || 'VerDate Sep 11 2014' || chr(10) || 'x Jkt 012345 tail' || chr(10) || coalesce(text,'') || chr(10) || 'PO 00000 Frm 00001 end' || chr(10) AS text FROM documents"
 
 
 def text_clean_tail(spark, sf):
@@ -42,8 +43,8 @@ def text_normalize_name(spark, sf):
 
 def fuzzy_match_pairs(spark, sf):
     p = I.table(spark, sf, "part").select("p_brand", F.lower("p_name").alias("name"), "p_partkey")
-    a, b = p.where("p_partkey % 20 = 0").alias("a"), p.where("p_partkey % 20 = 1").alias("b")
-    j = a.join(b, F.col("a.p_brand") == F.col("b.p_brand")).where(X.names_match(F.col("a.name"), F.col("b.name"), 0.5))
+    a, b = p.alias("a"), p.alias("b")
+    j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).where(X.names_match(F.col("a.name"), F.col("b.name"), 0.5))
     return j.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
 
 
@@ -59,12 +60,12 @@ def struct_fallback(spark, sf):
 
 
 def struct_heading_repeat(spark, sf):
-    s = I.table(spark, sf, "lineitem").where("l_orderkey < 400").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).alias("pos"), F.col("l_returnflag").alias("title"), F.lit("t").alias("text"))
+    s = I.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).alias("pos"), F.col("l_returnflag").alias("title"), F.lit("t").alias("text"))
     return Q.heading_items(s).select("doc_id", "id", "title")
 
 
 def struct_pattern(spark, sf):
-    d = I.table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("doc_id"), F.expr("concat('intro\\n', CASE o_orderkey % 3 WHEN 0 THEN '1.1 a\\n1.2 b\\n 1.3 c' WHEN 1 THEN '(a) x\\n(b) y\\n(c) z\\n(1) q' ELSE 'Article 1\\nno' END)").alias("text"))
+    d = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr("concat('intro\\n', CASE o_orderkey % 3 WHEN 0 THEN '1.1 a\\n1.2 b\\n 1.3 c' WHEN 1 THEN '(a) x\\n(b) y\\n(c) z\\n(1) q' ELSE 'Article 1\\nno' END)").alias("text"))
     return Q.pattern_items(d).select("doc_id", "id", "text")
 
 
@@ -97,9 +98,13 @@ def control_search(spark, sf):
 
 
 def hybrid_merge(spark, sf):
+    """What words find, then what only the vectors nearest to vector 0 find; a vector belongs to the document of its id."""
     c = _controls(spark, sf)
-    words = R.found(R.indexed(c), "licensed")
-    meaning = c.where("cast(identifier as long) % 20 = 0").select("control_id")
+    words = R.found(R.indexed(c), "this WORK")
+    e = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    query = e.where("id = 0").first()
+    near = S.nearest(e.where("id <> 0"), list(query["vector"]) if query else [1.0], 100)
+    meaning = c.join(near.select(F.col("id").cast("string").alias("identifier")), "identifier").select("control_id")
     return R.merged(words, meaning).groupBy("origin").agg(F.count("*").alias("n"))
 
 
@@ -152,12 +157,15 @@ ORACLE = {
     "text_clean_line": f"SELECT doc_id, sha256({_line_sql('text')}) AS digest FROM ({_DIRTY})",
     "text_prepare": f"SELECT doc_id, length(t) AS n, sha256(t) AS digest FROM (SELECT doc_id, substring({_tail_sql(chr(39) + '[Parent] ' + chr(39) + '||text')},1,120) AS t FROM ({_DIRTY}))",
     "text_normalize_name": r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '\s+', ' ', 'g')) AS name FROM part",
-    "fuzzy_match_pairs": f"SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand=b.p_brand WHERE a.p_partkey%20=0 AND b.p_partkey%20=1 AND {_OVERLAP} >= 0.5",
+    "fuzzy_match_pairs": f"SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand=b.p_brand AND a.p_partkey<b.p_partkey WHERE {_OVERLAP} >= 0.5",
     "keyword_filter": "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text,''), chr(10))) AS t FROM documents), h AS (SELECT doc_id, contains(lower(t),'licensed') OR contains(lower(t),'stupid') AS hit FROM l), a AS (SELECT doc_id, max(hit) AS anyhit FROM h GROUP BY doc_id) SELECT h.doc_id, count(*) AS n FROM h JOIN a USING (doc_id) WHERE hit OR NOT anyhit GROUP BY h.doc_id",
     "struct_fallback": r"SELECT doc_id, count(*) AS n, max(length(t)) AS longest FROM (SELECT doc_id, regexp_replace(unnest(string_split(coalesce(text,''), chr(10))), '^\s+|\s+$', '', 'g') AS t FROM documents) WHERE t<>'' GROUP BY doc_id",
-    "struct_heading_repeat": "SELECT doc_id, id, title FROM (SELECT l_orderkey AS doc_id, 'sec-'||l_linenumber AS id, l_returnflag AS title, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS n FROM lineitem WHERE l_orderkey<400) WHERE n<=3",
-    "struct_pattern": "SELECT o_orderkey AS doc_id, id, text FROM orders JOIN (VALUES (0,'1.1','1.1 a'),(0,'1.2','1.2 b'),(0,'1.3','1.3 c'),(1,'(a)','(a) x'),(1,'(b)','(b) y'),(1,'(c)','(c) z')) v(k,id,text) ON o_orderkey%3=k WHERE o_orderkey%10=0",
+    "struct_heading_repeat": "SELECT doc_id, id, title FROM (SELECT l_orderkey AS doc_id, 'sec-'||l_linenumber AS id, l_returnflag AS title, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS n FROM lineitem) WHERE n<=3",
+    "struct_pattern": "SELECT o_orderkey AS doc_id, id, text FROM orders JOIN (VALUES (0,'1.1','1.1 a'),(0,'1.2','1.2 b'),(0,'1.3','1.3 c'),(1,'(a)','(a) x'),(1,'(b)','(b) y'),(1,'(c)','(c) z')) v(k,id,text) ON o_orderkey%3=k",
     "decompose_text": "SELECT s_suppkey::VARCHAR AS doc_id, id, class, parent_id FROM supplier, (VALUES ('x.a','requirement',''),('x.b','requirement',''),('x.c','section',''),('x.c.1','requirement','x.c'),('x.c.2','requirement','x.c'),('x.c.3','requirement','x.c')) v(id,class,parent_id)",
     "control_search": r"SELECT lang||'/'||doc_id AS control_id FROM documents WHERE lang IN ('en','fr') AND list_has_all(regexp_extract_all(lower(coalesce(text,'')||' '||source), '[a-z0-9]+'), ['this','work'])",
+    "hybrid_merge": r"""WITH w AS (SELECT doc_id FROM documents WHERE list_has_all(regexp_extract_all(lower(coalesce(text,'')||' '||source), '[a-z0-9]+'), ['this','work'])),
+      s AS (SELECT b.vec_id AS doc_id FROM embeddings a, embeddings b WHERE a.vec_id=0 AND b.vec_id<>0 ORDER BY list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]) DESC, b.vec_id LIMIT 100)
+      SELECT 'text' AS origin, count(*) AS n FROM w HAVING count(*)>0 UNION ALL SELECT 'semantic', count(*) FROM s WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id NOT IN (SELECT doc_id FROM w) HAVING count(*)>0""",
     "catalog_flatten": "SELECT n_nationkey::VARCHAR AS path, replace(id,'#','ac-'||n_nationkey) AS id, replace(text,'#',n_name) AS text, class, replace(parent_id,'#','ac-'||n_nationkey) AS parent_id, 'h' AS group_id FROM nation, (VALUES ('#','#','section',''),('#.a','do weekly','requirement','#'),('#.b','do [pb]','section','#'),('#.b.1','do [pb.1]','requirement','#.b'),('#.b.2','do [pb.2]','requirement','#.b')) v(id,text,class,parent_id)",
 }
