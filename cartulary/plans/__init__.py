@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from cartulary.plans import crosswalk, facts, texts
+    from cartulary.plans import crosswalk, facts, stores, texts
 
-    return [crosswalk, facts, texts]
+    return [crosswalk, facts, stores, texts]
 
 
 def queries() -> dict[str, Callable]:
