@@ -140,5 +140,5 @@ ORACLE = {
     "artifact_facts": f"WITH a AS (SELECT DISTINCT p_brand, lower(p_name) AS name, {_KIND} AS type FROM part) SELECT 'Artifact' AS label, count(*) AS n FROM a UNION ALL SELECT 'ArtifactType', count(DISTINCT type) FROM a UNION ALL SELECT 'DEMANDS', count(*) FROM a UNION ALL SELECT 'IS_TYPE', count(*) FROM a",
     "dag_outcome": "SELECT name, status, (SELECT count(*) FROM orders)::BIGINT AS n FROM (VALUES ('classify','completed'),('embedding','completed'),('relationship','failed'),('requires','skipped')) v(name,status)",
     "table_items": "SELECT l_orderkey AS doc_id, l_linenumber::VARCHAR AS id, l_linenumber||' | '||l_linestatus AS text FROM lineitem",
-    "structurer_headings": "WITH c AS (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place FROM lineitem), d AS (SELECT l_orderkey, count_if(k<=2) AS n, min(CASE WHEN k<=2 THEN 'sec-'||place END) AS lowest FROM c GROUP BY 1) SELECT l_orderkey AS doc_id, CASE WHEN n>0 THEN n ELSE 3 END::BIGINT AS n, coalesce(lowest,'1.1') AS first FROM d",
+    "structurer_headings": "WITH c AS (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS place FROM lineitem), d AS (SELECT l_orderkey, count_if(k<=2) AS n, min(CASE WHEN k<=2 THEN 'sec-'||place END) AS lowest FROM c GROUP BY 1) SELECT l_orderkey AS doc_id, CASE WHEN n>0 THEN n ELSE 3 END::BIGINT AS n, coalesce(lowest,'1.1') AS first FROM d",
 }
