@@ -98,7 +98,6 @@ class Model:
         texts = [p[1] for p in pieces]
         kinds = [p.get(3, 1) for p in pieces]
         self.lengths = np.array([1 if k == 6 else len(t) for t, k in zip(texts, kinds, strict=True)], np.int64)
-        self.marks = np.array([0 if k == 6 else t.count(MARK_BYTES) for t, k in zip(texts, kinds, strict=True)], np.int64)
         self.byte_fallback = 6 in kinds
         rules = dict(fields(next(v for k, v in message if k == 3)))
         trainer = dict(fields(next(v for k, v in message if k == 2)))
@@ -112,8 +111,16 @@ class Model:
         self.words: dict[str, tuple[bytes, str, str]] = {}
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
-        """The normalised text, and for each of its bytes (and its end) the byte of the source it came from."""
+        """The normalised text, and for each of its bytes (and its end) the byte of the source it came from.
+
+        Where the map is empty no prefix is ever known, so all bytes but blanks stay and are aligned at once.
+        """
         source = text.encode()
+        if self.plain:
+            raw = np.frombuffer(source, np.uint8)
+            first = np.zeros(len(MARK_BYTES) if source else 0, np.int64)
+            each = np.repeat(np.arange(len(raw)), np.where(raw == 32, len(MARK_BYTES), 1))
+            return (MARK if source else "") + text.replace(" ", MARK), np.concatenate([first, each, [len(raw)]])
         out, align = bytearray(), []
         blank = MARK_BYTES if self.escape else b" "
 
@@ -158,14 +165,16 @@ class Model:
         for word, own, text in zip(new, ids, self.library.decode(ids, num_threads=1), strict=True):
             self.words[word] = array("I", own).tobytes(), " ".join(map(str, own)), " " + text
 
-    def encode(self, text: str) -> tuple[np.ndarray, str, str]:
-        """The ids of a text without an end id, the same as decimal numbers, and what they decode to."""
+    def encode(self, text: str) -> tuple[np.ndarray, str, str, np.ndarray]:
+        """The ids of a text without an end id, the same as decimal numbers, what they decode to, and the alignment of
+        the normalised text that they cover."""
+        normal, align = self.normalise(text)
         if not text:
-            return np.empty(0, "<u4"), "", ""
+            return np.empty(0, "<u4"), "", "", align
         if not (self.by_word and text[0] != MARK):
             ids = self.library.encode(text)
-            return np.array(ids, "<u4"), " ".join(map(str, ids)), self.library.decode(ids)
-        parts = re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))
+            return np.array(ids, "<u4"), " ".join(map(str, ids)), self.library.decode(ids), align
+        parts = re.findall(f"{MARK}+[^{MARK}]*", normal)
         known = self.words
         try:
             found = [known[p] for p in parts]
@@ -175,16 +184,12 @@ class Model:
                 missing = set(parts)
             self.learn(missing)
             found = [known[p] for p in parts]
-        return np.frombuffer(b"".join([x[0] for x in found]), "<u4"), " ".join([x[1] for x in found]), "".join([x[2] for x in found])[1:]
+        return np.frombuffer(b"".join([x[0] for x in found]), "<u4"), " ".join([x[1] for x in found]), "".join([x[2] for x in found])[1:], align
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, text: str, ids: np.ndarray, align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last (exclusive) byte of the source behind each piece."""
         if not len(ids):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        if self.plain and MARK not in text:  # a mark of three bytes stands for one blank, the first mark for none
-            ends = np.cumsum(self.lengths[ids] - 2 * self.marks[ids]) - 1
-            return np.concatenate([[0], ends[:-1]]), ends
-        align = self.normalise(text)[1]
         ends = np.cumsum(self.lengths[ids])
         if not self.byte_fallback:  # an unknown piece has the length of what it stands for
             sizes = [len(p.encode()) for p in self.library.encode(text, out_type=str)]
@@ -211,8 +216,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", end_id: int | None =
             out = {"ids": [], "begins": [], "ends": []}
             for value in batch.column(text):
                 source = value.as_py() or ""
-                ids = m.encode(source)[0]
-                begins, ends = m.spans(source, ids)
+                ids, _, _, align = m.encode(source)
+                begins, ends = m.spans(source, ids, align)
                 size = len(source.encode())
                 tail = [] if end_id is None else [size]
                 out["ids"].append([*ids.tolist(), *([] if end_id is None else [end_id])])
@@ -251,8 +256,8 @@ def digests(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
             out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "spans_crc32": []}
             for value in batch.column("text"):
                 source = value.as_py() or ""
-                ids, numbers, decoded = m.encode(source)
-                begins, ends = m.spans(source, ids)
+                ids, numbers, decoded, align = m.encode(source)
+                begins, ends = m.spans(source, ids, align)
                 out["n_tokens"].append(len(ids) + 1)
                 out["ids_sha256"].append(hashlib.sha256(f"{numbers} {end_id}".lstrip().encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
