@@ -131,6 +131,22 @@ def retried(stages: DataFrame, job: str, order: list[str]) -> DataFrame:
     return reset_from(stages, job, first, order)
 
 
+def retried_as_new(jobs: DataFrame, stages: DataFrame, job: str, new: str, order: list[str], moment: Column) -> tuple[DataFrame, DataFrame]:
+    """(jobs, stages) with a copy of a failed job under a new id: what completed before its first failed stage stays
+    completed, the failed stage and all after it are pending, and the old job is left as it is."""
+    if new in {r["job_id"] for r in jobs.where(F.col("job_id").isin(job, new)).select("job_id").collect() if r["job_id"] == new}:
+        raise ValueError(f"taken: {new}")
+    own = jobs.where((F.col("job_id") == job) & (F.col("status") == "failed"))
+    if own.isEmpty():
+        raise LookupError(f"no failed job {job}")
+    fresh = own.withColumn("job_id", F.lit(new)).withColumn("status", F.lit("pending"))
+    for name, value in (("created_at", moment), ("started_at", F.lit(None)), ("completed_at", F.lit(None))):
+        if name in jobs.columns:
+            fresh = fresh.withColumn(name, value.cast(jobs.schema[name].dataType))
+    copied = retried(stages.where(F.col("job_id") == job), job, order).withColumn("job_id", F.lit(new)).withColumn("retry_count", F.lit(0).cast(stages.schema["retry_count"].dataType))
+    return jobs.unionByName(fresh.select(jobs.columns)), stages.unionByName(copied.select(stages.columns))
+
+
 def resumable(jobs: DataFrame) -> DataFrame:
     """All running jobs, of every tenant, oldest first."""
     return jobs.where(F.col("status") == "running").orderBy("created_at", "job_id")

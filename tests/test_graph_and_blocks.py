@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartulary.operators import graph, similarity, structure, tables
+from cartulary.sources import specs
 from cartulary.streaming import graph_sink
 
 DAY = datetime(2024, 5, 1)
@@ -95,3 +96,34 @@ def test_ended_stages_reach_the_graph(spark, tmp_path):
         stream.option("checkpointLocation", str(tmp_path / f"c{turn}")).trigger(availableNow=True).start().awaitTermination(60)
     got = spark.read.parquet(path).select("label", "source_id", "target_id", F.col("props")["job_id"].alias("job"))
     assert sorted(tuple(x) for x in got.collect()) == [("SEMANTIC_MATCH", "s", "x", "j1"), ("SEMANTIC_MATCH", "s", "y", "j1")]
+
+
+def test_yaml_specs(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("name: relate\nsystem: be brief\nmodels: [x]\n")
+    (tmp_path / "b.yml").write_text("name: classify\n")
+    (tmp_path / "c.txt").write_text("name: other\n")
+    found = specs.prompt_specs(spark, str(tmp_path))
+    assert found == {"relate": {"name": "relate", "system": "be brief", "models": ["x"]}, "classify": {"name": "classify"}}
+    (tmp_path / "d.yaml").write_text("system: nameless\n")
+    with pytest.raises(ValueError):
+        specs.prompt_specs(spark, str(tmp_path))
+    listed = specs.catalog_documents(spark, "base_url: https://example.org/x/\ndocuments:\n  - path: a/b.json\n  - {path: c.json, local: d.json}\n")
+    assert [tuple(r) for r in listed.collect()] == [("a/b.json", "b.json", "https://example.org/x/a/b.json"), ("c.json", "d.json", "https://example.org/x/c.json")]
+    for bad in ("- 1", "documents: [{local: x}]", "a: [", ""):
+        with pytest.raises(ValueError):
+            specs.catalog_documents(spark, bad)
+
+
+def test_a_failed_job_again_as_a_new_one(spark):
+    order = ["classify", "embedding", "graph"]
+    jobs = spark.createDataFrame([("j1", "failed", DAY, DAY, DAY), ("j2", "running", DAY, DAY, None)], "job_id string, status string, created_at timestamp, started_at timestamp, completed_at timestamp")
+    stages = spark.createDataFrame([("j1", s, t, DAY, DAY, 2) for s, t in zip(order, ("completed", "failed", "pending"), strict=True)], "job_id string, stage string, status string, started_at timestamp, completed_at timestamp, retry_count int")
+    later = datetime(2024, 6, 1)
+    all_jobs, all_stages = tables.retried_as_new(jobs, stages, "j1", "j3", order, F.lit(later))
+    assert sorted(tuple(r) for r in all_jobs.where("job_id <> 'j2'").collect()) == [("j1", "failed", DAY, DAY, DAY), ("j3", "pending", later, None, None)]
+    assert {(r.stage, r.status, r.retry_count) for r in all_stages.where("job_id = 'j3'").collect()} == {("classify", "completed", 0), ("embedding", "pending", 0), ("graph", "pending", 0)}
+    assert all_stages.where("job_id = 'j1'").count() == 3
+    for args, error in ((("j2", "j3"), LookupError), (("j1", "j2"), ValueError)):
+        with pytest.raises(error):
+            tables.retried_as_new(jobs, stages, *args, order, F.lit(later))
