@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartulary.operators import graph, similarity, structure, tables
-from cartulary.sources import specs
+from cartulary.sources import graphs, specs
 from cartulary.streaming import graph_sink
 
 DAY = datetime(2024, 5, 1)
@@ -127,3 +127,22 @@ def test_a_failed_job_again_as_a_new_one(spark):
     for args, error in ((("j2", "j3"), LookupError), (("j1", "j2"), ValueError)):
         with pytest.raises(error):
             tables.retried_as_new(jobs, stages, *args, order, F.lit(later))
+
+
+def test_graphs_are_made_and_dropped(spark, tmp_path):
+    root = str(tmp_path / "graphs")
+    graphs.create(spark, root, "acme")
+    nodes, edges = graphs.read(spark, root, "acme")
+    assert nodes.count() == edges.count() == 0
+    new = spark.createDataFrame([("acme", "n1", "N", DAY, None, {})], FACT)
+    graph.add_nodes(nodes, new).write.mode("append").parquet(f"{root}/acme/nodes")
+    assert graphs.read(spark, root, "acme")[0].count() == 1
+    with pytest.raises(ValueError):
+        graphs.create(spark, root, "acme")
+    graphs.drop(spark, root, "acme")
+    assert not graphs.exists(spark, root, "acme")
+    for call in (graphs.drop, graphs.read):
+        with pytest.raises(LookupError):
+            call(spark, root, "acme")
+    with pytest.raises(PermissionError):
+        graphs.create(spark, root, "../x")
