@@ -17,20 +17,20 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cartulary.llm.byte_grams import slices
+from cartulary.llm.byte_grams import buffer, slices
 from cartulary.llm.shared import Scratch, table, with_columns
 
 #: Tails of one length are numbered in so many independent parts.
@@ -38,100 +38,172 @@ SALTS = 1024
 
 
 #: The letters, numbers and white space among tab, line ends, ASCII, Latin letters and signs up to U+024F,
-#: dashes, quotation marks and the euro sign. Every version of Unicode's tables sorts these alike, so the pattern below
-#: cuts as the vocabulary's own does. A text with any other character is encoded in one go.
+#: dashes, quotation marks and the euro sign. Every version of Unicode's tables sorts these alike, so the words below
+#: are those that the vocabulary's own pattern cuts. A text with any other character is encoded in one go.
 _LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACES = r"\t\n\r \xa0"
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\u024f\u2010-\u2027\u20ac]")
-_SPLIT = re.compile(
-    rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_NUMBERS}]+| ?[^{_LETTERS}{_NUMBERS}{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
-)
-#: A worker remembers the ids of at most twice so many words, and of no word longer than this.
-REMEMBERED, LONGEST = 400_000, 64
-#: Words are cut and looked up for so many characters at a time.
-STRETCH = 1 << 20
-
-
-class Words(dict):
-    """word -> its ids as bytes. When full, it keeps the words of the generation before until they are asked for again."""
-
-    def __init__(self):
-        super().__init__()
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, words: set[str], encode) -> dict[str, bytes]:
-        """Adds the words that are not known; returns those that are too long to be remembered."""
-        if len(self) + len(words) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        new = []
-        for word in words - self.keys():
-            ids = self.older.get(word)
-            if ids is None:
-                new.append(word)
-            else:
-                self[word] = ids
-        made = dict(zip(new, encode(new), strict=True))
-        long = {w: ids for w, ids in made.items() if len(w) > LONGEST}
-        self.update((w, ids) for w, ids in made.items() if len(w) <= LONGEST)
-        return long
+#: What may follow an apostrophe and is a word with it.
+_ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
+#: A long text may be cut here without changing its words.
+_CUT = re.compile(rf"(?<=[^{_SPACES}])[{_SPACES}]")
+#: The kind of each character: NUL, letter, number, white space, other sign; all from U+0250 on are signs.
+_NUL, _SPACE, _SIGN = 0, 3, 4
+_KIND = np.full(0x251, _SIGN, np.uint8)
+for _kind, _class in enumerate((_LETTERS, _NUMBERS, _SPACES), 1):
+    _KIND[[c for c in range(0x250) if re.match(f"[{_class}]", chr(c))]] = _kind
+_KIND[0] = _NUL
+#: A worker remembers the ids of so many bytes of words; when full, it starts again with those of the last stretch.
+REMEMBERED = 8 << 20
+#: Words are cut and looked up for about so many characters at a time.
+STRETCH = 2 << 20
+#: So many new words are encoded as one text.
+CHAIN = 200
+
+
+def word_starts(points: np.ndarray) -> np.ndarray:
+    """Where words start in texts that lie end to end, given by code points; a NUL ends each and is a word of its own.
+
+    Words are runs of letters, numbers, signs or white space. The blank before a run belongs to it; of white space
+    before anything else the last character stands apart. An apostrophe that starts a word takes its ending along.
+    """
+    kind = _KIND[points if points.dtype == np.uint8 else np.minimum(points, len(_KIND) - 1)]
+    space, solid = kind == _SPACE, (kind != _SPACE) & (kind != _NUL)
+    start = kind == _NUL
+    start[0] = True
+    start[1:] |= kind[1:] != kind[:-1]
+    start[1:] &= ~((points[:-1] == ord(" ")) & solid[1:])
+    start[1:-1] |= space[1:-1] & space[:-2] & solid[2:]
+    marks = np.flatnonzero(start & (points == ord("'")))
+    for ending in _ENDINGS:
+        at = marks
+        for k, letter in enumerate(ending, 1):
+            at = at[points[at + k] == ord(letter)]  # a NUL stops this before the end
+        start[at + 1] = False
+        start[at + 1 + len(ending)] = True
+    return np.flatnonzero(start)
+
+
+def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that start at ``first`` and are ``size`` long, one behind the other."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
     """texts -> ids of a vocabulary for tokenizers, as little-endian unsigned 32-bit arrays.
 
-    Merges never cross the words that the vocabulary's pattern cuts, so a word's ids are asked for once.
+    Merges never cross the words that the vocabulary's pattern cuts, so a word's ids are asked for once. The words of
+    many texts are cut and numbered at once, and only different ones are looked up. ``known`` are the words
+    remembered; the ids of the i-th start at ``first[i]`` of ``flat``.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = Words()
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]  # a character stands for a byte
+        self.known, self.flat = pa.array([], pa.large_binary()), np.empty(0, "<u4")
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _several(self, words: list[str]) -> list[bytes]:
+    def _several(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of words, where those of each start, and how many they are.
+
+        Words that start with a blank are encoded one behind the other, since the blank parts them again; where one
+        ends is told by the bytes that the tokens stand for."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        made = (e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False))
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in made]
-
-    def _ids(self, lists: list[list[str]]) -> list[bytes]:
-        """The ids of texts that are cut into words."""
-        long = self.known.learn(set().union(*lists), self._several)
-        if not long:
-            return [b"".join(map(self.known.__getitem__, words)) for words in lists]
-        return [b"".join(long[w] if w in long else self.known[w] for w in words) for words in lists]
-
-    def _stretched(self, text: str) -> bytes:
-        """The ids of a long text, its words looked up a stretch at a time."""
-        words, out = (m.group() for m in _SPLIT.finditer(text)), []
-        while part := list(islice(words, STRETCH // 5)):
-            out += self._ids([part])
-        return b"".join(out)
+        chained = pc.match_substring_regex(words, rb"^ ([^\t\n\r \xc2]|\xc2[^\xa0])").to_numpy(zero_copy_only=False)
+        order = np.argsort(~chained, kind="stable")
+        raw, starts = buffer(words.take(order).cast(pa.large_string()))
+        n = int(chained.sum())
+        parts = np.concatenate([starts[:n:CHAIN], starts[n:]]).tolist()
+        data = raw.tobytes()
+        made = self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in pairwise(parts)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in made), "<u4")
+        token_ends = np.cumsum(self.n_bytes[ids])
+        ends = np.searchsorted(token_ends, starts[1:]) + 1
+        if not np.array_equal(token_ends[ends - 1], starts[1:]):
+            raise ValueError("the vocabulary joins what this pattern cuts")
+        first, size = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        size[order] = each = np.diff(ends, prepend=0)
+        first[order] = ends - each
+        return ids, first, size
+
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_several``, for different words, by what is remembered; then these words are, too."""
+        at = pc.index_in(words, value_set=self.known)
+        new, old = at.is_null().to_numpy(zero_copy_only=False), at.fill_null(0).to_numpy()
+        fresh = words.filter(pa.array(new))
+        ids, first, size = self._several(fresh)
+        first = np.append(self.first, first + len(self.flat))
+        size, flat = np.append(self.size, size), np.append(self.flat, ids)
+        here = np.where(new, len(self.known) + np.cumsum(new) - 1, old)
+        if self.known.nbytes + fresh.nbytes > REMEMBERED:
+            self.known, self.size = words, size[here]
+            self.flat, self.first = gathered(flat, first[here], self.size), np.cumsum(self.size) - self.size
+        else:
+            self.known, self.flat, self.first, self.size = pa.concat_arrays([self.known, fresh]), flat, first, size
+        return flat, first[here], size[here]
+
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts without other characters."""
+        if not texts:
+            return []
+        text = "".join(t + "\0" for t in texts)
+        raw = text.encode()
+        if len(raw) == len(text):
+            ends = np.append(word_starts(np.frombuffer(raw, np.uint8)), len(raw))
+        else:
+            points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            width = 1 + (points > 0x7F).view(np.int8) + (points > 0x7FF).view(np.int8)
+            at = word_starts(points)
+            ends = np.append(np.cumsum(width, dtype=np.int64)[at] - width[at], len(raw))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        coded = words.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        flat, first, size = self._looked_up(coded.dictionary)
+        size[codes[-1]] = 0  # the NUL
+        each = size[codes]
+        return np.split(gathered(flat, first[codes], each), np.cumsum(each)[codes == codes[-1]][:-1])
+
+    def _stretched(self, text: str) -> np.ndarray:
+        """The ids of a long text without other characters, a stretch at a time."""
+        out, a = [], 0
+        while a < len(text):
+            cut = _CUT.search(text, a + STRETCH)
+            b = cut.start() if cut else len(text)
+            out += self._together([text[a:b]])
+            a = b
+        return np.concatenate(out)
 
     def __call__(self, texts: list[str]):
         """Yields the ids of each text."""
-        out: list[bytes | None] = []
-        cut: list[list[str]] = []
+        out: list[np.ndarray | None] = []
+        cut: list[str] = []
         size = 0
         for text in texts:
-            if len(text) > STRETCH or _OTHER.search(text):
-                out.append(np.array(self.whole(text), "<u4").tobytes() if _OTHER.search(text) else self._stretched(text))
+            if _OTHER.search(text):
+                out.append(np.array(self.whole(text), "<u4"))
+            elif len(text) > STRETCH:
+                out.append(self._stretched(text))
             else:
                 out.append(None)
-                cut.append(_SPLIT.findall(text))
+                cut.append(text)
                 size += len(text)
             if size > STRETCH:
                 yield from self._filled(out, cut)
                 out, cut, size = [], [], 0
         yield from self._filled(out, cut)
 
-    def _filled(self, out: list[bytes | None], cut: list[list[str]]):
-        made = iter(self._ids(cut))
+    def _filled(self, out: list[np.ndarray | None], cut: list[str]):
+        made = iter(self._together(cut))
         for ids in out:
-            yield np.frombuffer(next(made) if ids is None else ids, "<u4")
+            yield next(made) if ids is None else ids
 
 
 @lru_cache(maxsize=4)

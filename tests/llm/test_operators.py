@@ -90,11 +90,24 @@ def test_words_are_encoded_as_whole_texts():
         assert next(e([text])).tolist() == e.whole(text)
     texts = [*("".join(r.choices(other, k=r.randrange(90))) for _ in range(200)), "x" * 3000 + " y", "", "some words again " * 90_000]
     assert [ids.tolist() for ids in e(texts)] == [e.whole(text) for text in texts]
-    few = packing.Words()
-    for k in range(5):
-        few.learn({f"w{i}" for i in range(k * 180_000, k * 180_000 + 200_000)}, lambda ws: [w.encode() for w in ws])
-        assert few[f"w{k * 180_000}"] == f"w{k * 180_000}".encode()
-    assert len(few) + len(few.older) <= 2 * packing.REMEMBERED
+
+
+def test_words_remembered_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 2000)
+    e, r = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(7)
+    few = ["'", " ", "  ", "s", "t", "re", "ll", "l", "a", "1", "\n", "\xa0", "\xe9", ".", " \xa0", "\xa0 "]
+    for k in range(300):
+        texts = ["".join(r.choices(few, k=r.randrange(40))) + f" w{k * 40 + i}" for i in range(40)]
+        assert [ids.tolist() for ids in e(texts)] == [e.whole(text) for text in texts]
+        assert e.known.nbytes < 2000 + 16 * sum(map(len, texts)) and len(e.known) == len(e.first) == len(e.size)
+
+
+def test_long_texts_are_encoded_in_stretches(monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 50)
+    e, r = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(8)
+    for _ in range(300):
+        text = "".join(r.choices(["'", " ", "  ", "'s", "re", "a", "1", "\n", "\xa0", "\xe9", "."], k=400))
+        assert next(e([text])).tolist() == e.whole(text)
 
 
 def test_greedy_fills_windows_before_anything_is_cut():
