@@ -57,7 +57,7 @@ _KIND[0] = _NUL
 #: A worker remembers the ids of so many bytes of words; when full, it starts again with those of the last stretch.
 REMEMBERED = 8 << 20
 #: Words are cut and looked up for about so many characters at a time.
-STRETCH = 2 << 20
+STRETCH = 1 << 20
 #: So many new words are encoded as one text.
 CHAIN = 200
 

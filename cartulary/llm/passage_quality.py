@@ -28,9 +28,11 @@ BUCKETS = 2048
 PROJECTED = 48
 HIDDEN = 16
 THRESHOLD = 0.3
+#: Bytes of text encoded at once; arrays take some fifty times as much.
+AT_ONCE = 1 << 20
 
 #: Byte classes: small letters, capitals, digits, blanks, line ends, stops, other ASCII marks, beyond ASCII.
-_CLASS = np.full(256, 6)
+_CLASS = np.full(256, 6, np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 7
 _CLASS[[32, 9]], _CLASS[[10, 13]] = 3, 4
 _CLASS[[ord(c) for c in ".,;:?'\"()-"]] = 5
@@ -164,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Att
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_place", "_label", "text")  # most_rows at most
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", AT_ONCE)):
             raw, starts = buffer(batch.column("text"))
             e, text = encode(raw, starts)
             ends = np.searchsorted(text, np.arange(len(starts)))
@@ -186,7 +188,7 @@ def score(docs: DataFrame, model: Attention | float, threshold: float = THRESHOL
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", AT_ONCE)):
             m = shared.value
             raw, starts = buffer(batch.column("text"))
             p = np.full(len(starts) - 1, m) if isinstance(m, float) else m.score(*encode(raw, starts))
