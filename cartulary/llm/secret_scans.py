@@ -50,6 +50,8 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+#: The positions of so many matches are added up at once.
+AT_ONCE = 256
 
 #: A rule's query keeps at most so many alternatives; beyond that the trigrams of one side are left out, which only
 #: makes more candidates.
@@ -160,7 +162,8 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], key: str = "_key") ->
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """All spans of a rule in a text as (start, rank, end), by start, in code points.
 
-    The text is split at the matches; the lengths of the pieces and the matches, added up, are the positions.
+    The text is split at the matches; the lengths of the pieces and the matches, added up, are the positions. They are
+    added up by ``AT_ONCE`` matches, since each append copies what is there.
     """
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -168,24 +171,33 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     lengths = F.transform(found, F.length)
     groups = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.least else lengths
     steps = F.arrays_zip(F.transform(pieces, F.length).alias("p"), lengths.alias("m"), groups.alias("g"))
-    walked = F.aggregate(
-        F.filter(steps, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["p"] + x["m"]).alias("at"),
-            F.when(
-                x["g"] >= rule.least,
-                F.array_append(
-                    a["out"],
-                    F.struct((a["at"] + x["p"]).alias("start"), F.lit(rank).alias("rank"), (a["at"] + x["p"] + x["m"]).alias("end")),
-                ),
-            )
-            .otherwise(a["out"])
-            .alias("out"),
+    steps = F.array(F.filter(steps, lambda x: x["m"].isNotNull()))  # one item, so that its name stands for it below
+    parts = F.flatten(
+        F.transform(steps, lambda s: F.transform(F.sequence(F.lit(0), F.size(s), F.lit(AT_ONCE)), lambda i: F.slice(s, i + 1, AT_ONCE)))
+    )
+
+    def walked(part: Column, at: Column) -> Column:
+        span = lambda a, x: F.struct((a["at"] + x["p"]).alias("start"), F.lit(rank).alias("rank"), (a["at"] + x["p"] + x["m"]).alias("end"))
+        return F.aggregate(
+            part,
+            F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + x["p"] + x["m"]).alias("at"),
+                F.when(x["g"] >= rule.least, F.array_append(a["out"], span(a, x))).otherwise(a["out"]).alias("out"),
+            ),
+            lambda a: a["out"],
+        )
+
+    spans = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
+        lambda a, part: F.struct(
+            F.aggregate(part, a["at"], lambda at, x: at + x["p"] + x["m"]).alias("at"),
+            F.array_append(a["out"], walked(part, a["at"])).alias("out"),
         ),
-        lambda a: a["out"],
+        lambda a: F.flatten(a["out"]),
     )
-    return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(SPAN))
 
 
 def _verified(text: Column, rules: list[tuple[int, Rule]], kinds: Column | None) -> Column:
