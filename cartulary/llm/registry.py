@@ -16,6 +16,7 @@ from cartulary.llm.secret_scans import op8_secret_scans
 from cartulary.llm.sentence_pieces import op3_sentence_pieces
 from cartulary.llm.shingle_join import op6_shingle_join
 from cartulary.llm.source_mix import op11_source_mix
+from cartulary.llm.spelling_variants import op12_spelling_variants
 from cartulary.llm.syncmers import op5_syncmers
 
 
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable]:
         "op9_passage_quality": op9_passage_quality,
         "op10_quality_rules": op10_quality_rules,
         "op11_source_mix": op11_source_mix,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_ranked_search": op13_ranked_search,
         "pipeline": corpus_pipeline.run,
     }

@@ -1,13 +1,15 @@
 """Ranked search, source mixing and spelling variants against brute force, on nulls, ties, repeats, long texts, empty tables and clashes."""
 
 import math
+import random
 import re
+import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cartulary.llm import ranked_search, source_mix
+from cartulary.llm import ranked_search, source_mix, spelling_variants
 from cartulary.llm.shared import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -130,3 +132,82 @@ def test_pareto_keeps_unequal_probabilities(spark):
     wanted = spark.createDataFrame([("g", 5200)], "group string, words long")
     taken = {r.k: r.n / 1000 for r in source_mix.pareto(docs, wanted, Scratch(spark, "test")).groupBy(F.expr("id % 6").alias("k")).agg(F.sum("taken").alias("n")).collect()}
     assert sum(taken.values()) == pytest.approx(5.2) and taken == pytest.approx(dict(enumerate(p)), abs=0.05)
+
+
+# spelling variants
+
+LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def forms_by_force(docs):
+    n = {}
+    for d, text in docs:
+        for run in LETTERS.findall(text or ""):
+            run = run.translate(SMALL)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] = n.get(run, 0) + 1
+    n = {w: c for w, c in n.items() if len(w) >= 7 and c >= 2}
+
+    def are_near(x, y):
+        if abs(len(x) - len(y)) > 1 or x == y:
+            return False
+        if len(x) == len(y):
+            return sum(a != b for a, b in zip(x, y, strict=True)) == 1
+        x, y = sorted((x, y), key=len)
+        return any(y[:k] + y[k + 1 :] == x for k in range(len(y)))
+
+    near = {w: [x for x in n if are_near(w, x)] for w in n}
+    form = {w: min(near[w], key=lambda x: (-n[x], x), default=None) for w in n}
+    form = {w: f if f is not None and n[f] >= 10 * n[w] else None for w, f in form.items()}
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return sorted((w, form[w] or "", root(w), n[w], len(near[w]), n[form[w]] if form[w] else -1) for w in n)
+
+
+def words_of(rng, alphabet):
+    made = ["".join(rng.choices(alphabet, k=rng.randrange(6, 12))) for _ in range(60)]
+    for _ in range(260):
+        w = rng.choice(made)
+        k, c = rng.randrange(len(w) + 1), rng.choice(alphabet)
+        made.append(rng.choice([w[:k] + w[k + 1 :], w[:k] + c + w[k + 1 :], w[:k] + c + w[k:]]))
+    return made
+
+
+@pytest.mark.parametrize(("alphabet", "group", "together"), [("ab", 50_000, 20_000), ("abcdefgé×", 4, 1), ("aab", 3, 10), ("aaaabÿ", 1, 1)])
+def test_variants_by_force(spark, monkeypatch, alphabet, group, together):
+    monkeypatch.setattr(spelling_variants, "GROUP", group)
+    monkeypatch.setattr(spelling_variants, "TOGETHER", together)
+    rng = random.Random(alphabet)
+    words = words_of(rng, alphabet)
+    docs = [(i, " ".join(rng.choices(words, weights=[1000 // (k + 1) + 1 for k in range(len(words))], k=400))) for i in range(30)]
+    docs += [(None, "Abababab-ABABABAB Ébababab"), (3, None), (4, ""), (5, "12 _"), (6, docs[0][1]), (6, docs[0][1]), (7, "x" * 70_000 + " " + "x" * 70_000)]
+    df = spark.createDataFrame([(*d, "w", 1) for d in docs], "doc_id long, text string, word string, n int").repartition(3)
+    got = spelling_variants.grouped(df, Scratch(spark, "test")).collect()
+    want = forms_by_force(docs)
+    assert sorted((r.word, r.form or "", r.root, r.n, r.n_near, -1 if r.form_n is None else r.form_n) for r in got) == want
+    assert any(w[4] > 1 for w in want) and any(w[1] for w in want)
+
+
+def test_variants_follow_forms_to_the_root(spark):
+    chain = ["variante", "variantes", "variantess", "variantesse", "variantessen"]
+    docs = [(i, f"{w} " * 10 ** (5 - k) * 2) for k, w in enumerate(chain) for i in [k]]
+    found = {r.word: (r.form, r.root) for r in spelling_variants.grouped(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark, "test")).collect()}
+    assert [found[w][1] for w in chain if w in found] == [chain[0]] * sum(w in found for w in chain) and sum(w in found for w in chain) > 3
+
+
+def test_variants_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "of few letters"), (2, None)], "doc_id long, text string")
+    assert spelling_variants.grouped(docs, Scratch(spark, "test")).count() == 0
+    assert spelling_variants.grouped(docs.limit(0), Scratch(spark, "test")).count() == 0
+
+
+def test_automaton_numbers_and_is_minimal():
+    words = sorted({"abcdefg", "abcdefgh", "abxdefg", "bbcdefg", "zzcdefg", "abcdeft", "abcdeftt"})
+    a = spelling_variants.Automaton(words)
+    assert [a.walk(0, 0, w, 0)[1] for w in words] == list(range(len(words)))
+    kinds = {(a.final[s], tuple(a.edges[s].items())) for s in a.below}
+    assert len(kinds) == len(a.below)
