@@ -7,14 +7,17 @@ valid_from until before valid_to; without valid_to it is current.
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import datetime
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.functions.ids import artifact_id, edge_id
 from cartulary.functions.text import normal_name
+from cartulary.operators.stored import stored
 
 
 def current() -> Column:
@@ -95,25 +98,46 @@ def edge(edges: DataFrame, tenant: str, fact: str, label: str | None = None, mom
     return _one(edges, tenant, fact, label, moment, "edge")
 
 
-def answered(nodes: DataFrame, edges: DataFrame, tenant: str, query: str, parameters: dict | None = None, moment: datetime | None = None) -> DataFrame:
-    """A SELECT over {nodes} and {edges} of one tenant, with :named parameters; of the facts of a moment if one is given."""
-    if not re.match(r"\s*(select|with)\b", query, re.IGNORECASE):
-        raise ValueError("a query reads: it begins with SELECT or WITH")
-    own = lambda df: df.where(F.col("tenant_id") == tenant).where(F.lit(True) if moment is None else at(moment))
-    used = {k: own(df) for k, df in (("nodes", nodes), ("edges", edges)) if f"{{{k}}}" in query}
-    return edges.sparkSession.sql(query, args=parameters or {}, **used)
+#: Functions that call into the machine that runs them.
+CALLS = ("reflect", "java_method", "try_reflect")
 
 
-def traverse(
-    edges: DataFrame, start: DataFrame, depth: int | None, direction: str = "outbound", labels: list[str] | None = None, moment: datetime | None = None, nodes: DataFrame | None = None
-) -> DataFrame:
-    """All paths of 1 to ``depth`` edges from the nodes in ``start`` (tenant_id, id), no edge twice in one path.
+def _refuse_unless_reading(session: SparkSession, query: str, own: set[str]) -> None:
+    """An error unless a statement reads, and reads nothing but the relations named in ``own`` and what it defines."""
+    try:
+        plan = session._jsparkSession.sessionState().sqlParser().parsePlan(query).toString()
+    except ParseException as e:
+        raise ValueError("a query reads: it is one SELECT") from e
+    defined = {n.strip() for names in re.findall(r"\bCTE \[([^\]]*)\]", plan) for n in names.split(",")}
+    # A name of several parts is a path, a file or another schema's table; what is defined must not hide a table, or the
+    # same name outside of its scope would read that one.
+    read = set(re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan))
+    if "UnresolvedIdentifier" in plan or re.search(rf"'({'|'.join(CALLS)})\(", plan, re.IGNORECASE):
+        raise ValueError("a query names what it reads and calls nothing outside")
+    if read - own - defined or any(session.catalog.tableExists(n) for n in defined):
+        raise ValueError("a query reads {nodes} and {edges} only")
 
-    (tenant_id, start_id, end_id, hops, node_ids, edge_ids). With a moment, edges (and, given ``nodes``, nodes) that
-    did not hold are left out before each step, so no invalid path is ever extended. Stored directions are kept.
-    Without a depth, steps are made until none is left to make; no edge is used twice, so that ends. Then each step's
-    paths are checkpointed where the session has a folder for it, and kept in memory or on disk elsewhere.
+
+def answered(nodes: DataFrame, edges: DataFrame, tenant: str, query: str, parameters: dict | None = None, moment: datetime | None = None) -> DataFrame:
+    """A SELECT over {nodes} and {edges} of one tenant, with :named parameters; of the facts of a moment if one is given.
+
+    The statement is parsed first. What writes, reads another relation or file, or calls outside, is an error.
     """
+    session, used = edges.sparkSession, {k: f"_{k}_{uuid.uuid4().hex}" for k in ("nodes", "edges")}
+    # As a part of another query a statement cannot be a command.
+    whole = "SELECT * FROM (\n" + re.sub(r"\{(nodes|edges)\}", lambda m: used[m[1]], query) + "\n) AS answer"
+    _refuse_unless_reading(session, whole, set(used.values()))
+    for k, df in (("nodes", nodes), ("edges", edges)):
+        df.where(F.col("tenant_id") == tenant).where(F.lit(True) if moment is None else at(moment)).createOrReplaceTempView(used[k])
+    try:
+        return session.sql(whole, args=parameters or {})
+    finally:
+        for name in used.values():
+            session.catalog.dropTempView(name)
+
+
+def _steps(edges: DataFrame, start: DataFrame, depth: int | None, direction: str, labels: list[str] | None, moment: datetime | None, nodes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(tenant_id, _e, _a, _b): the edges as steps from _a to _b; and ``start``, both without what did not hold then."""
     if direction not in ("outbound", "inbound", "both"):
         raise ValueError(f"unknown direction {direction}")
     if depth is not None and depth < 1:
@@ -122,13 +146,26 @@ def traverse(
     if moment is not None:
         own = own.where(at(moment))
         if nodes is not None:
-            valid = nodes.where(at(moment)).select("tenant_id", F.col("id").alias("_n"))
+            valid = nodes.where(at(moment)).select("tenant_id", F.col("id").alias("_n")).distinct()
             for side in ("source_id", "target_id"):
                 own = own.join(valid.withColumnRenamed("_n", side), ["tenant_id", side], "left_semi")
             start = start.join(valid.withColumnRenamed("_n", "id"), ["tenant_id", "id"], "left_semi")
     out = own.select("tenant_id", F.col("id").alias("_e"), F.col("source_id").alias("_a"), F.col("target_id").alias("_b"))
     back = out.select("tenant_id", "_e", F.col("_b").alias("_a"), F.col("_a").alias("_b"))
-    steps = {"outbound": out, "inbound": back, "both": out.union(back)}[direction]
+    return {"outbound": out, "inbound": back, "both": out.union(back)}[direction], start
+
+
+def traverse(
+    edges: DataFrame, start: DataFrame, depth: int | None, direction: str = "outbound", labels: list[str] | None = None, moment: datetime | None = None, nodes: DataFrame | None = None
+) -> DataFrame:
+    """All paths of 1 to ``depth`` edges from the nodes in ``start`` (tenant_id, id), no edge twice in one path.
+
+    (tenant_id, start_id, end_id, hops, node_ids, edge_ids). With a moment, edges (and, given ``nodes``, nodes) that
+    did not hold are left out before each step, so no invalid path is ever extended. Stored directions are kept.
+    Without a depth, steps are made until none is left to make; no edge is used twice, so that ends. Then each step's
+    paths are written down. Paths may be many more than nodes: what only has to know what is reached asks ``reachable``.
+    """
+    steps, start = _steps(edges, start, depth, direction, labels, moment, nodes)
     none = F.array().cast("array<string>")
     frontier = start.select("tenant_id", F.col("id").alias("start_id"), F.col("id").alias("end_id"), F.lit(0).alias("hops"), F.array(F.col("id").cast("string")).alias("node_ids"), none.alias("edge_ids"))
     found = None
@@ -142,7 +179,7 @@ def traverse(
             )
         )
         if depth is None:
-            frontier = frontier.checkpoint() if start.sparkSession.sparkContext.getCheckpointDir() else frontier.persist()
+            frontier = stored(frontier)
         found = frontier if found is None else found.union(frontier)
         if depth is None and frontier.isEmpty():
             break
@@ -154,6 +191,37 @@ def reached(paths: DataFrame, column: str = "node_ids") -> DataFrame:
     return paths.select("tenant_id", F.explode(column).alias("id")).distinct()
 
 
+def reachable(
+    edges: DataFrame, start: DataFrame, depth: int | None = None, direction: str = "outbound", labels: list[str] | None = None, moment: datetime | None = None,
+    nodes: DataFrame | None = None, by_start: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """What paths of 1 to ``depth`` edges from ``start`` (tenant_id, id) lead through, without listing the paths: the
+    nodes (tenant_id, id, hops) and the edges (tenant_id, id, hops), each once, at the least number of steps.
+
+    hops is 0 for a start (which is there if a path leaves it), and for an edge the step that first takes it. With
+    ``by_start`` all is told for each start: start_id stands before id. Without a depth, all that can be reached.
+
+    Breadth first: each round only the nodes found in the last one make a step, and those that were found before are
+    taken out, so a cycle ends and a hub is left once, whatever the number of paths. A node is on a path without
+    repeated edges if and only if it is reached; so is an edge, if one of its ends is reached a step before.
+    """
+    steps, start = _steps(edges, start, depth, direction, labels, moment, nodes)
+    steps = stored(steps)
+    key = ["tenant_id", *(["start_id"] if by_start else [])]
+    first = start.select("tenant_id", F.col("id").alias("start_id"), "id").distinct() if by_start else start.select("tenant_id", "id").distinct()
+    frontier = stored(first.join(steps.select("tenant_id", F.col("_a").alias("id")), ["tenant_id", "id"], "left_semi").select(*key, "id"))
+    found, taken = frontier.withColumn("hops", F.lit(0)), None
+    for hop in count(1) if depth is None else range(1, depth + 1):
+        step = stored(frontier.join(steps.withColumnRenamed("_a", "id"), ["tenant_id", "id"]).select(*key, "_e", F.col("_b").alias("id")))
+        now = step.select(*key, F.col("_e").alias("id")).distinct().withColumn("hops", F.lit(hop))
+        taken = now if taken is None else taken.unionByName(now)
+        frontier = stored(step.select(*key, "id").distinct().join(found.select(*key, "id"), [*key, "id"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier.withColumn("hops", F.lit(hop)))
+    return found.select(*key, "id", "hops"), taken.groupBy(*key, "id").agg(F.min("hops").alias("hops"))
+
+
 def supersede(facts: DataFrame, tenant: str, fact: str, moment: datetime, job: str | None = None) -> tuple[DataFrame, bool]:
     """The facts with the current one of this id closed at ``moment``, and whether there was one."""
     hit = (F.col("tenant_id") == tenant) & (F.col("id") == fact) & current()

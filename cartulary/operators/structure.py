@@ -59,12 +59,9 @@ def heading_items(sections: DataFrame, most: int = 3) -> DataFrame:
 
 
 def table_items(tables: DataFrame) -> DataFrame:
-    """Rows of tables (doc_id, rows array<array<string>>): the first cell is the id if it has 1 to 49 bytes."""
-    cells = tables.select("doc_id", F.posexplode("rows").alias("_pos", "cells"))
-    text = F.array_join(F.filter(F.transform("cells", trim_all), lambda x: x != ""), " | ")
-    named = cells.select("doc_id", "_pos", trim_all(F.get("cells", F.lit(0))).alias("first"), text.alias("text")).where("text <> ''")
-    fallback = F.concat(F.lit("tbl-"), F.row_number().over(Window.partitionBy("doc_id").orderBy("_pos")))
-    return named.withColumn("_o", fallback).select("doc_id", F.when(F.octet_length("first").between(1, 49), F.col("first")).otherwise(F.col("_o")).alias("id"), "text")
+    """Rows of tables (doc_id, rows array<array<string>>) with any cells: the first cell without blanks around it is the
+    id if it has 1 to 49 bytes, else the row's number among them; the text has all cells as they are."""
+    return tables.select("doc_id", F.inline(_table_tier(F.col("rows")))).select("doc_id", "id", "text")
 
 
 def required_items(items: DataFrame, vocabulary: tuple[str, ...] = REQUIREMENT_WORDS) -> DataFrame:
@@ -199,9 +196,19 @@ def _some(items: Column) -> Column:
 
 
 def _heading_tier(sections: Column, most: int) -> Column:
-    placed = F.transform(sections, lambda x, i: F.struct(x["title"].alias("title"), x["text"].alias("text"), (i + 1).alias("at")))
-    kept = F.filter(placed, lambda x: F.size(F.filter(sections, lambda y: y["title"].eqNullSafe(x["title"]))) <= (most if most > 0 else 3))
-    return _items(kept, lambda x, i: (F.concat(F.lit("sec-"), x["at"].cast("string")), x["title"], x["text"]))
+    """Sections are sorted by title, so one with a title that occurs too often is within ``most`` places of two equal
+    titles that are ``most`` places apart: no section is compared with all others."""
+    most = most if most > 0 else 3
+    key = lambda x: F.coalesce(F.concat(F.lit("="), x["title"]), F.lit(""))  # noqa: E731  a null title is one of its own
+    placed = F.transform(sections, lambda x, i: F.struct(key(x).alias("key"), (i + 1).alias("at"), x["title"].alias("title"), x["text"].alias("text")))
+
+    def few(ordered: Column) -> Column:
+        same = lambda x, j: F.coalesce((F.get(ordered, j)["key"] == x["key"]) & (F.get(ordered, j + most)["key"] == x["key"]), F.lit(False))
+        return F.filter(ordered, lambda x, i: ~F.exists(F.sequence(F.greatest(i - most, F.lit(0)), i), lambda j: same(x, j)))
+
+    kept = F.get(F.transform(F.array(F.sort_array(placed)), few), F.lit(0))  # sorted once, not for each section
+    back = F.sort_array(F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["title"].alias("title"), x["text"].alias("text"))))
+    return _items(back, lambda x, i: (F.concat(F.lit("sec-"), x["at"].cast("string")), x["title"], x["text"]))
 
 
 def _table_tier(rows: Column) -> Column:

@@ -61,10 +61,15 @@ def graph_traverse_deep(spark, sf):
 
 
 def graph_path_asof(spark, sf):
-    """Paths of two steps over the edges of a day: customers that placed orders of the same priority."""
-    e = I.edges(spark, sf)
-    start = e.where(G.at(DAY)).where("label = 'P'").select("tenant_id", F.col("source_id").alias("id")).distinct()
-    p = G.traverse(e, start, 1, moment=DAY)
+    """Paths of two steps that held on a day: from a nation to its customers, and on to the priorities of their orders."""
+    c = I.table(spark, sf, "customer")
+    lives = c.select(
+        F.lit("acme").alias("tenant_id"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("LIVES_IN").alias("label"), F.concat(F.lit("n"), "c_nationkey").alias("source_id"),
+        F.col("c_custkey").cast("string").alias("target_id"), F.lit(datetime(1990, 1, 1)).alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"),
+    )
+    e = I.edges(spark, sf).drop("props").unionByName(lives)
+    start = lives.select("tenant_id", F.col("source_id").alias("id")).distinct()
+    p = G.traverse(e, start, 2, moment=DAY).where("hops = 2")
     return p.groupBy("start_id", "end_id").agg(F.count("*").alias("n"))
 
 
@@ -105,8 +110,31 @@ def page_with_total(spark, sf):
     return rows.select("o_orderkey", F.lit(total).cast("long").alias("total"), F.lit(following).cast("long").alias("next_offset"))
 
 
+def _supply(spark, sf):
+    """A graph with cycles and hubs: parts lead to their suppliers, those to nations and regions, and those back to parts."""
+    edge = lambda df, a, b: df.select(
+        F.lit("acme").alias("tenant_id"), F.concat_ws(">", a, b).alias("id"), F.lit("LEADS_TO").alias("label"), a.alias("source_id"), b.alias("target_id"),
+        F.lit(datetime(1990, 1, 1)).alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"),
+    )
+    name = lambda kind, column: F.concat(F.lit(kind), F.col(column))
+    made = edge(I.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct(), name("p", "l_partkey"), name("s", "l_suppkey"))
+    back = I.table(spark, sf, "part").where("p_partkey % 7 <> 0").withColumn("r", F.col("p_partkey") % 5)
+    for part in (edge(I.table(spark, sf, "supplier"), name("s", "s_suppkey"), name("n", "s_nationkey")), edge(I.table(spark, sf, "nation"), name("n", "n_nationkey"), name("r", "n_regionkey")), edge(back, name("r", "r"), name("p", "p_partkey"))):
+        made = made.unionByName(part)
+    return made
+
+
 def graph_reached(spark, sf):
-    return G.reached(G.traverse(I.places(spark, sf), _roots(spark), 2)).select("id")
+    """What is reached from each region, however far, and at how many steps."""
+    nodes, _ = G.reachable(_supply(spark, sf), _roots(spark), by_start=True)
+    return nodes.select("start_id", "id", F.col("hops").cast("long").alias("hops"))
+
+
+def graph_reached_edges(spark, sf):
+    """The edges within three steps of any supplier, in either direction, and the step that first takes them."""
+    start = I.table(spark, sf, "supplier").where("s_suppkey % 10 = 0").select(F.lit("acme").alias("tenant_id"), F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    _, edges = G.reachable(_supply(spark, sf), start, 3, "both")
+    return edges.select("id", F.col("hops").cast("long").alias("hops"))
 
 
 def graph_degree(spark, sf):
@@ -259,7 +287,7 @@ def collect_results(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_current, graph_asof, graph_by_property, graph_supersede, graph_traverse_out, graph_traverse_in, graph_traverse_both, graph_traverse_deep, graph_path_asof, graph_node, graph_edge, graph_query, graph_add_nodes, graph_add_edges, page_with_total, graph_reached, graph_degree, mat_relationship_edges,
+        graph_current, graph_asof, graph_by_property, graph_supersede, graph_traverse_out, graph_traverse_in, graph_traverse_both, graph_traverse_deep, graph_path_asof, graph_node, graph_edge, graph_query, graph_add_nodes, graph_add_edges, page_with_total, graph_reached, graph_reached_edges, graph_degree, mat_relationship_edges,
         mat_requires_edges, mat_merge, mat_mappings, catalog_parent_edges, catalog_counts, catalog_list_page, list_filters, upsert_embedding, delete_by_model, reset_stages,
         job_stamp, tally_results, duplicate_ids, manifest, content_ids, stream_verify_hash, stream_subjects, retention_filter, fan_out, collect_results,
     )
@@ -268,6 +296,10 @@ QUERIES = {
 _AT = "valid_from <= TIMESTAMP '1995-06-17' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1995-06-17')"
 _E = f"e AS ({I.EDGES_SQL})"
 _P = f"p AS ({I.PLACES_SQL})"
+_SUPPLY = (
+    "g AS (SELECT DISTINCT 'p'||l_partkey AS a, 's'||l_suppkey AS b FROM lineitem UNION ALL SELECT 's'||s_suppkey, 'n'||s_nationkey FROM supplier UNION ALL "
+    "SELECT 'n'||n_nationkey, 'r'||n_regionkey FROM nation UNION ALL SELECT 'r'||(p_partkey%5), 'p'||p_partkey FROM part WHERE p_partkey%7<>0)"
+)
 _CONS = f"c AS (SELECT DISTINCT source_id, target_id, relationship FROM ({I.PAIRS_SQL}) WHERE relationship <> 'NO_RELATIONSHIP')"
 ORACLE = {
     "graph_current": f"WITH {_E} SELECT id, source_id, target_id, c_mktsegment AS segment FROM e JOIN customer ON CAST(c_custkey AS VARCHAR)=source_id WHERE valid_to IS NULL",
@@ -277,9 +309,10 @@ ORACLE = {
     "graph_traverse_out": f"WITH RECURSIVE {_P}, r AS (SELECT source_id AS start_id, target_id AS end_id, 1 AS hops FROM p WHERE source_id LIKE 'r%' UNION ALL SELECT r.start_id, p.target_id, hops+1 FROM r JOIN p ON p.source_id=r.end_id WHERE hops<2) SELECT start_id, end_id, hops::BIGINT AS hops FROM r",
     "graph_traverse_in": f"WITH RECURSIVE {_P}, r AS (SELECT target_id AS start_id, source_id AS end_id, 1 AS hops FROM p WHERE target_id LIKE 's%' UNION ALL SELECT r.start_id, p.source_id, hops+1 FROM r JOIN p ON p.target_id=r.end_id WHERE hops<2) SELECT start_id, end_id, hops::BIGINT AS hops FROM r",
     "graph_traverse_both": f"WITH {_P}, u AS (SELECT source_id AS a, target_id AS b, source_id||'>'||target_id AS e FROM p UNION ALL SELECT target_id, source_id, source_id||'>'||target_id FROM p) SELECT x.a AS start_id, y.b AS end_id FROM u x JOIN u y ON x.b=y.a AND x.e<>y.e WHERE x.a LIKE 'n%'",
-    "graph_reached": "SELECT 'r'||r_regionkey AS id FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION SELECT 'n'||n_nationkey FROM nation UNION SELECT 's'||s_suppkey FROM supplier",
+    "graph_reached": f"WITH RECURSIVE {_SUPPLY}, r AS (SELECT 'r'||i AS start_id, 'r'||i AS id, 0 AS hops FROM range(5) t(i) WHERE 'r'||i IN (SELECT a FROM g) UNION SELECT start_id, b, hops+1 FROM r JOIN g ON a=r.id WHERE hops<12) SELECT start_id, id, min(hops)::BIGINT AS hops FROM r GROUP BY ALL",
+    "graph_reached_edges": f"WITH RECURSIVE {_SUPPLY}, u AS (SELECT a, b, a||'>'||b AS e FROM g UNION ALL SELECT b, a, a||'>'||b FROM g), r AS (SELECT 's'||s_suppkey AS id, 0 AS hops FROM supplier WHERE s_suppkey%10=0 UNION SELECT b, hops+1 FROM r JOIN u ON a=r.id WHERE hops<2) SELECT e AS id, (min(hops)+1)::BIGINT AS hops FROM r JOIN u ON a=r.id GROUP BY e",
     "graph_traverse_deep": f"WITH RECURSIVE {_P}, r AS (SELECT source_id AS start_id, target_id AS end_id, 1 AS hops FROM p WHERE source_id LIKE 'r%' UNION ALL SELECT r.start_id, p.target_id, hops+1 FROM r JOIN p ON p.source_id=r.end_id) SELECT start_id, end_id, hops::BIGINT AS hops FROM r",
-    "graph_path_asof": f"WITH {_E} SELECT source_id AS start_id, target_id AS end_id, count(*) AS n FROM e WHERE {_AT} AND source_id IN (SELECT source_id FROM e WHERE label='P' AND {_AT}) GROUP BY ALL",
+    "graph_path_asof": f"WITH {_E} SELECT 'n'||c_nationkey AS start_id, target_id AS end_id, count(*) AS n FROM e JOIN customer ON source_id=c_custkey::VARCHAR WHERE {_AT} GROUP BY ALL",
     "graph_node": "SELECT '1' AS id, 'Customer' AS label, c_mktsegment AS segment FROM customer WHERE c_custkey=1",
     "graph_edge": f"WITH {_E} SELECT id, label, source_id, target_id FROM e WHERE id='1'",
     "graph_query": f"WITH {_E} SELECT target_id AS priority, count(*) AS n FROM e WHERE label='O' AND {_AT} GROUP BY target_id",

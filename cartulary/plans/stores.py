@@ -104,7 +104,10 @@ def dag_outcome(spark, sf):
 
 
 def table_items(spark, sf):
-    li = I.table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.array(F.col("l_linenumber").cast("string"), F.col("l_linestatus"), F.lit(" ")).alias("cells")).alias("row"))
+    """Each order's line items as a table with blank cells, blank first cells, rows without text and rows without cells."""
+    first = F.when(F.col("l_linenumber") % 3 == 0, " ").otherwise(F.concat(F.lit(" "), F.col("l_linenumber").cast("string")))
+    cells = F.when(F.col("l_linenumber") % 5 == 0, F.array().cast("array<string>")).when(F.col("l_linenumber") % 4 == 0, F.array(F.lit(""), F.lit(""))).otherwise(F.array(first, F.col("l_linestatus"), F.lit(" ")))
+    li = I.table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", cells.alias("cells")).alias("row"))
     tables = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["cells"]).alias("rows"))
     return Q.table_items(tables).select("doc_id", "id", "text")
 
@@ -139,6 +142,8 @@ ORACLE = {
     "resumable_jobs": "SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus='P'",
     "artifact_facts": f"WITH a AS (SELECT DISTINCT p_brand, lower(p_name) AS name, {_KIND} AS type FROM part) SELECT 'Artifact' AS label, count(*) AS n FROM a UNION ALL SELECT 'ArtifactType', count(DISTINCT type) FROM a UNION ALL SELECT 'DEMANDS', count(*) FROM a UNION ALL SELECT 'IS_TYPE', count(*) FROM a",
     "dag_outcome": "SELECT name, status, (SELECT count(*) FROM orders)::BIGINT AS n FROM (VALUES ('classify','completed'),('embedding','completed'),('relationship','failed'),('requires','skipped')) v(name,status)",
-    "table_items": "SELECT l_orderkey AS doc_id, l_linenumber::VARCHAR AS id, l_linenumber||' | '||l_linestatus AS text FROM lineitem",
+    "table_items": """WITH r AS (SELECT l_orderkey, l_linenumber, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_linenumber%4=0 THEN '' ELSE l_linestatus END) AS k FROM lineitem WHERE l_linenumber%5<>0)
+      SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber%3=0 OR l_linenumber%4=0 THEN 'tbl-'||k ELSE l_linenumber::VARCHAR END AS id,
+        CASE WHEN l_linenumber%4=0 THEN ' | ' WHEN l_linenumber%3=0 THEN '  | '||l_linestatus||' |  ' ELSE ' '||l_linenumber||' | '||l_linestatus||' |  ' END AS text FROM r""",
     "structurer_headings": "WITH c AS (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS place FROM lineitem), d AS (SELECT l_orderkey, count_if(k<=2) AS n, min(CASE WHEN k<=2 THEN 'sec-'||place END) AS lowest FROM c GROUP BY 1) SELECT l_orderkey AS doc_id, CASE WHEN n>0 THEN n ELSE 3 END::BIGINT AS n, coalesce(lowest,'1.1') AS first FROM d",
 }
