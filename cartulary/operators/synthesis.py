@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.functions.numeric import Viability, viability, viability_weight
+from cartulary.operators.quantiles import of_counts
+from cartulary.operators.stored import stored as written
 
 #: Relationship types that call for action.
 ACTIONABLE = ("EQUIVALENT", "SUPERSET_OF", "SUBSET_OF", "CONTRIBUTES_TO", "COMPLEMENTS", "PARTIAL")
@@ -71,16 +73,28 @@ def validated(inputs: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """One row: counts, averages, the histogram of relationships and what the diagnostics need, in one aggregation."""
+    """One row: counts, averages, the histogram of relationships, how many sources are covered, and the interquartile
+    range of the scores (null without scores).
+
+    The rows are read once: they are grouped by relationship, by source and by score at the same time, and what follows
+    reads the groups, which are written down.
+    """
     actionable = F.col("relationship").isin(*ACTIONABLE) & (F.col("viability_weight") > 0)
-    counted = rows.groupBy("relationship").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("viability_weight") > 0).alias("n_viable"),
-        F.sum("confidence").alias("sum_confidence"),
-        F.sum("viability_weight").alias("sum_viability"),
-        F.count_if(~F.col("unanimous")).alias("n_contested"),
+    measured = rows.select("relationship", "source_id", "score", "confidence", "viability_weight", "unanimous", actionable.alias("actionable"))
+    sets = [[F.col("relationship")], [F.col("source_id")], [F.col("score")]]
+    groups = written(
+        measured.groupingSets(sets, "relationship", "source_id", "score").agg(
+            F.grouping_id("relationship", "source_id", "score").alias("set"),
+            F.count("*").alias("n"),
+            F.count_if(F.col("viability_weight") > 0).alias("n_viable"),
+            F.sum("confidence").alias("sum_confidence"),
+            F.sum("viability_weight").alias("sum_viability"),
+            F.count_if(~F.col("unanimous")).alias("n_contested"),
+            F.max("actionable").alias("covered"),
+        )
     )
-    totals = counted.agg(
+    by_relationship, by_source, by_score = (groups.where(F.col("set") == bits) for bits in (0b011, 0b101, 0b110))
+    totals = by_relationship.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.coalesce(F.sum("n_viable"), F.lit(0)).alias("viable"),
         F.coalesce(F.sum("sum_confidence") / F.sum("n"), F.lit(0.0)).alias("avg_confidence"),
@@ -89,10 +103,9 @@ def report(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n_contested"), F.lit(0)).alias("contested"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("relationship", "n")))).alias("by_relationship"),
     )
-    sources = rows.groupBy("source_id").agg(F.max(actionable).alias("covered"))
-    coverage = sources.agg(F.count("*").alias("sources"), F.count_if("covered").alias("covered_sources"))
-    spread = rows.agg((F.percentile("score", 0.75) - F.percentile("score", 0.25)).alias("iqr"))
-    return totals.crossJoin(coverage).crossJoin(spread)  # one row each
+    coverage = by_source.agg(F.count("*").alias("sources"), F.count_if("covered").alias("covered_sources"))
+    quarters = of_counts(by_score.select(F.col("score").alias("value"), "n"), {"low": 0.25, "high": 0.75})
+    return totals.crossJoin(coverage).crossJoin(quarters.select((F.col("high") - F.col("low")).alias("iqr")))  # one row each
 
 
 def diagnostics(
