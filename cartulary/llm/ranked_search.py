@@ -3,11 +3,12 @@
 ``indexed`` turns documents into postings in blocks: a row for each term of a run of texts, with the places of the
 texts that have it, how often they do and how many terms they have. Rows name the bucket of their term and lie sorted by
 it in their file. A block is as large as its run of texts, so a term that every document has makes many rows and none is
-large. A row without a term holds the block's doc_ids and lengths.
+large. A row without a term holds the block's doc_ids and, of the texts that have a term, lengths.
 
 ``search`` joins the items' terms to the postings, scores each match in whole numbers, sums by item and document, and
-ranks within the item. Matched postings are dealt by document before items are joined to them, so that the sums need no
-further shuffle, and Spark cuts each partition's rows to the best k of an item before they meet.
+ranks within the item. All joins are of blocks, not of matches: a block's postings get their term's weight and items, are
+dealt by block, and only there become a row for each match, so that the sums need no further shuffle; Spark cuts each
+partition's rows to the best k of an item before they meet.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from cartulary.llm.shared import Scratch, table, with_columns
 BUCKETS = 1024
 #: Bytes of text in a block, unless one text has more.
 BLOCK = 8 << 20
+#: About so many items go along with a block of postings at once.
+LOT = 1000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -54,7 +57,7 @@ def counted(words: pa.Array, text: np.ndarray, n_texts: int) -> tuple[pa.Array,
 
 def indexed(docs: DataFrame) -> DataFrame:
     """Postings of ``docs`` (doc_id, text): bucket, term, block, and for each text of the block that has the term at,
-    tf and n_terms. The row whose term is null has all texts of the block that have any term, and their ids."""
+    tf and n_terms. The row whose term is null has those of the block that have any term, and all ids by place."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -70,10 +73,9 @@ def indexed(docs: DataFrame) -> DataFrame:
             rows = {"at": at, "tf": tf, "n_terms": n_terms[at] if len(at) else at}
             whole = [0, len(some)]
             own = {"at": some, "tf": np.zeros_like(some), "n_terms": n_terms[some]}
-            ids = batch.column("doc_id").take(pa.array(some))
             out = {"term": pa.concat_arrays([terms.cast(pa.string()), pa.nulls(1, pa.string())]), "block": np.full(len(terms) + 1, block, np.int64)}
             out |= {k: pa.concat_arrays([lists(ends, rows[k]), lists(whole, own[k])]) for k in rows}
-            out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(len(terms) + 1, np.int32), np.int32(len(some)))), ids)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(len(terms) + 1, np.int32), np.int32(batch.num_rows))), pa.concat_arrays([batch.column("doc_id")]))
             yield with_columns(batch, [], out)
             block += 1
 
@@ -117,12 +119,13 @@ def search(docs: DataFrame, items: DataFrame, scratch: Scratch, k: int = 10) ->
     terms = wanted.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
     met = scratch.write(postings.join(terms, ["bucket", "term"]).select("term", "block", "at", "tf", "n_terms"))
     weights = met.groupBy("term").agg(weight(F.lit(n_docs).cast("long"), F.sum(F.size("at"))).alias("w"))
-    asked = wanted.join(weights, "term")
+    lots = F.pmod(F.xxhash64("item_id"), F.lit(max(1, wanted.select("item_id").distinct().count() // LOT)))
+    asked = wanted.groupBy("term", lots.alias("lot")).agg(F.collect_list(F.struct("item_id")).alias("items")).join(weights, "term").drop("lot")
 
-    each = lambda df, *keep: df.select(*[k for k in keep if k in df.columns], F.inline(F.arrays_zip(*[k for k in ("at", "tf", "n_terms", "ids") if k in df.columns])))
-    named = each(own.select("block", "at", "ids"), "block").withColumnRenamed("ids", "doc_id")
-    # Merged by document, so that the sums below find the rows of a document together.
-    matches = each(met, "term", "block").join(named.hint("merge"), ["block", "at"]).join(asked, "term")
+    blocks = met.join(asked, "term").join(own.select("block", "ids").hint("merge"), "block")
+    docs_of = F.transform("at", lambda i: F.get("ids", i)).alias("doc_id")
+    postings_of = F.inline(F.arrays_zip("at", "tf", "n_terms", docs_of))
+    matches = blocks.select("block", "items", "w", postings_of).select("block", "at", "doc_id", "w", "tf", "n_terms", F.inline("items"))
     score = match_score(F.col("w"), F.col("tf").cast("long"), F.col("n_terms").cast("long"), n_docs, n_all)
     sums = matches.groupBy("block", "at", "doc_id", "item_id").agg(F.sum(score).alias("score")).where("score > 0")
     best = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
