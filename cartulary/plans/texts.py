@@ -93,10 +93,27 @@ def _controls(spark, sf):
 
 
 def control_search(spark, sf):
-    """Which controls hold every word; ranks are the engine's own."""
+    """Which controls of two catalogs hold every word that is no stop word, in any form."""
     return R.found(R.indexed(_controls(spark, sf)), "this WORK", ["en", "fr"]).select("control_id")
 
 
+def _parts(spark, sf):
+    """Parts as controls of two words in the title and two in the statement."""
+    p = I.table(spark, sf, "part")
+    return p.select(F.col("p_brand").alias("catalog_id"), F.format_string("p%08d", "p_partkey").alias("control_id"), F.lit("x").alias("identifier"), F.col("p_name").alias("title"), F.concat("p_type", F.lit(" Rings")).alias("statement"))
+
+
+def search_ranked(spark, sf):
+    """The rank of every part that is small in some way, by postings."""
+    return R.ranked(R.postings(R.indexed(_parts(spark, sf))), "the small rings").select("control_id", F.round("rank", 6).alias("rank"))
+
+
+def search_page(spark, sf):
+    """A page of the ranked parts, in order, with the number of all and where the next begins."""
+    rows, total, following = R.page(R.found(R.indexed(_parts(spark, sf)), "ringing small"), 20, 10)
+    return rows.select("place", "control_id", F.round("rank", 6).alias("rank"), F.lit(total).cast("long").alias("total"), F.lit(following).cast("long").alias("next_offset"))
+
+
 def hybrid_merge(spark, sf):
     """What words find, then what only the vectors nearest to vector 0 find; a vector belongs to the document of its id."""
     c = _controls(spark, sf)
@@ -129,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_clean_tail, text_clean_line, text_prepare, text_normalize_name, fuzzy_match_pairs, keyword_filter, struct_fallback, struct_heading_repeat, struct_pattern, decompose_text,
-        chunk_text, structurer_cascade, control_search, hybrid_merge, catalog_flatten,
+        chunk_text, structurer_cascade, control_search, search_ranked, search_page, hybrid_merge, catalog_flatten,
     )
 }
 
@@ -152,6 +169,10 @@ def _line_sql(x: str) -> str:
 
 
 _OVERLAP = "len(list_intersect(list_distinct(string_split(lower(a.p_name),' ')), list_distinct(string_split(lower(b.p_name),' ')))) / least(len(list_distinct(string_split(lower(a.p_name),' '))), len(list_distinct(string_split(lower(b.p_name),' '))))"
+_WORK = r"list_has_any(regexp_extract_all(lower(coalesce(text,'')||' '||coalesce(source,'')), '[\p{L}\p{N}]+'), ['work','works','worked','working','workings'])"
+#: Positions: 1 and 2 in the title (weight 1), 3 and 4 in the statement (weight 0.4); a rank for each set of hits.
+_RANKED = """p AS (SELECT printf('p%08d', p_partkey) AS control_id, p_name LIKE 'small %' AS s1, p_name LIKE '% ring' AS r2, p_type='SMALL' AS s3 FROM part),
+      k AS (SELECT control_id, (CASE WHEN s1 AND r2 AND s3 THEN 1 + 2/3.5 + 2/5.0 WHEN s1 AND r2 THEN 1 WHEN s1 AND s3 THEN 2/5.0 WHEN s1 THEN 2/3.5/3 WHEN r2 THEN 2/3.5 + 2/5.0 ELSE 2/5.0 END)::DOUBLE AS rank FROM p WHERE s1 OR s3)"""
 ORACLE = {
     "text_clean_tail": f"SELECT doc_id, sha256({_tail_sql('text')}) AS digest FROM ({_DIRTY})",
     "text_clean_line": f"SELECT doc_id, sha256({_line_sql('text')}) AS digest FROM ({_DIRTY})",
@@ -163,8 +184,10 @@ ORACLE = {
     "struct_heading_repeat": "SELECT doc_id, id, title FROM (SELECT l_orderkey AS doc_id, 'sec-'||l_linenumber AS id, l_returnflag AS title, count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS n FROM lineitem) WHERE n<=3",
     "struct_pattern": "SELECT o_orderkey AS doc_id, id, text FROM orders JOIN (VALUES (0,'1.1','1.1 a'),(0,'1.2','1.2 b'),(0,'1.3','1.3 c'),(1,'(a)','(a) x'),(1,'(b)','(b) y'),(1,'(c)','(c) z')) v(k,id,text) ON o_orderkey%3=k",
     "decompose_text": "SELECT s_suppkey::VARCHAR AS doc_id, id, class, parent_id FROM supplier, (VALUES ('x.a','requirement',''),('x.b','requirement',''),('x.c','section',''),('x.c.1','requirement','x.c'),('x.c.2','requirement','x.c'),('x.c.3','requirement','x.c')) v(id,class,parent_id)",
-    "control_search": r"SELECT lang||'/'||doc_id AS control_id FROM documents WHERE lang IN ('en','fr') AND list_has_all(regexp_extract_all(lower(coalesce(text,'')||' '||source), '[a-z0-9]+'), ['this','work'])",
-    "hybrid_merge": r"""WITH w AS (SELECT doc_id FROM documents WHERE list_has_all(regexp_extract_all(lower(coalesce(text,'')||' '||source), '[a-z0-9]+'), ['this','work'])),
+    "control_search": f"SELECT lang||'/'||doc_id AS control_id FROM documents WHERE lang IN ('en','fr') AND {_WORK}",
+    "search_ranked": f"WITH {_RANKED} SELECT control_id, round(rank,6) AS rank FROM k",
+    "search_page": f"WITH {_RANKED}, o AS (SELECT row_number() OVER (ORDER BY rank DESC, control_id) AS place, control_id, round(rank,6) AS rank, count(*) OVER () AS total FROM k) SELECT place::INTEGER AS place, control_id, rank, total, least(total, 30)::BIGINT AS next_offset FROM o WHERE place BETWEEN 11 AND 30",
+    "hybrid_merge": f"""WITH w AS (SELECT doc_id FROM documents WHERE {_WORK}),
       s AS (SELECT b.vec_id AS doc_id FROM embeddings a, embeddings b WHERE a.vec_id=0 AND b.vec_id<>0 ORDER BY list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]) DESC, b.vec_id LIMIT 100)
       SELECT 'text' AS origin, count(*) AS n FROM w HAVING count(*)>0 UNION ALL SELECT 'semantic', count(*) FROM s WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id NOT IN (SELECT doc_id FROM w) HAVING count(*)>0""",
     "catalog_flatten": "SELECT n_nationkey::VARCHAR AS path, replace(id,'#','ac-'||n_nationkey) AS id, replace(text,'#',n_name) AS text, class, replace(parent_id,'#','ac-'||n_nationkey) AS parent_id, 'h' AS group_id FROM nation, (VALUES ('#','#','section',''),('#.a','do weekly','requirement','#'),('#.b','do [pb]','section','#'),('#.b.1','do [pb.1]','requirement','#.b'),('#.b.2','do [pb.2]','requirement','#.b')) v(id,text,class,parent_id)",
