@@ -340,5 +340,5 @@ ORACLE = {
     "stream_subjects": "SELECT count(*) AS n FROM conversations WHERE role='user'",
     "retention_filter": "SELECT stream, count(*) AS n FROM (SELECT ts, CASE event_id%3 WHEN 0 THEN 'llm' WHEN 1 THEN 'events' ELSE 'decisions' END AS stream FROM events) WHERE stream='decisions' OR (stream='llm' AND ts >= TIMESTAMP '2024-03-01' - INTERVAL 90 DAY) OR (stream='events' AND ts >= TIMESTAMP '2024-03-01' - INTERVAL 30 DAY) GROUP BY stream",
     "fan_out": f"SELECT model, sample::BIGINT AS sample, count(*) AS n FROM ({I.PAIRS_SQL}), (VALUES ('m1'),('m2')) m(model), (VALUES (1),(2),(3)) s(sample) GROUP BY ALL",
-    "collect_results": "WITH r AS (SELECT (l_orderkey+1)::VARCHAR AS task_id, count_if(l_linenumber%2=1) AS errors, count_if(l_linenumber%2=0) AS good FROM lineitem GROUP BY 1) SELECT CASE WHEN good>0 THEN 'done' WHEN errors>2 THEN 'failed' ELSE 'pending' END AS state, count(*) AS n, sum(coalesce(errors,0))::BIGINT AS errors FROM orders LEFT JOIN r ON task_id=o_orderkey::VARCHAR GROUP BY 1",
+    "collect_results": "WITH f AS (SELECT *, min(CASE WHEN l_linenumber%2=0 THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS first FROM lineitem), r AS (SELECT (l_orderkey+1)::VARCHAR AS task_id, count_if(l_linenumber%2=1) AS errors, count_if(l_linenumber%2=0) AS good, count_if(l_linenumber%2=1 AND (first IS NULL OR l_linenumber<first)) AS before FROM f GROUP BY 1) SELECT CASE WHEN before>2 THEN 'failed' WHEN good>0 THEN 'done' ELSE 'pending' END AS state, count(*) AS n, sum(coalesce(errors,0))::BIGINT AS errors FROM orders LEFT JOIN r ON task_id=o_orderkey::VARCHAR GROUP BY 1",
 }
