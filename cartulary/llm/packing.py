@@ -96,12 +96,18 @@ class Encoder:
 
     Merges never cross the words that the vocabulary's pattern cuts, so a word's ids are asked for once. The words of
     many texts are cut and numbered at once, and only different ones are looked up. ``known`` are the words
-    remembered; the ids of the i-th start at ``first[i]`` of ``flat``.
+    remembered; the ids of the i-th start at ``first[i]`` of ``flat``. Strings of added tokens part a text first, as the
+    library does it, and are their own ids.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that take blanks along, stand alone or are normalised are not supported")
+        self.added = {t.content: i for i, t in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.n_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]  # a character stands for a byte
@@ -183,11 +189,25 @@ class Encoder:
 
     def __call__(self, texts: list[str]):
         """Yields the ids of each text."""
+        parts, sizes = [], []
+        for text in texts:
+            own = self.marks.split(text) if self.marks is not None else [text]
+            parts += own
+            sizes.append(len(own))
+        made = self._parted(parts)
+        for n in sizes:
+            own = [next(made) for _ in range(n)]
+            yield own[0] if n == 1 else np.concatenate(own)
+
+    def _parted(self, texts: list[str]):
+        """Yields the ids of each of texts that are an added token or have none."""
         out: list[np.ndarray | None] = []
         cut: list[str] = []
         size = 0
         for text in texts:
-            if _OTHER.search(text):
+            if text in self.added:
+                out.append(np.array([self.added[text]], "<u4"))
+            elif _OTHER.search(text):
                 out.append(np.array(self.whole(text), "<u4"))
             elif len(text) > STRETCH:
                 out.append(self._stretched(text))

@@ -9,6 +9,7 @@ from datetime import date
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import public_tokenizers
 from cartulary.llm import (
@@ -46,7 +47,8 @@ def docs(spark):
 
 
 def _check_pieces(pieces, rows, window):
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")).whole
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = lambda t: fresh.encode(t, add_special_tokens=False).ids
     want = sorted(zlib.crc32(np.append(encode(t or ""), np.uint32(0)).astype("<u4").tobytes()) for _, t in rows)
     assert len(want) <= len(pieces)
     at = {}
@@ -67,7 +69,8 @@ def test_packing(spark, odd):
 
 
 def test_packing_pieces_hold_their_ids(spark, docs):
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")).whole
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = lambda t: fresh.encode(t, add_special_tokens=False).ids
     pieces = packing.op1_packing(spark, SF).collect()
     by = {}
     for p in pieces:
@@ -92,6 +95,17 @@ def test_words_are_encoded_as_whole_texts():
     assert [ids.tolist() for ids in e(texts)] == [e.whole(text) for text in texts]
 
 
+def test_ids_are_those_of_a_fresh_tokenizer():
+    """The contract's call on odd strings, with and without the added token's."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fresh, e, r = Tokenizer.from_file(path), packing.Encoder(path), random.Random(9)
+    few = ["<|endoftext|>", "<|endoftext|", "|>", "<|", "endoftext", " ", "a", "'s", "\n", "\xe9", "\u3000", "\x00", "1", "."]
+    texts = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "<|endoftext|>", " <|endoftext|> ", "", *("".join(r.choices(few, k=r.randrange(12))) for _ in range(20_000))]
+    assert [ids.tolist() for ids in e(texts)] == [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+    long = ("some words " * 60_000 + "<|endoftext|>") * 2
+    assert next(e([long])).tolist() == fresh.encode(long, add_special_tokens=False).ids
+
+
 def test_words_remembered_are_bounded(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 2000)
     e, r = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(7)
@@ -618,6 +632,17 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(df.limit(0), Scratch(spark, "test")).count() == 0
 
 
+def test_lines_go_by_alignment():
+    """A block out of order is not reached by the first alignment, and only goes if it led to the pair."""
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    p, q = [line("p", 20), line("o", 15)], [line("q", 40), line("r", 10), line("s", 3)]
+    a, b = [*p, "x", *q], [*q, "y", *p, "z"]
+    sides = [([hash(x) for x in d], [hash(x + "2") for x in d], [len(x.split()) for x in d]) for d in (a, b)]
+    assert sorted(line_dedup.aligned(*sides, [], 30)) == [0, 1, 2]
+    every = [h for h, _, _ in line_dedup.windows(*sides[1], 30)]
+    assert sorted(line_dedup.aligned(*sides, every, 30)) == [0, 1, 2, 4, 5]
+
+
 def _copied(docs, min_words):
     """Of each document the lines with words that are in a run of that many words which an earlier one has; by brute force."""
     out = []
