@@ -6,13 +6,13 @@ document that has it to the first that has it: a passage that a third of all doc
 of them, never pairs of them all.
 
 Each pair of an earlier and a later document is aligned by patience diff, anchored on lines that are unique in both;
-runs of aligned lines with at least ``min_words`` words are deleted from the later document. What an alignment cannot
-reach (a passage that one of the two repeats, or has in another place) goes by the windows themselves: the lines of
-every window that the earlier document has too are deleted, after their lines are compared.
+runs of aligned lines with at least ``min_words`` words are deleted from the later document. One alignment keeps one
+order, so it cannot reach a passage that stands elsewhere or twice. What led to the pair and is not deleted yet is aligned
+again on the rest: both documents from that place on, where their beginnings agree. Only aligned blocks are deleted.
 
 So a line goes if, and only if, it is in a run of lines of at least ``min_words`` words that some earlier document
-has: such a run's lines are all in windows that end within it, and each window has a first holder. (Lines without
-words at the ends of a run go only where they are aligned or in a window.)
+has: such a run's lines are all in windows that end within it, and each window has a first holder, against which it is
+aligned until it is gone. (Lines without words at the ends of a run go only where they are aligned with it.)
 
 The order of documents is that of (doc_id, row key); a row key is a 64-bit hash of doc_id and text, so repeated rows
 of one doc_id are one document and are treated alike.
@@ -130,12 +130,21 @@ def windows(h1: list[int], h2: list[int], words: list[int], min_words: int) -> l
     return [(hash((*h1[i:j], *h2[i:j])), i, j) for i, j in spans(words, min_words)]
 
 
-def shared(earlier: tuple, later: tuple, hashes: list[int], min_words: int) -> set[int]:
-    """Positions in the later document of the windows of these hashes that the earlier one has too."""
-    wanted = set(hashes)
+def aligned(earlier: tuple, later: tuple, hashes: list[int], min_words: int) -> set[int]:
+    """Positions in the later document that alignments with the earlier one delete, until no window of ``hashes`` that
+    both have is left."""
+    wanted, words = set(hashes), later[2]
     a, b = (list(zip(*x[:2], strict=True)) for x in (earlier, later))
-    there = {h: a[i:j] for h, i, j in windows(*earlier, min_words) if h in wanted}
-    return {k for h, i, j in windows(*later, min_words) if h in there and there[h] == b[i:j] for k in range(i, j)}
+    gone = set(blocks(patience(a, b), words, min_words))
+    there = {h: (i, j) for h, i, j in windows(*earlier, min_words) if h in wanted}
+    for h, start, end in windows(*later, min_words):
+        if h in there and not gone.issuperset(range(start, end)):
+            i, j = there[h]
+            if a[i:j] == b[start:end]:
+                reach = 2 * (end - start)  # what goes on beyond is in windows of its own
+                again = blocks(patience(a[i : i + reach], b[start : start + reach]), words[start:], min_words)
+                gone.update(start + k for k in again)
+    return gone
 
 
 def deletions(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
@@ -164,9 +173,7 @@ def deletions(lines: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) ->
         for batch in batches:
             gone = []
             for met, a1, a2, aw, b1, b2, bw in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                a, b = list(zip(a1, a2, strict=True)), list(zip(b1, b2, strict=True))
-                aligned = blocks(patience(a, b), bw, min_words)
-                gone.append(sorted(shared((a1, a2, aw), (b1, b2, bw), met, min_words).union(aligned)))
+                gone.append(sorted(aligned((a1, a2, aw), (b1, b2, bw), met, min_words)))
             yield with_columns(batch, ["key"], {"gone": gone}, {"gone": pa.list_(pa.int32())})
 
     found = both.mapInArrow(align, "key long, gone array<int>").where(F.size("gone") > 0)
