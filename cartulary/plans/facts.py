@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 from cartulary.functions import ids
 from cartulary.operators import graph as G
 from cartulary.operators import tables as T
+from cartulary.operators.stored import shared_dir
 from cartulary.plans import inputs as I
 from cartulary.streaming import bus as B
+from cartulary.streaming.graph_sink import EdgeStore
 
 DAY = datetime(1995, 6, 17)
 
@@ -284,12 +287,34 @@ def collect_results(spark, sf):
     return B.collected(expected, results, 2).groupBy("state").agg(F.count("*").alias("n"), F.sum("errors").alias("errors"))
 
 
+def graph_events(spark, sf):
+    """Ended stages from messages in three batches, one of them seen twice, taken into a store of edges."""
+    o = I.table(spark, sf, "orders")
+    tenant = F.concat(F.lit("t"), (F.col("o_orderkey") % 3).cast("string"))
+    job, analyzer = (F.col("o_orderkey") % 40).cast("string"), F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'requires' WHEN 1 THEN 'classify' ELSE 'relationship' END")
+    ended = o.select(
+        F.concat(F.lit("app.pipeline."), tenant, F.lit("."), job, F.expr("CASE WHEN o_orderkey % 11 = 0 THEN '.stage.started' ELSE '.stage.completed' END")).alias("subject"),
+        F.expr("CASE WHEN o_orderkey % 13 = 0 THEN 'no json' END").alias("broken"), F.to_json(F.struct(job.alias("job_id"), analyzer.alias("analyzer"))).alias("told"), (F.col("o_orderkey") % 4).alias("part"),
+    ).select("subject", F.coalesce("broken", "told").alias("data"), "part")
+    li = I.table(spark, sf, "lineitem")
+    results = li.select(
+        F.concat(F.lit("t"), (F.col("l_suppkey") % 3).cast("string")).alias("tenant_id"), (F.col("l_orderkey") % 40).cast("string").alias("job_id"),
+        F.expr("CASE WHEN l_linestatus = 'O' THEN 'requires' ELSE 'relationship' END").alias("analyzer"), F.col("l_suppkey").cast("string").alias("source_id"), F.col("l_partkey").cast("string").alias("target_id"),
+        F.expr("CASE WHEN l_linestatus = 'O' AND l_partkey % 2 = 0 THEN 'REQUIRES' ELSE 'PARTIAL' END").alias("relationship"), F.lit(0.5).alias("confidence"), F.lit(DAY).alias("analyzed_at"),
+    )
+    store = EdgeStore(spark, f"{shared_dir(spark)}/events-{uuid.uuid4().hex}")
+    for batch_id, parts in enumerate(([0, 1], [1, 2], [3])):
+        store.take(ended.where(F.col("part").isin(parts)), results, "stages", batch_id)
+    store.take(ended, results, "stages", 1)  # seen again: the log has it
+    return store.edges().groupBy("tenant_id", "label").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         graph_current, graph_asof, graph_by_property, graph_supersede, graph_traverse_out, graph_traverse_in, graph_traverse_both, graph_traverse_deep, graph_path_asof, graph_node, graph_edge, graph_query, graph_add_nodes, graph_add_edges, page_with_total, graph_reached, graph_reached_edges, graph_degree, mat_relationship_edges,
         mat_requires_edges, mat_merge, mat_mappings, catalog_parent_edges, catalog_counts, catalog_list_page, list_filters, upsert_embedding, delete_by_model, reset_stages,
-        job_stamp, tally_results, duplicate_ids, manifest, content_ids, stream_verify_hash, stream_subjects, retention_filter, fan_out, collect_results,
+        job_stamp, tally_results, duplicate_ids, manifest, content_ids, stream_verify_hash, stream_subjects, retention_filter, fan_out, collect_results, graph_events,
     )
 }
 
@@ -341,4 +366,8 @@ ORACLE = {
     "retention_filter": "SELECT stream, count(*) AS n FROM (SELECT ts, CASE event_id%3 WHEN 0 THEN 'llm' WHEN 1 THEN 'events' ELSE 'decisions' END AS stream FROM events) WHERE stream='decisions' OR (stream='llm' AND ts >= TIMESTAMP '2024-03-01' - INTERVAL 90 DAY) OR (stream='events' AND ts >= TIMESTAMP '2024-03-01' - INTERVAL 30 DAY) GROUP BY stream",
     "fan_out": f"SELECT model, sample::BIGINT AS sample, count(*) AS n FROM ({I.PAIRS_SQL}), (VALUES ('m1'),('m2')) m(model), (VALUES (1),(2),(3)) s(sample) GROUP BY ALL",
     "collect_results": "WITH f AS (SELECT *, min(CASE WHEN l_linenumber%2=0 THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS first FROM lineitem), r AS (SELECT (l_orderkey+1)::VARCHAR AS task_id, count_if(l_linenumber%2=1) AS errors, count_if(l_linenumber%2=0) AS good, count_if(l_linenumber%2=1 AND (first IS NULL OR l_linenumber<first)) AS before FROM f GROUP BY 1) SELECT CASE WHEN before>2 THEN 'failed' WHEN good>0 THEN 'done' ELSE 'pending' END AS state, count(*) AS n, sum(coalesce(errors,0))::BIGINT AS errors FROM orders LEFT JOIN r ON task_id=o_orderkey::VARCHAR GROUP BY 1",
+    "graph_events": """WITH m AS (SELECT DISTINCT 't'||(o_orderkey%3) AS tenant_id, (o_orderkey%40)::VARCHAR AS job_id, CASE o_orderkey%5 WHEN 0 THEN 'requires' WHEN 1 THEN 'classify' ELSE 'relationship' END AS analyzer FROM orders WHERE o_orderkey%11<>0 AND o_orderkey%13<>0),
+      r AS (SELECT 't'||(l_suppkey%3) AS tenant_id, (l_orderkey%40)::VARCHAR AS job_id, CASE WHEN l_linestatus='O' THEN 'requires' ELSE 'relationship' END AS analyzer, l_suppkey, l_partkey FROM lineitem),
+      e AS (SELECT DISTINCT tenant_id, job_id, CASE analyzer WHEN 'requires' THEN 'REQUIRES' ELSE 'SEMANTIC_MATCH' END AS label, l_suppkey, l_partkey FROM r SEMI JOIN m USING (tenant_id, job_id, analyzer) WHERE analyzer='relationship' OR l_partkey%2=0)
+      SELECT tenant_id, label, count(*) AS n, count(*) AS ids FROM e GROUP BY ALL""",
 }

@@ -88,13 +88,14 @@ def test_ended_stages_reach_the_graph(spark, tmp_path):
     kind = "tenant_id string, job_id string, analyzer string, source_id string, target_id string, relationship string, confidence double, analyzed_at timestamp"
     results = spark.createDataFrame([("acme", j, a, "s", t, "EQUIVALENT", 0.5, DAY) for j in ("j1", "j2") for a in ("relationship", "requires") for t in "xy"], kind)
     path = str(tmp_path / "edges")
-    spark.createDataFrame([], EDGE).write.parquet(path)
     source = str(tmp_path / "messages")
     messages.write.parquet(source)
     for turn in range(2):
         stream = spark.readStream.schema(messages.schema).parquet(source).writeStream.foreachBatch(graph_sink.sink(results, path))
         stream.option("checkpointLocation", str(tmp_path / f"c{turn}")).trigger(availableNow=True).start().awaitTermination(60)
-    got = spark.read.parquet(path).select("label", "source_id", "target_id", F.col("props")["job_id"].alias("job"))
+    store = graph_sink.EdgeStore(spark, path)
+    assert store.log().count() == 2  # another checkpoint is another query
+    got = store.edges().select("label", "source_id", "target_id", F.col("props")["job_id"].alias("job"))
     assert sorted(tuple(x) for x in got.collect()) == [("SEMANTIC_MATCH", "s", "x", "j1"), ("SEMANTIC_MATCH", "s", "y", "j1")]
 
 
