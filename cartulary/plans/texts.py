@@ -13,6 +13,7 @@ from cartulary.operators import similarity as S
 from cartulary.operators import structure as Q
 from cartulary.plans import inputs as I
 from cartulary.sources import catalogs as K
+from cartulary.sources import schemas as X
 
 
 def _dirty(spark, sf):
@@ -125,6 +126,24 @@ def hybrid_merge(spark, sf):
     return R.merged(words, meaning).groupBy("origin").agg(F.count("*").alias("n"))
 
 
+#: What a part's document must be like.
+PART_SCHEMA = {
+    "type": "object", "required": ["id", "title"], "additionalProperties": False,
+    "properties": {"id": {"$ref": "#/definitions/token"}, "title": {"type": "string", "maxLength": 11}, "size": {"type": "integer", "maximum": 40}, "kinds": {"type": "array", "items": {"enum": ["SMALL", "LARGE", "PROMO"]}}},
+    "definitions": {"token": {"type": "string", "pattern": "^\\p{L}[0-9]+$"}},
+}
+
+
+def catalog_faults(spark, sf):
+    """Every fault of a document made of each part, by place and rule."""
+    p = I.table(spark, sf, "part")
+    name = F.when(F.col("p_partkey") % 7 == 0, "9").otherwise(F.concat(F.lit("é"), "p_partkey")).alias("id")
+    title = F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")).alias("title")
+    content = F.to_json(F.struct(name, title, F.col("p_size").alias("size"), F.array("p_type", F.lit("SMALL")).alias("kinds"), F.when(F.col("p_partkey") % 11 == 0, 1).alias("extra")))
+    docs = p.select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 13 == 0, "{").otherwise(content).alias("content"))
+    return X.faults(docs, json.dumps(PART_SCHEMA)).select("path", "at", "rule")
+
+
 def catalog_flatten(spark, sf):
     """A nested catalog for each nation, flattened and decomposed."""
 
@@ -146,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_clean_tail, text_clean_line, text_prepare, text_normalize_name, fuzzy_match_pairs, keyword_filter, struct_fallback, struct_heading_repeat, struct_pattern, decompose_text,
-        chunk_text, structurer_cascade, control_search, search_ranked, search_page, hybrid_merge, catalog_flatten,
+        chunk_text, structurer_cascade, control_search, search_ranked, search_page, hybrid_merge, catalog_faults, catalog_flatten,
     )
 }
 
@@ -191,4 +210,8 @@ ORACLE = {
       s AS (SELECT b.vec_id AS doc_id FROM embeddings a, embeddings b WHERE a.vec_id=0 AND b.vec_id<>0 ORDER BY list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]) DESC, b.vec_id LIMIT 100)
       SELECT 'text' AS origin, count(*) AS n FROM w HAVING count(*)>0 UNION ALL SELECT 'semantic', count(*) FROM s WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id NOT IN (SELECT doc_id FROM w) HAVING count(*)>0""",
     "catalog_flatten": "SELECT n_nationkey::VARCHAR AS path, replace(id,'#','ac-'||n_nationkey) AS id, replace(text,'#',n_name) AS text, class, replace(parent_id,'#','ac-'||n_nationkey) AS parent_id, 'h' AS group_id FROM nation, (VALUES ('#','#','section',''),('#.a','do weekly','requirement','#'),('#.b','do [pb]','section','#'),('#.b.1','do [pb.1]','requirement','#.b'),('#.b.2','do [pb.2]','requirement','#.b')) v(id,text,class,parent_id)",
+    "catalog_faults": """WITH p AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS path, * FROM part), d AS (SELECT * FROM p WHERE k%13<>0)
+      SELECT path, '' AS at, 'json' AS rule FROM p WHERE k%13=0 UNION ALL SELECT path, '/id', 'pattern' FROM d WHERE k%7=0 UNION ALL SELECT path, '', 'required' FROM d WHERE k%5=0
+      UNION ALL SELECT path, '/title', 'maxLength' FROM d WHERE k%5<>0 AND length(p_name)>11 UNION ALL SELECT path, '/size', 'maximum' FROM d WHERE p_size>40
+      UNION ALL SELECT path, '/kinds/0', 'enum' FROM d WHERE p_type NOT IN ('SMALL','LARGE','PROMO') UNION ALL SELECT path, '/extra', 'additionalProperties' FROM d WHERE k%11=0""",
 }

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary.sources import schemas
+
 ITEM = "id string, title string, text string, class string, parent_id string, group_id string, props map<string,string>"
 ITEM_COLUMNS = ["id", "title", "text", "class", "parent_id", "group_id", "props"]
 VERSION = "1.1.3"
@@ -121,15 +123,20 @@ def parsed(content: str, decompose: bool = True) -> list[dict]:
     return out
 
 
-def flatten(documents: DataFrame, decompose: bool = True) -> DataFrame:
+def flatten(documents: DataFrame, decompose: bool = True, schema: str | None = None) -> DataFrame:
     """Rows (path, position, ITEM, error) of documents (path, content). One that is no catalog gives one row with the
-    error and no item, so a bad document does not end the import of the others."""
+    error and no item, so a bad document does not end the import of the others. With a JSON Schema (its text), one that
+    does not fit gives the first of its faults as the error."""
+    if schema is not None:
+        schemas.ready(schema)  # one that cannot be used is an error at once
 
     def run(batches):
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
+                    if schema is not None:
+                        schemas.ready(schema).require(json.loads(content))
                     rows += [{"path": path, "position": i, "error": None, **r} for i, r in enumerate(parsed(content, decompose))]
                 except ValueError as e:
                     rows.append({"path": path, "position": 0, "error": str(e)[:200]} | dict.fromkeys(ITEM_COLUMNS))
