@@ -13,7 +13,7 @@ from cartulary.operators import similarity as S
 from cartulary.operators import structure as Q
 from cartulary.plans import inputs as I
 from cartulary.sources import catalogs as K
-from cartulary.sources import schemas as X
+from cartulary.sources import schemas as J
 
 
 def _dirty(spark, sf):
@@ -141,7 +141,7 @@ def catalog_faults(spark, sf):
     title = F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")).alias("title")
     content = F.to_json(F.struct(name, title, F.col("p_size").alias("size"), F.array("p_type", F.lit("SMALL")).alias("kinds"), F.when(F.col("p_partkey") % 11 == 0, 1).alias("extra")))
     docs = p.select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 13 == 0, "{").otherwise(content).alias("content"))
-    return X.faults(docs, json.dumps(PART_SCHEMA)).select("path", "at", "rule")
+    return J.faults(docs, json.dumps(PART_SCHEMA)).select("path", "at", "rule")
 
 
 def catalog_flatten(spark, sf):
