@@ -10,6 +10,7 @@ import hashlib
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -61,23 +62,41 @@ def stub_embedder(size: int = 32) -> Embedder:
     return embed
 
 
-def complete(prompts: DataFrame, make: Callable[[], Completer], prompt: str = "prompt") -> DataFrame:
-    """Adds response and error; one prompt's failure is its own."""
-    names = [c for c in prompts.columns if c not in ("response", "error")]
-    kept = prompts.select(*names)
+def complete(prompts: DataFrame, make: Callable[[], Completer], prompt: str = "prompt", attempts: int = 4, in_flight: int = 1, most_requests: int | None = None) -> DataFrame:
+    """Adds response, error, attempts, seconds and prompt_hash (what an audit needs); one prompt's failure is its own.
+
+    A task has ``in_flight`` prompts under way at a time. ``most_requests`` bounds those of the whole job: the prompts
+    are dealt over so many tasks that no more can be. A model behind a gateway that retries by itself has one attempt.
+    """
+    added = {"response": "string", "error": "string", "attempts": "int", "seconds": "double", "prompt_hash": "string"}
+    kept = prompts.select(*[c for c in prompts.columns if c not in added])
+    if most_requests is not None:
+        kept = kept.repartition(max(1, most_requests // max(in_flight, 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
-        for batch in batches:
-            answers = []
-            for p in batch[prompt]:
-                try:
-                    answers.append((with_retries(client, p or ""), None))
-                except Exception as e:
-                    answers.append((None, type(e).__name__))
-            yield batch.assign(response=[a for a, _ in answers], error=[e for _, e in answers])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "response string, error string"])
+
+        def one(text: str | None) -> tuple:
+            began, tried = time.monotonic(), 0
+
+            def attempt(p: str) -> str:
+                nonlocal tried
+                tried += 1
+                return client(p)
+
+            text = text or ""
+            try:
+                answer = with_retries(attempt, text, attempts=max(attempts, 1)), None
+            except Exception as e:
+                answer = None, type(e).__name__
+            return *answer, tried, time.monotonic() - began, hashlib.sha256(text.encode()).hexdigest()
+
+        with ThreadPoolExecutor(max(in_flight, 1)) as pool:
+            for batch in batches:
+                answers = list(pool.map(one, batch[prompt]))
+                yield batch.assign(**{name: [a[i] for a in answers] for i, name in enumerate(added)})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{k} {v}" for k, v in added.items())])
     return kept.mapInPandas(run, schema)
 
 
