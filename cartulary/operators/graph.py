@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.functions.ids import artifact_id, edge_id
+from cartulary.functions.parsers import ARTIFACT_TYPES
 from cartulary.functions.text import normal_name
 from cartulary.operators.stored import stored
 
@@ -262,13 +263,14 @@ def requires_edges(decisions: DataFrame) -> DataFrame:
 
 def artifact_facts(agreed: DataFrame, moment: Column) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of agreed artifacts (tenant_id, control_id, name, type): a node for each, DEMANDS from its control
-    and IS_TYPE to the node of its type."""
+    and IS_TYPE to the node of its type. Each tenant has the nodes of all types, those that no artifact is of too."""
     a = agreed.withColumn("_id", artifact_id(F.col("control_id"), normal_name(F.col("name")), F.col("type")))
     blank = F.create_map().cast("map<string,string>")
     open_end = F.lit(None).cast("timestamp").alias("valid_to")
     fact = lambda i, label, props: ["tenant_id", i.alias("id"), label.alias("label"), moment.alias("valid_from"), open_end, props.alias("props")]
     own = a.select(*fact(F.col("_id"), F.lit("Artifact"), F.create_map(F.lit("name"), F.col("name"), F.lit("type"), F.col("type"))))
-    kinds = a.select("tenant_id", "type").distinct().select(*fact(F.concat(F.lit("type:"), "type"), F.lit("ArtifactType"), blank))
+    every = F.explode(F.array(*map(F.lit, ARTIFACT_TYPES))).alias("type")
+    kinds = a.select("tenant_id", "type").unionByName(a.select("tenant_id").distinct().select("tenant_id", every)).distinct().select(*fact(F.concat(F.lit("type:"), "type"), F.lit("ArtifactType"), blank))
     edge = lambda label, s, t: a.select(
         "tenant_id", edge_id(F.lit(label), s, t).alias("id"), F.lit(label).alias("label"), s.alias("source_id"), t.alias("target_id"), moment.alias("valid_from"), open_end, blank.alias("props")
     )

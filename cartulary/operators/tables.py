@@ -41,6 +41,18 @@ def filtered(df: DataFrame, filters: list[tuple[str, str, object]] = ()) -> Data
     return df
 
 
+def lookup(df: DataFrame, **key) -> DataFrame:
+    """The one row with these values, scoped as ``df`` is; LookupError without one. Only the key's row is looked for: the
+    filter goes to the reader."""
+    own = df
+    for column, value in key.items():
+        own = own.where(F.col(column) == F.lit(value))
+    own = own.limit(1)
+    if own.isEmpty():
+        raise LookupError(f"not found: {', '.join(f'{k}={v}' for k, v in key.items())}")
+    return own
+
+
 def page(df: DataFrame, order: list[Column | str], limit: int = 0, offset: int = 0) -> DataFrame:
     """One page: 50 rows unless asked, 1000 at most. A deep offset is a sort of what comes before it."""
     limit = 50 if limit <= 0 else min(limit, 1000)

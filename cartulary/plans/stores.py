@@ -140,7 +140,7 @@ ORACLE = {
     "upsert_keeps_created": "SELECT CASE o_orderstatus WHEN 'O' THEN 'N' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n, min(o_orderdate)::DATE AS first FROM orders GROUP BY 1",
     "write_once": "SELECT 'supplier' AS kind, count(*) AS n FROM supplier UNION ALL SELECT 'customer', count(*) FROM customer",
     "resumable_jobs": "SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus='P'",
-    "artifact_facts": f"WITH a AS (SELECT DISTINCT p_brand, lower(p_name) AS name, {_KIND} AS type FROM part) SELECT 'Artifact' AS label, count(*) AS n FROM a UNION ALL SELECT 'ArtifactType', count(DISTINCT type) FROM a UNION ALL SELECT 'DEMANDS', count(*) FROM a UNION ALL SELECT 'IS_TYPE', count(*) FROM a",
+    "artifact_facts": f"WITH a AS (SELECT DISTINCT p_brand, lower(p_name) AS name, {_KIND} AS type FROM part) SELECT 'Artifact' AS label, count(*) AS n FROM a UNION ALL SELECT 'ArtifactType', CASE WHEN count(*) > 0 THEN 9 ELSE 0 END FROM a UNION ALL SELECT 'DEMANDS', count(*) FROM a UNION ALL SELECT 'IS_TYPE', count(*) FROM a",
     "dag_outcome": "SELECT name, status, (SELECT count(*) FROM orders)::BIGINT AS n FROM (VALUES ('classify','completed'),('embedding','completed'),('relationship','failed'),('requires','skipped')) v(name,status)",
     "table_items": """WITH r AS (SELECT l_orderkey, l_linenumber, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_linenumber%4=0 THEN '' ELSE l_linestatus END) AS k FROM lineitem WHERE l_linenumber%5<>0)
       SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber%3=0 OR l_linenumber%4=0 THEN 'tbl-'||k ELSE l_linenumber::VARCHAR END AS id,

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.sources import schemas
@@ -158,6 +158,26 @@ def provenance(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.octet_length("content").alias("bytes"))
 
 
+#: Who makes catalogs here.
+EXTRACTOR = ("cartulary", "0.3")
+
+
+def exported(items: DataFrame, title: str, version: str, path: str, sources: DataFrame | None = None, extractor: tuple[str, str] = EXTRACTOR) -> dict:
+    """Writes the catalog of the items as one text file below ``path``; what its provenance is. The hash and the size of
+    the output are observed while it is written, and are those of the file. ``sources`` (path, content) are the files
+    that the items came from: their number, size and a hash over theirs."""
+    watched = Observation()
+    line = F.concat("catalog", F.lit("\n"))
+    seen = [F.max(F.sha2(line, 256)).alias("output_hash"), F.max(F.octet_length(line)).alias("output_size")]
+    assembled(items, title, version).select("catalog").coalesce(1).observe(watched, *seen).write.text(path)
+    record = {"format": "catalog json", "output_hash": watched.get["output_hash"], "output_size": watched.get["output_size"], "extractor_name": extractor[0], "extractor_version": extractor[1], "at": datetime.now(UTC).isoformat()}
+    if sources is not None:
+        each = provenance(sources)
+        total = each.agg(F.count("*").alias("source_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("source_size"), F.sha2(F.array_join(F.sort_array(F.collect_list("sha256")), "\n"), 256).alias("source_hash"))
+        record |= total.first().asDict()  # a hash for each file of one catalog
+    return record
+
+
 def assembled(items: DataFrame, title: str, version: str, stamp: bool = True) -> DataFrame:
     """One row (catalog): a catalog document of the items. Items of a group are gathered first; only the finished
     groups, which make up one document, meet in one task."""

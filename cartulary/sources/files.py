@@ -106,5 +106,10 @@ def results_loader(spark: SparkSession, root: str) -> Callable[[str], DataFrame]
 
 
 def landed(spark: SparkSession, path: str, most_bytes: int = 134_217_728) -> DataFrame:
-    """Uploaded files of at most ``most_bytes``; the size filter is pushed into the listing."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= most_bytes)
+    """Uploaded files (path, modificationTime, length, content, error). One of more than ``most_bytes`` has no content but
+    an error; its bytes are not read: the size filters are pushed into the listing."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= most_bytes).withColumn("error", F.lit(None).cast("string"))
+    large = files.where(F.col("length") > most_bytes).drop("content")
+    refused = large.withColumns({"content": F.lit(None).cast("binary"), "error": F.lit(f"upload exceeds maximum size of {most_bytes} bytes")})
+    return small.unionByName(refused)

@@ -24,13 +24,14 @@ def exists(spark: SparkSession, root: str, tenant: str) -> bool:
     return files.exists(path)
 
 
-def create(spark: SparkSession, root: str, tenant: str) -> None:
-    """An empty graph; one that exists is an error."""
+def create(spark: SparkSession, root: str, tenant: str) -> bool:
+    """An empty graph; whether it was made. One that exists stays as it is."""
     if exists(spark, root, tenant):
-        raise ValueError(f"the graph of {tenant} exists")
+        return False
     place = _folder(spark, root, tenant)[2]
     for name, schema in (("nodes", NODES), ("edges", EDGES)):
-        spark.createDataFrame([], schema).write.parquet(f"{place}/{name}")
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{place}/{name}")
+    return True
 
 
 def read(spark: SparkSession, root: str, tenant: str) -> tuple[DataFrame, DataFrame]:

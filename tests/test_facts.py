@@ -56,7 +56,7 @@ def test_graph_writes(spark):
 def test_artifact_facts(spark):
     a = spark.createDataFrame([("t", "c1", "The Plan.", "PLAN"), ("t", "c1", "Plan", "PLAN")], "tenant_id string, control_id string, name string, type string")
     nodes, edges = graph.artifact_facts(a, F.lit(D(2025, 1, 1)))
-    assert nodes.count() == 2 and edges.count() == 2
+    assert nodes.count() == 1 + 9 and edges.count() == 2
 
 
 def test_tables(spark):

@@ -138,8 +138,7 @@ def test_graphs_are_made_and_dropped(spark, tmp_path):
     new = spark.createDataFrame([("acme", "n1", "N", DAY, None, {})], FACT)
     graph.add_nodes(nodes, new).write.mode("append").parquet(f"{root}/acme/nodes")
     assert graphs.read(spark, root, "acme")[0].count() == 1
-    with pytest.raises(ValueError):
-        graphs.create(spark, root, "acme")
+    assert not graphs.create(spark, root, "acme")  # it stays as it is
     graphs.drop(spark, root, "acme")
     assert not graphs.exists(spark, root, "acme")
     for call in (graphs.drop, graphs.read):

@@ -1,10 +1,12 @@
 """JSON Schema: each rule, references, and catalogs with faults told by place."""
 
+import hashlib
 import json
 
 import pytest
 
-from cartulary.sources import catalogs, schemas
+from cartulary.operators import tables
+from cartulary.sources import catalogs, files, schemas
 from cartulary.sources.schemas import Schema, SchemaError
 
 #: Of the kind that catalogs are published with: names by reference, patterns with classes of letters, closed objects.
@@ -125,3 +127,30 @@ def test_import_tells_the_first_fault(spark):
     assert any(r.id == "1" for r in catalogs.flatten(docs).collect())  # without a schema it is a control
     with pytest.raises(SchemaError):
         catalogs.flatten(docs, schema="[]")
+
+
+def test_provenance_is_that_of_the_files(spark, tmp_path):
+    docs = spark.createDataFrame([("a", json.dumps(GOOD)), ("b", json.dumps(GOOD))], "path string, content string")
+    items = catalogs.flatten(docs.where("path = 'a'"))
+    record = catalogs.exported(items, "title", "1", str(tmp_path / "out"), docs)
+    data = b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part-*"))
+    assert record["output_hash"] == hashlib.sha256(data).hexdigest() and record["output_size"] == len(data) and json.loads(data)["catalog"]["metadata"]["title"] == "title"
+    assert (record["source_files"], record["source_size"]) == (2, 2 * len(json.dumps(GOOD).encode())) and (record["extractor_name"], record["extractor_version"]) == catalogs.EXTRACTOR
+    one = hashlib.sha256(json.dumps(GOOD).encode()).hexdigest()
+    assert record["source_hash"] == hashlib.sha256(f"{one}\n{one}".encode()).hexdigest()
+
+
+def test_large_files_are_told(spark, tmp_path):
+    (tmp_path / "small").write_bytes(b"abc")
+    (tmp_path / "large").write_bytes(b"x" * 50)
+    got = {r.path.rsplit("/", 1)[1]: (r.length, None if r.content is None else bytes(r.content), r.error) for r in files.landed(spark, str(tmp_path), 10).collect()}
+    assert got == {"small": (3, b"abc", None), "large": (50, None, "upload exceeds maximum size of 10 bytes")}
+
+
+def test_lookup(spark, tmp_path):
+    spark.createDataFrame([("t", "c1", 1), ("t", "c2", 2), ("u", "c1", 3)], "tenant_id string, catalog_id string, n int").write.parquet(str(tmp_path / "c"))
+    own = spark.read.parquet(str(tmp_path / "c")).where("tenant_id = 't'")
+    assert tables.lookup(own, catalog_id="c1").first().n == 1 and "PushedFilters: [IsNotNull(tenant_id)" in tables.lookup(own, catalog_id="c1")._jdf.queryExecution().toString()
+    for key in ({"catalog_id": "c3"}, {"catalog_id": "c1", "n": 3}, {"catalog_id": None}):
+        with pytest.raises(LookupError):
+            tables.lookup(own, **key)

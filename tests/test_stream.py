@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartulary.streaming import bus
+from cartulary.streaming.uploads import Uploads, uploads
 
 
 def _batches(stream, tmp_path):
@@ -102,3 +103,25 @@ def test_large_job_over_batches_is_as_the_batch_form(spark, tmp_path, rocks):
     assert ended.exceptAll(batch).count() == 0 and {r.state for r in batch.select("state").distinct().collect()} == {"done", "failed"}
     progress = bus.job_progress(events).first()
     assert (progress.expected, progress.finished, progress.done) == (n, n * 9 // 10, False)
+
+
+def test_uploads(spark, tmp_path, rocks):
+    kind = "upload_id string, seq long, kind string, metadata string, data binary"
+    meta = lambda u: (u, 0, "metadata", f"about {u}", None)
+    chunk = lambda u, seq, data: (u, seq, "chunk", None, data)
+    end = lambda u, seq: (u, seq, "end", None, None)
+    batches = [
+        [meta("a"), chunk("a", 1, b"one "), meta("b"), chunk("c", 0, b"no metadata"), meta("big"), chunk("big", 1, b"x" * 60), meta("late"), chunk("gap", 2, b"3"), end("gap", 3)],
+        [chunk("a", 2, b"two"), chunk("a", 1, b"one "), end("b", 1), ("twice", 1, "metadata", "m", None), chunk("big", 2, b"x" * 60), end("big", 3), chunk("c", 1, b"x")],
+        [end("a", 3), chunk("a", 4, b"after the end"), meta("gap"), chunk("gap", 1, b"12"), end("none", 0), chunk("big", 4, b"x"), meta("odd"), ("odd", 1, "other", None, None)],
+    ]
+    got = []
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got += _batches(uploads(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), most_bytes=100), tmp_path)
+    assert sorted((r.upload_id, r.status, r.reason, r.metadata, None if r.content is None else bytes(r.content)) for r in got) == [
+        ("a", "done", None, "about a", b"one two"), ("b", "done", None, "about b", b""), ("big", "rejected", "upload exceeds maximum size of 100 bytes", None, None),
+        ("c", "rejected", "first message must contain metadata", None, None), ("gap", "done", None, "about gap", b"123"), ("none", "rejected", "first message must contain metadata", None, None),
+        ("odd", "rejected", "unknown message other", None, None), ("twice", "rejected", "metadata must appear exactly once as the first message", None, None),
+    ]
+    assert Uploads().most_bytes == 134_217_728
