@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Traces of typesetting in extracted documents.
@@ -88,6 +88,25 @@ def names_match(a: Column, b: Column, threshold: float = 0.6) -> Column:
     return overlap(a, b) >= threshold
 
 
+def matching_pairs(names: DataFrame, key: str, name: str, by: list[str], threshold: float = 0.6) -> DataFrame:
+    """(key_a, key_b) of rows of one ``by`` whose names match, key_a < key_b: the same as comparing all, which is not done.
+
+    Equal names are compared once. Of two names the one with fewer tokens has enough of them in common, so if as many of
+    its tokens as may be missing, and one more, are looked up among the other's, one is found. A pair that several tokens
+    lead to is taken at the first.
+    """
+    own = names.groupBy(*by, F.col(name).alias("_name")).agg(F.collect_list(key).alias("_keys")).withColumn("_tokens", F.sort_array(tokens(F.col("_name"))))
+    size = F.size("_tokens")
+    short = own.withColumn("_first", F.slice("_tokens", 1, F.least(size, size - F.ceil(F.lit(threshold) * size) + 1).cast("int")))
+    side = lambda df, s, token, *more: df.select(*by, F.explode(token).alias("_token"), F.col("_name").alias(f"name_{s}"), F.col("_keys").alias(f"keys_{s}"), F.col("_tokens").alias(f"tokens_{s}"), *more)
+    met = side(short, "a", "_first", F.col("_first").alias("first_a")).join(side(own, "b", "_tokens"), [*by, "_token"])
+    n_a, n_b = F.size("tokens_a"), F.size("tokens_b")
+    once = (n_a < n_b) | ((n_a == n_b) & (F.col("name_a") <= F.col("name_b")))
+    met = met.where(once & (F.col("_token") == F.array_min(F.array_intersect("first_a", "tokens_b"))) & names_match(F.col("name_a"), F.col("name_b"), threshold))
+    pairs = met.select("keys_b", F.explode("keys_a").alias("a"), (F.col("name_a") == F.col("name_b")).alias("same")).select("a", "same", F.explode("keys_b").alias("b"))
+    return pairs.where((F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b"))
+
+
 def matched_words(text: Column, vocabulary: tuple[str, ...]) -> Column:
     """The words of the vocabulary that stand anywhere in the text, whatever the case."""
     low = F.lower(F.coalesce(text, F.lit("")))

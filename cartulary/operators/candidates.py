@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.text import FOUNDATION_WORDS, has_any, matched_words
-from cartulary.operators.similarity import top_of_each
+from cartulary.operators.similarity import most_similar_between, top_of_each
 
 COLUMNS = ("source_id", "target_id", "score", "weight", "generator", "metadata")
 LEVELS = {"strategic": 0, "tactical": 1, "operational": 2}
@@ -49,6 +49,24 @@ class Semantic:
         return _candidates(top, F.col("similarity") / 100, self.weight, self.name, shown)
 
 
+@dataclass
+class SemanticVectors:
+    """As ``Semantic``, from the vectors (control_id, vector) of sources and targets: no similarity is written but those
+    of the ``top_k`` of each source."""
+
+    vectors: DataFrame
+    top_k: int = 10
+    least: float = 0.0
+    weight: float = 1.0
+    name: str = "semantic"
+
+    def generate(self, sources: DataFrame, targets: DataFrame) -> DataFrame:
+        own = [self.vectors.join(df.select("control_id").distinct(), "control_id", "left_semi") for df in (sources, targets)]
+        top = most_similar_between(*own, self.top_k, self.least, "control_id")
+        shown = F.create_map(F.lit("similarity"), F.format_string("%.2f", "similarity"))
+        return _candidates(top, F.col("similarity") / 100, self.weight, self.name, shown)
+
+
 @dataclass
 class Keyword:
     """Every source with every target whose text has a foundational word.

@@ -126,6 +126,47 @@ def most_similar_of_each(vectors: DataFrame, k: int, ids: str = "id", vector: st
     return top_of_each(found, "source_id", "target_id", "similarity", k)
 
 
+def most_similar_between(sources: DataFrame, targets: DataFrame, k: int, least: float | None = None, ids: str = "id", vector: str = "vector") -> DataFrame:
+    """(source_id, target_id, similarity, rank) of the k targets most similar to each source, ties by id; none of another
+    id's own, and none below ``least``. Each two blocks of sources and targets meet in a task, and only their best leave it.
+    """
+    kind = sources.schema[ids].dataType.simpleString()
+    known = [df.where(F.col(ids).isNotNull()).select(F.col(ids).alias("id"), F.col(vector).cast("array<double>").alias("v")) for df in (sources, targets)]
+    n, m = (max(-(-df.count() // BLOCK), 1) for df in known)
+    own, every = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)), lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    dealt = known[0].select("id", "v", F.lit(True).alias("source"), own(n).alias("i"), every(m).alias("j"))
+    dealt = dealt.unionByName(known[1].select("id", "v", F.lit(False).alias("source"), every(n).alias("i"), own(m).alias("j")))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sides = [frame[frame["source"] == side].sort_values("id", kind="stable") for side in (True, False)]
+        names = [x["id"].to_numpy() for x in sides]
+        rows = [[np.zeros(0) if v is None else np.asarray(v, float) for v in x["v"]] for x in sides]
+        lengths = [np.array([len(v) for v in r]) for r in rows]
+        out = [(names[0][:0], names[1][:0], np.zeros(0))]
+        for a in range(0, len(rows[0]) if len(rows[1]) and k > 0 else 0, 512):
+            s = np.zeros((min(512, len(rows[0]) - a), len(rows[1])))
+            for size in np.unique(lengths[0][a : a + 512]):
+                at, to = np.flatnonzero(lengths[0][a : a + 512] == size), np.flatnonzero(lengths[1] == size)
+                if size and len(to):
+                    unit_rows = []
+                    for side, places, shift in ((0, at, a), (1, to, 0)):
+                        x = np.stack([rows[side][p + shift] for p in places])
+                        norm = np.linalg.norm(x, axis=1, keepdims=True)
+                        unit_rows.append(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0))
+                    s[np.ix_(at, to)] = unit_rows[0] @ unit_rows[1].T * 100
+            s[names[0][a : a + 512, None] == names[1][None]] = -np.inf
+            if least is not None:
+                s[s < least] = -np.inf
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            v = np.take_along_axis(s, best, 1)
+            r, c = np.nonzero(v > -np.inf)
+            out.append((names[0][a + r], names[1][best[r, c]], v[r, c]))
+        return pd.DataFrame(dict(zip(("source_id", "target_id", "similarity"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    found = dealt.groupBy("i", "j").applyInPandas(run, f"source_id {kind}, target_id {kind}, similarity double")
+    return top_of_each(found, "source_id", "target_id", "similarity", k)
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", ids: str = "id", vector: str = "vector") -> DataFrame:
     """The k rows nearest to a vector, with similarity = 1 - distance; ties by id."""
     if k <= 0:

@@ -193,7 +193,7 @@ def _artifact_votes(spark, sf):
         "CASE event_id % 4 WHEN 0 THEN 'policy' WHEN 1 THEN 'PROCEDURE' WHEN 2 THEN 'RECORD' ELSE 'unknown' END, '\\nFREQUENCY: NONE\\nRETENTION: ', event_id % 7, ' years\\n---\\nARTIFACTS: NONE')"
     )
     parsed = parsers.artifacts(text)
-    e = I.table(spark, sf, "events").select((F.col("user_id") % 40).cast("string").alias("control_id"), F.col("event_id").cast("string").alias("vote_key"), parsed.alias("p"))
+    e = I.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("control_id"), F.col("event_id").cast("string").alias("vote_key"), parsed.alias("p"))
     return e.select("control_id", "vote_key", F.col("p.parse_status").alias("parse_status"), F.col("p.artifacts").alias("artifacts"))
 
 
@@ -278,4 +278,9 @@ ORACLE = {
       CASE event_id%6 WHEN 0 THEN 'Operational' WHEN 1 THEN 'None' WHEN 2 THEN 'Tactical' WHEN 3 THEN 'Tactical' WHEN 4 THEN NULL ELSE 'None' END AS level FROM events""",
     "parse_artifacts": """SELECT event_id::VARCHAR AS vote_key, CASE WHEN event_id%4=3 THEN 'NONE' ELSE 'OK' END AS parse_status, CASE WHEN event_id%4=3 THEN 0 ELSE 1 END::BIGINT AS n,
       CASE event_id%4 WHEN 0 THEN 'POLICY' WHEN 1 THEN 'PROCEDURE' WHEN 2 THEN 'RECORD' END AS type, CASE WHEN event_id%4<>3 THEN (event_id%7)||' years' END AS retention FROM events""",
+    "artifact_consensus": """WITH v AS (SELECT user_id::VARCHAR AS control_id, event_id::VARCHAR AS vote_key, CASE event_id%3 WHEN 0 THEN 'The Access Policy' WHEN 1 THEN 'Access policy.' ELSE 'Audit log' END AS name,
+        CASE event_id%4 WHEN 0 THEN 'POLICY' WHEN 1 THEN 'PROCEDURE' WHEN 2 THEN 'RECORD' END AS type FROM events),
+      n AS (SELECT control_id, count(*) AS total FROM v GROUP BY 1),
+      g AS (SELECT control_id, name='Audit log' AS audit, arg_min(name, vote_key) AS name, count(*) AS n_voters, count_if(type='POLICY') AS p, count_if(type='PROCEDURE') AS q, count_if(type='RECORD') AS r FROM v WHERE type IS NOT NULL GROUP BY control_id, audit)
+      SELECT control_id, name, CASE WHEN p>=q AND p>=r THEN 'POLICY' WHEN q>=r THEN 'PROCEDURE' ELSE 'RECORD' END AS type, floor(n_voters::DOUBLE/total*1000+0.5)/1000 AS confidence, n_voters=total AS unanimous, n_voters::INTEGER AS n_voters FROM g JOIN n USING (control_id)""",
 }

@@ -21,8 +21,7 @@ DAY = datetime(1995, 6, 17)
 def cand_semantic(spark, sf):
     """The three nearest targets of each source, by similarities of 20 or more."""
     e = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("control_id"), F.col("embedding").alias("vector"))
-    similar = S.all_pairs(e, "control_id")
-    found = C.Semantic(similar, 3, 20.0).generate(e, e)
+    found = C.SemanticVectors(e, 3, 20.0).generate(e, e)
     return found.select("source_id", "target_id", F.round("score", 4).alias("score"), "generator")
 
 

@@ -43,10 +43,9 @@ def text_normalize_name(spark, sf):
 
 
 def fuzzy_match_pairs(spark, sf):
-    p = I.table(spark, sf, "part").select("p_brand", F.lower("p_name").alias("name"), "p_partkey")
-    a, b = p.alias("a"), p.alias("b")
-    j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).where(X.names_match(F.col("a.name"), F.col("b.name"), 0.5))
-    return j.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    """Parts of one brand whose names have half of their words in common."""
+    p = I.table(spark, sf, "part").select("p_brand", F.lower("p_name").alias("name"), F.col("p_partkey").alias("k"))
+    return X.matching_pairs(p, "k", "name", ["p_brand"], 0.5).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
 
 
 def keyword_filter(spark, sf):
