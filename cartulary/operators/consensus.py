@@ -20,8 +20,8 @@ def plurality(votes: DataFrame) -> DataFrame:
 
     Votes that failed to parse count for nothing but are listed. The most frequent relationship wins, ties by priority;
     confidence is its share of valid votes. If the winner is CONTRIBUTES_TO its voters also settle the contribution:
-    INTEGRAL_TO unless EXAMPLE_OF has more. Counts are summed by pair and relationship first, so a pair with very many
-    votes is reduced before the shuffle.
+    INTEGRAL_TO unless EXAMPLE_OF has more. Counts are summed by pair and relationship first; the names of all votes go
+    along, since they are a part of the result.
     """
     valid = F.col("relationship").isNotNull() & ~F.col("parse_status").isin("PARSE_FAIL", "PARSE_ERROR")
     shown = F.when(valid, F.col("relationship")).otherwise(F.coalesce(F.col("parse_status"), F.lit("PARSE_FAIL")))

@@ -147,7 +147,7 @@ def graph_degree(spark, sf):
 
 def _consensus(spark, sf):
     p = I.pairs(spark, sf).where("relationship <> 'NO_RELATIONSHIP'").dropDuplicates(["source_id", "target_id", "relationship"])
-    return p.select(F.lit("acme").alias("tenant_id"), F.lit("j1").alias("job_id"), "source_id", "target_id", "relationship", F.lit(0.5).alias("confidence"))
+    return p.select(F.lit("acme").alias("tenant_id"), F.lit("j1").alias("job_id"), "source_id", "target_id", "relationship", (F.col("target_id").cast("int") % 10 / 10).alias("confidence"))
 
 
 def mat_relationship_edges(spark, sf):
@@ -348,7 +348,7 @@ ORACLE = {
     "mat_relationship_edges": f"WITH {_CONS}, d AS (SELECT relationship, count(*) AS n, count(DISTINCT (source_id, target_id)) AS ids FROM c GROUP BY relationship) SELECT * FROM d",
     "mat_requires_edges": f"SELECT pair_id AS source_id, vote_key AS target_id, 'REQUIRES' AS label, TIMESTAMP '1995-06-17' AS valid_from FROM ({I.VOTES_SQL}) WHERE decision",
     "mat_merge": f"WITH {_CONS} SELECT count(DISTINCT (source_id, target_id)) AS n FROM c",
-    "mat_mappings": f"WITH {_CONS} SELECT source_id, target_id, 0.5::DOUBLE AS confidence FROM c WHERE source_id='1'",
+    "mat_mappings": f"WITH {_CONS} SELECT source_id, target_id, (target_id::INTEGER%10)/10::DOUBLE AS confidence FROM c WHERE source_id='1' AND target_id::INTEGER%10>=4",
     "catalog_parent_edges": "SELECT 'n'||c_nationkey AS source_id, 'c'||c_custkey AS target_id, 'PARENT_OF' AS label FROM customer WHERE c_custkey % 3 <> 0",
     "catalog_counts": "SELECT n_nationkey AS catalog_id, n_name AS title, (SELECT count(*) FROM customer WHERE c_nationkey=n_nationkey) AS control_count FROM nation",
     "catalog_list_page": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40",

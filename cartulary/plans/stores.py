@@ -27,12 +27,13 @@ def cand_semantic(spark, sf):
 
 def cand_registry(spark, sf):
     """Two generators by name, united: every pair by level or by word once."""
-    d = I.table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("control_id"), F.concat(F.lit("policy "), "p_name").alias("text"), F.lit("Strategic").alias("level"))
-    s = I.table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("control_id"), "s_name", F.expr("CASE WHEN s_nationkey % 2 = 0 THEN 'Tactical' ELSE '' END").alias("level"))
+    word, level = F.expr("CASE WHEN p_size % 3 = 0 THEN 'policy ' ELSE '' END"), F.expr("CASE p_size % 4 WHEN 0 THEN 'Strategic' WHEN 1 THEN 'Tactical' ELSE 'unknown' END")
+    d = I.table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("control_id"), F.concat(word, F.col("p_name")).alias("text"), level.alias("level"))
+    s = I.table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("control_id"), "s_name", F.expr("CASE s_nationkey % 3 WHEN 0 THEN 'Tactical' WHEN 1 THEN 'Operational' ELSE '' END").alias("level"))
     r = C.Registry()
     r.register(C.Level())
     r.register(C.Keyword())
-    return r.generate(s, d, "union").groupBy("source_id").agg(F.count("*").alias("n"), F.max("generator").alias("generator"))
+    return r.generate(s, d, "union").groupBy("source_id", "generator").agg(F.count("*").alias("n"))
 
 
 def scoped_rows(spark, sf):
@@ -131,7 +132,8 @@ _KIND = "CASE p_size % 3 WHEN 0 THEN 'POLICY' WHEN 1 THEN 'RECORD' ELSE 'PROCEDU
 ORACLE = {
     "cand_semantic": """WITH p AS (SELECT a.vec_id AS source_id, b.vec_id AS target_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id<>b.vec_id)
       SELECT source_id, target_id, round(s,4) AS score, 'semantic' AS generator FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY s DESC, target_id) AS rn FROM p WHERE s>=0.2) WHERE rn<=3""",
-    "cand_registry": "SELECT 's'||s_suppkey AS source_id, (SELECT count(*) FROM part) AS n, 'keyword' AS generator FROM supplier WHERE (SELECT count(*) FROM part)>0",
+    "cand_registry": """WITH s AS (SELECT 's'||s_suppkey AS source_id, CASE s_nationkey%3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS at FROM supplier), p AS (SELECT p_size%3=0 AS word, CASE p_size%4 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS at FROM part)
+      SELECT source_id, CASE WHEN word THEN 'keyword' ELSE 'level' END AS generator, count(*) AS n FROM s, p WHERE word OR p.at < s.at GROUP BY ALL""",
     "scoped_rows": "SELECT doc_id FROM documents WHERE lang='en' AND (source='src1' OR source='src0' OR source IS NULL)",
     "validated_inputs": f"SELECT relationship, count(*) AS n FROM ({I.PAIRS_SQL}) GROUP BY relationship",
     "broken_links": "SELECT 'test' AS step, p_partkey::VARCHAR AS uri, p_size::VARCHAR AS made, (p_size+1)::VARCHAR AS used FROM part WHERE p_partkey%10=0",
