@@ -16,6 +16,15 @@ from cartulary.llm.shared import Scratch, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Bytes of text that are handed to Python at once; a longer text goes alone. Buffers outside of the heap follow it.
+BATCH_BYTES = 4 << 20
+
+
+def _bounded(spark: SparkSession) -> None:
+    """For the session, since what a stage returns runs later."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _as_documents(df: DataFrame) -> DataFrame:
     """The columns of documents, with n_chars of the text as it is now."""
     return df.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*COLUMNS)
@@ -23,12 +32,14 @@ def _as_documents(df: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the attention classifier predicts to be of label 1."""
+    _bounded(spark)
     model = passage_quality.trained(docs, table(spark, sf_dir, "labels"))
     return passage_quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes blocks of lines that an earlier document has; a document that loses all its words goes."""
+    _bounded(spark)
     cut = line_dedup.dedup(docs, Scratch(spark, "pipeline-lines"))
     left = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return _as_documents(cut.where((F.col("n_deleted") == 0) | left))
@@ -37,17 +48,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each component of near duplicates (five words, 0.8 or more), and
     one of rows that repeat. What has no doc_id stays only in a component where nothing has one, and then one of it."""
+    _bounded(spark)
     return shingle_join.distinct_documents(docs, Scratch(spark, "pipeline-near"), width=5, percent=80).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; all documents stay."""
+    _bounded(spark)
     found = secret_scans.scan(docs)
     return _as_documents(found.withColumn("text", secret_scans.redact(F.col("text"), F.col("spans"))))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into windows of 1024 tokens; a row for each piece."""
+    _bounded(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), Scratch(spark, "pipeline-pack"))
 
 
@@ -59,7 +73,8 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: The classifier and the packing plan are not SQL; the stages are tested one by one against brute force.
+#: The classifier and the packing plan are not SQL. Tests hold each stage against its operator, and the operators against
+#: brute force (the classifier against labels that were held out).
 ORACLE_SQL = None
 
 
