@@ -5,8 +5,8 @@ has a posting (trigram, row key) for each query trigram that a text holds; ``can
 each rule by row key; only candidate rows are joined to their texts and verified with the pattern. A rule that has no
 mandatory trigram scans every text. The index is folded to lower case, so it only ever offers too many rows.
 
-Row keys are 64-bit hashes of doc_id and text: a row always meets its own postings, and a hash shared by two rows
-costs one needless verification.
+Row keys are 64-bit hashes of doc_id and text: equal rows share one and are verified once. Two different rows of one hash
+would share the spans of one of them; of 10^9 rows 0.03 such pairs are expected.
 """
 
 from __future__ import annotations

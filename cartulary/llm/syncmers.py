@@ -161,7 +161,12 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def compared(docs: DataFrame, parts: int) -> DataFrame:
-    """Fingerprints each text and its edited form, and compares them with it and with the next document."""
+    """Fingerprints each text and its edited form, and compares them with it and with the next document.
+
+    Only doc_id (an integer) and text are read; other columns are not carried, whatever their names. A null text is
+    empty. Rows of one doc_id follow each other in the order of their texts; null doc_ids come first. An empty table
+    gives no rows. All rows of one doc_id, or without any, lie in one range.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
