@@ -25,7 +25,7 @@ from cartulary.operators.prefix import running
 #: mix has; how often a document may be repeated.
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
 #: About so many documents are put in order at once.
-CELL = 10_000
+CELL = 2_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
