@@ -140,7 +140,7 @@ def catalog_faults(spark, sf):
     title = F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")).alias("title")
     content = F.to_json(F.struct(name, title, F.col("p_size").alias("size"), F.array("p_type", F.lit("SMALL")).alias("kinds"), F.when(F.col("p_partkey") % 11 == 0, 1).alias("extra")))
     docs = p.select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 13 == 0, "{").otherwise(content).alias("content"))
-    return J.faults(docs, json.dumps(PART_SCHEMA)).select("path", "at", "rule")
+    return J.faults(docs, json.dumps(PART_SCHEMA)).select("path", F.col("at").alias("place"), "rule")
 
 
 def catalog_flatten(spark, sf):
@@ -210,7 +210,7 @@ ORACLE = {
       SELECT 'text' AS origin, count(*) AS n FROM w HAVING count(*)>0 UNION ALL SELECT 'semantic', count(*) FROM s WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id NOT IN (SELECT doc_id FROM w) HAVING count(*)>0""",
     "catalog_flatten": "SELECT n_nationkey::VARCHAR AS path, replace(id,'#','ac-'||n_nationkey) AS id, replace(text,'#',n_name) AS text, class, replace(parent_id,'#','ac-'||n_nationkey) AS parent_id, 'h' AS group_id FROM nation, (VALUES ('#','#','section',''),('#.a','do weekly','requirement','#'),('#.b','do [pb]','section','#'),('#.b.1','do [pb.1]','requirement','#.b'),('#.b.2','do [pb.2]','requirement','#.b')) v(id,text,class,parent_id)",
     "catalog_faults": """WITH p AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS path, * FROM part), d AS (SELECT * FROM p WHERE k%13<>0)
-      SELECT path, '' AS at, 'json' AS rule FROM p WHERE k%13=0 UNION ALL SELECT path, '/id', 'pattern' FROM d WHERE k%7=0 UNION ALL SELECT path, '', 'required' FROM d WHERE k%5=0
+      SELECT path, '' AS place, 'json' AS rule FROM p WHERE k%13=0 UNION ALL SELECT path, '/id', 'pattern' FROM d WHERE k%7=0 UNION ALL SELECT path, '', 'required' FROM d WHERE k%5=0
       UNION ALL SELECT path, '/title', 'maxLength' FROM d WHERE k%5<>0 AND length(p_name)>11 UNION ALL SELECT path, '/size', 'maximum' FROM d WHERE p_size>40
       UNION ALL SELECT path, '/kinds/0', 'enum' FROM d WHERE p_type NOT IN ('SMALL','LARGE','PROMO') UNION ALL SELECT path, '/extra', 'additionalProperties' FROM d WHERE k%11=0""",
 }
