@@ -23,6 +23,8 @@ from cartulary.llm.byte_grams import buckets, buffer, slices
 from cartulary.llm.shared import crc_mod, table, with_columns
 
 MOST_ROWS = 4000
+#: So many passages of a document at most, for the same.
+MOST_PASSAGES = 256
 PASSAGE = 1024
 BUCKETS = 2048
 PROJECTED = 48
@@ -159,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Att
     """Fits on documents (doc_id, text) and labels (doc_id, quality), both without the rows held out.
 
     A document with several labels takes their mean. Without both labels there is nothing to learn: the result is the
-    only label's value, or 0.5 without any. The driver gets the passages' encodings of at most ``most_rows`` documents.
+    only label's value, or 0.5 without any. The driver gets the encodings of at most ``MOST_PASSAGES`` passages of at most
+    ``most_rows`` documents: ``WIDTH`` numbers each.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("_label"))
     chosen = marked.withColumn("_place", F.xxhash64("doc_id", F.lit("quality"))).orderBy("_place", "doc_id").limit(most_rows)
@@ -170,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Att
             raw, starts = buffer(batch.column("text"))
             e, text = encode(raw, starts)
             ends = np.searchsorted(text, np.arange(len(starts)))
-            out = [e[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out = [spread(e[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield with_columns(batch, ["_place", "_label"], {"passages": out}, {"passages": pa.binary()})
 
     found = rows.mapInArrow(run, "_place long, _label double, passages binary").orderBy("_place", F.xxhash64("passages")).limit(most_rows).collect()
@@ -182,7 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Att
 
 
 def score(docs: DataFrame, model: Attention | float, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds score and predicted; a null text is scored as an empty one. Columns so named are replaced, others stay."""
+    """Adds score and predicted; a null text is scored as an empty one. Columns so named are replaced, others stay.
+
+    Each row is scored by its text alone, all of it whatever its length: equal texts have equal scores, repeated rows
+    stay as they are, and a score that equals the threshold is predicted as 1. An empty table gives no rows.
+    """
     kept = docs.drop("score", "predicted")
     names = kept.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
@@ -199,6 +206,13 @@ def score(docs: DataFrame, model: Attention | float, threshold: float = THRESHOL
     return kept.mapInArrow(run, schema)
 
 
+def spread(encoded: np.ndarray, most: int | None = None) -> np.ndarray:
+    """A document's passages, or where there are more than ``most`` so many of them at even distances, the first and the
+    last among them: what a model is fitted on. What it scores is always the whole text."""
+    most = most or MOST_PASSAGES
+    return encoded if len(encoded) <= most else encoded[np.linspace(0, len(encoded) - 1, most).astype(np.int64)]
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Attention | float:
     """Fits on the rows that are not held out."""
     return train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))

@@ -679,3 +679,19 @@ def test_line_dedup_of_repeated_and_reordered_passages(spark):
     want = _copied(docs, line_dedup.MIN_WORDS)
     assert [{k for k in got[i] if d[k].strip()} for i, d in enumerate(docs)] == want
     assert got[1] == {1, 2, 3} and got[2] == {1, 2, 3} and got[4] == {0, 1, 3, 4, 5}
+
+
+def test_passages_for_fitting_are_bounded():
+    e = np.arange(5000, dtype=np.float32).reshape(1000, 5)
+    few = passage_quality.spread(e)
+    assert len(few) == passage_quality.MOST_PASSAGES and few[0, 0] == 0 and few[-1, 0] == 4995 and (np.diff(few[:, 0]) > 0).all()
+    assert passage_quality.spread(e[:256]) is not None and len(passage_quality.spread(e[:7])) == 7 and len(passage_quality.spread(e, 1)) == 1
+
+
+def test_hot_signatures_are_a_share(spark):
+    """Where one text in ten is a variant of another, what they share is hot, at any size of the table."""
+    for n in (200, 2000):
+        own = lambda i: [f"w{i}x{k}" for k in range(40)]
+        rows = [(i, " ".join([*own(0)[:20], f"v{i}", *own(0)[20:]] if i % 10 == 0 else own(i))) for i in range(n)]
+        _, hot = shingle_join.measured(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, n, Scratch(spark, "test"))
+        assert 0 < len(hot) < 100
