@@ -12,9 +12,10 @@ pigeonhole principle linked sets agree on segments. Each band is allotted one of
 * ``deletion``: H // 2 + 1 segments, so one at least differs in at most one shingle. A set signs every segment, and
   every segment without one of its shingles; a whole segment meets whole ones and shortened ones.
 
-The allotment compares costs that do not depend on the table's size: rows signed a set, and what share of them are
-signatures that many sets have, both measured on a sample of at most about ``SAMPLE`` sets. The same sample names the
-hot signatures, which are spread over salts when signatures are brought together.
+The allotment compares costs: rows signed a set, and which of them are signatures that a share of all sets have, both
+measured on a sample of about ``SAMPLE`` sets (all sets of a smaller table, whose shares are rougher). Larger sets sign
+exactly, since a deletion for each shingle is always more. The sample also names the hot signatures, which are spread
+over salts when signatures are brought together.
 
 Copies collapse first: sets are vertices by 64-bit identity. The sets that share a signature are strung in an order that
 differs from round to round, in blocks of bounded size, and each set is compared with the nearest of its neighbours. What
@@ -116,11 +117,12 @@ class Band:
 
 
 MOST_BANDS = 200
-#: Allotment and hot signatures are measured on about so many sets; a signature is hot if so many of them have it.
-SAMPLE, HOT = 10_000, 10
-#: What a hot row costs, in rows that meet few others; and how many rows deletion may sign for one of the exact scheme
-#: (so it is a choice for short texts only).
-HOT_COST, MOST_RATIO = 16, 4
+#: Allotment and hot signatures are measured on about so many sets, or on all where there are fewer; a signature is hot if
+#: more than this share of them have it (and two at least).
+SAMPLE, HOT_SHARE = 10_000, 0.001
+#: What a hot row costs, in rows that meet few others; and the largest sets that may sign deletions: a set signs one for
+#: each of its shingles.
+HOT_COST, SHORT = 16, 64
 SALTS = 1024
 
 
@@ -133,7 +135,7 @@ def band(index: int, low: int, high: int, percent: int, deletion: bool) -> Band:
 def allotted(exact: tuple[int, int], deletion: tuple[int, int]) -> bool:
     """Whether deletion is the cheaper scheme, by (rows, hot rows) of the same sampled sets under either.
 
-    Only shares and ratios count, so the choice, and with it the rows a set signs, is the same for any table size.
+    Only shares and ratios count: a larger table of the same kind of texts is allotted alike.
     """
     cost = lambda rows, hot: rows + HOT_COST * hot
     return 0 < deletion[0] and cost(*deletion) < cost(*exact)
@@ -230,7 +232,8 @@ def described(docs: DataFrame, width: int, percent: int, bands: list[Band]) -> D
 def measured(docs: DataFrame, width: int, percent: int, n_docs: int, scratch: Scratch) -> tuple[list[Band], np.ndarray]:
     """The allotted bands and the sorted hot signatures, from a sample of the texts by hash.
 
-    The driver gets a row a band and scheme, and at most one hot signature for ``HOT`` sampled rows.
+    The driver gets a row a band and scheme, and the hot signatures: of the at most ``SAMPLE`` sets each signs a bounded
+    number, and at least two share a hot one.
     """
     share = min(1.0, SAMPLE / max(n_docs, 1))
     sample = docs.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_003)) < share * 1_000_003).select("text")
@@ -244,7 +247,7 @@ def measured(docs: DataFrame, width: int, percent: int, n_docs: int, scratch: Sc
                 for own, choice, home in zip(_own_bands(len(x), percent, exact), _own_bands(len(x), percent, other), (True, False), strict=True):
                     if not len(x) or own is None:
                         continue
-                    for b in (own, choice) if choice.high + choice.segments <= MOST_RATIO * own.segments else (own,):
+                    for b in (own, choice) if choice.high <= SHORT else (own,):
                         for signs in signatures(x, b, home):
                             rows = np.empty((len(signs), 4), np.int64)
                             rows[:] = b.index, b.deletion, 0, identity(x)
@@ -253,13 +256,15 @@ def measured(docs: DataFrame, width: int, percent: int, n_docs: int, scratch: Sc
             rows = np.concatenate(out)
             yield with_columns(batch, [], dict(zip(("band", "deletion", "sign", "uid"), rows.T.copy(), strict=True)))
 
-    rows = sample.mapInArrow(run, "band long, deletion long, sign long, uid long").distinct()
+    rows = scratch.write(sample.mapInArrow(run, "band long, deletion long, sign long, uid long").distinct())
+    least = max(2, 1 + int(HOT_SHARE * rows.select("uid").distinct().count()))
     met = scratch.write(rows.groupBy("band", "deletion", "sign").count())
-    hot = F.when(F.col("count") >= HOT, F.col("count")).otherwise(0)
+    scratch.drop(rows)
+    hot = F.when(F.col("count") >= least, F.col("count")).otherwise(0)
     seen = {(r["band"], r["deletion"]): (r["n"], r["hot"]) for r in met.groupBy("band", "deletion").agg(F.sum("count").alias("n"), F.sum(hot).alias("hot")).collect()}
     bands = bands_of(percent, frozenset(b for b, scheme in seen if scheme and allotted(seen[b, 0], seen[b, 1])))
     chosen = [b.index for b in bands if b.deletion]
-    wanted = (F.col("count") >= HOT) & ((F.col("deletion") == 1) == F.col("band").isin(chosen) if chosen else F.col("deletion") == 0)
+    wanted = (F.col("count") >= least) & ((F.col("deletion") == 1) == F.col("band").isin(chosen) if chosen else F.col("deletion") == 0)
     signs = np.array(sorted(r["sign"] for r in met.where(wanted).select("sign").distinct().collect()), np.int64)
     scratch.drop(met)
     return bands, signs
