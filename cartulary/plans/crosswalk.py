@@ -115,8 +115,8 @@ def cand_level(spark, sf):
 def cand_keyword(spark, sf):
     s, d = _controls(spark, sf)
     # Part names stand for sources here, supplier texts for targets with a foundational word.
-    out = C.Keyword().generate(d, s)
-    return out.groupBy("target_id").agg(F.count("*").alias("n"), F.min(F.col("metadata")["keywords"]).alias("keywords"))
+    out = C.Keyword().classes(d, s).counted("target", F.col("metadata")["keywords"].alias("keywords"))
+    return out.groupBy("target_id").agg(F.sum("n").alias("n"), F.min("keywords").alias("keywords"))
 
 
 def _generated(spark, sf):
