@@ -109,7 +109,7 @@ def _controls(spark, sf):
 
 def cand_level(spark, sf):
     s, d = _controls(spark, sf)
-    return C.Level().generate(s, d).groupBy("source_id").agg(F.count("*").alias("n"))
+    return C.Level().classes(s, d).counted("source").groupBy("source_id").agg(F.sum("n").alias("n"))
 
 
 def cand_keyword(spark, sf):

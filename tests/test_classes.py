@@ -41,3 +41,10 @@ def test_keyword_classes(spark):
     # 20 billion pairs.
     big = C.Keyword().classes(*_many(spark, 200_000)).counted("target")
     assert tuple(big.agg(F.count("*"), F.min("n"), F.max("n")).first()) == (100_000, 200_000, 200_000)
+
+
+def test_level_classes(spark):
+    s, t = _controls(spark, 3), _controls(spark, 4)
+    _same(C.Level().generate(s, t), C.Level().classes(s, t))
+    big = C.Level().classes(*_many(spark, 200_000)).counted("source")
+    assert {tuple(r) for r in big.groupBy("n").count().collect()} == {(50_000, 50_000), (100_000, 50_000)}
