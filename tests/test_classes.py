@@ -48,3 +48,17 @@ def test_level_classes(spark):
     _same(C.Level().generate(s, t), C.Level().classes(s, t))
     big = C.Level().classes(*_many(spark, 200_000)).counted("source")
     assert {tuple(r) for r in big.groupBy("n").count().collect()} == {(50_000, 50_000), (100_000, 50_000)}
+
+
+@pytest.mark.parametrize(("strategy", "least"), [("union", 0.0), ("weighted_union", 0.4)])
+def test_registry_classes(spark, strategy, least):
+    r = C.Registry()
+    r.register(C.Level(weight=0.5))
+    r.register(C.Keyword())
+    s, t = _controls(spark, 5), _controls(spark, 6).dropDuplicates(["control_id"])
+    _same(r.generate(s, t, strategy, least=least), r.classes(s, t, strategy, least=least))
+    big = r.classes(*_many(spark, 100_000), strategy).counted("source", "generator")
+    assert big.agg(F.sum("n")).first()[0] == {"union": 50_000 * 100_000 + 25_000 * 25_000, "weighted_union": 50_000 * 100_000 + 25_000 * 25_000}[strategy]
+    r.register(C.Semantic(s))
+    with pytest.raises(ValueError):
+        r.classes(s, t, strategy)
