@@ -84,3 +84,13 @@ def test_questions_only_read_the_tenant(spark, tmp_path):
             ask(q)
     assert not (tmp_path / "out").exists() and spark.catalog.tableExists("hidden")
     spark.catalog.dropTempView("hidden")
+
+
+def test_steps_are_written_once(spark, monkeypatch):
+    """Only the steps and the nodes found are written, not what each round steps over."""
+    written = []
+    keep = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: written.append(out := keep(df)) or out)
+    rows = [("t", f"{k}.{i}>{j}", "L", f"{k}.{i}", f"{(k + 1) % 4}.{j}", D[0], None) for k in range(4) for i in range(9) for j in range(9)]
+    nodes, edges = graph.reachable(spark.createDataFrame(rows, EDGE), spark.createDataFrame([("t", "0.0")], "tenant_id string, id string"))
+    assert nodes.count() == 36 and edges.count() == len(rows) and sum(df.count() for df in written) == len(rows) + 36
