@@ -24,6 +24,21 @@ def test_matching_pairs(spark, threshold):
     assert sorted(got) == want
 
 
+def test_matching_pairs_of_frequent_names(spark, monkeypatch):
+    """A name with many keys is the work of several tasks, in lists of bounded length, and no pair is lost or listed twice."""
+    monkeypatch.setattr(text, "KEYS", 16, raising=False)
+    monkeypatch.setattr(text, "AT_ONCE", 3, raising=False)
+    names = ["a b", "a c", "d e"]
+    rows = [(k, "x", names[min(k % 8, 2)]) for k in range(400)] + [(7, "x", "a b"), (7, "x", "a c"), (None, "x", "d f"), (None, "x", "a b")]
+    pairs = text.matching_pairs(spark.createDataFrame(rows, "k int, by string, name string"), "k", "name", ["by"], 0.5)
+    own = [(k, set(n.split())) for k, _, n in rows if k is not None]
+    want = sorted((a, b) for a, x in own for b, y in own if a < b and x & y)
+    got = pairs.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.k_a, r.k_b) for r in got) == want
+    tasks = [r.task for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) < 0.6 * len(tasks)
+
+
 def test_most_similar_between(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 7)
     rng = np.random.default_rng(3)
