@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def _field(text: Column, name: str, value: str = r"(\S+)") -> Column:
     return F.regexp_extract(text, rf"(?i){name}:\s*{value}", 1)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there or fields of the result are taken."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def relationship(response: Column) -> Column:
     """struct(relationship, contribution, confidence, justification, parse_status). Without a known relationship the
     parse fails and the pair has none; an unknown confidence is LOW."""
@@ -66,21 +73,26 @@ def artifacts(response: Column) -> Column:
         names = F.regexp_extract_all(block, F.lit(pattern), F.lit(1))
         values = F.regexp_extract_all(block, F.lit(pattern), F.lit(2))
         pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x: ~x["k"].isin(*reserved))
-        keys = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
-        last = F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(pairs, lambda x: x["k"] == k), -1)["v"].alias("v")))
+
+        def last(pairs: Column) -> Column:
+            keys = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
+            return F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter(pairs, lambda x: x["k"] == k), -1)["v"].alias("v")))
+
         return F.struct(
             text(block, "ARTIFACT_NAME").alias("name"),
             F.upper(_field(block, "ARTIFACT_TYPE")).alias("type"),
             unless_none(text(block, "FREQUENCY")).alias("frequency"),
             unless_none(text(block, "OWNER_ROLE")).alias("owner_role"),
             text(block, "DESCRIPTION").alias("description"),
-            F.map_from_entries(last).alias("properties"),
+            F.map_from_entries(_once(pairs, last)).alias("properties"),
         )
 
-    blocks = F.transform(F.split(response, r"\n\s*---\s*\n?"), lambda x: block_of(trim_all(x)))
+    # What names no type cannot be valid, so the rest of it is not looked at.
+    named = F.filter(F.split(response, r"\n\s*---\s*\n?"), lambda x: F.upper(_field(x, "ARTIFACT_TYPE")).isin(*ARTIFACT_TYPES))
+    blocks = F.transform(F.transform(named, trim_all), block_of)
     good = F.filter(blocks, lambda x: (x["name"] != "") & x["type"].isin(*ARTIFACT_TYPES))
-    status = F.when(F.size(good) > 0, "OK").when(response.rlike(r"(?i)ARTIFACTS:\s*NONE"), "NONE").otherwise("PARSE_FAIL")
-    return F.struct(good.alias("artifacts"), status.alias("parse_status"))
+    status = lambda good: F.when(F.size(good) > 0, "OK").when(response.rlike(r"(?i)ARTIFACTS:\s*NONE"), "NONE").otherwise("PARSE_FAIL")
+    return _once(good, lambda good: F.struct(good.alias("artifacts"), status(good).alias("parse_status")))
 
 
 def requirement(response: Column) -> Column:

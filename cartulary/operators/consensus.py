@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.functions.numeric import round_n
@@ -96,56 +95,82 @@ def vote_aggregation(feedback: DataFrame) -> DataFrame:
 ARTIFACT = "name string, type string, frequency string, owner_role string, description string, properties map<string,string>"
 
 
+#: White space of every script.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def artifact_consensus(votes: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Groups the artifacts that voters name for a control (control_id, vote_key, parse_status, artifacts).
 
-    Votes in order of key; an artifact joins the first group whose first member's normal name overlaps enough, else it
-    opens one. The order decides, so a control's votes are worked through together; a control has a panel's few votes.
-    A group's confidence is its voters over all of the control's votes, failed ones included.
+    Votes in order of key, which tells a control's votes apart; an artifact joins the first group whose first member's
+    normal name overlaps enough, else it opens one. A group's confidence is its voters over all of the control's votes,
+    failed ones included.
+
+    Groups are only ever added behind, so all artifacts of a control with the same words end where the first of them does:
+    these are summed up first, and only the different sets of words of a control are gone through in order. An artifact
+    without words is a group of its own.
     """
+    named = votes.select("control_id", "vote_key", F.posexplode_outer(F.when(F.col("parse_status") == "OK", F.col("artifacts"))).alias("pos", "a"))
+    fields = ("name", "type", "frequency", "owner_role", "description")
+    at = F.struct("vote_key", "pos")
+    own = named.select(
+        "control_id", "vote_key", "pos", _words(F.col("a")["name"]).alias("words"), *[F.col("a")[f].alias(f) for f in fields],
+        F.sort_array(F.map_entries(F.col("a")["properties"])).alias("properties"),
+    )
+    alone = (F.col("words") == "") if threshold <= 1 else F.lit(True)
+    # A field's own place goes with it: the first filled one of a group need not be of the first artifact.
+    first = {f: F.when(F.col(f) != "", F.struct("at", F.col(f).alias("value"))) for f in ("name", "frequency", "owner_role")}
+    first["description"] = F.when(F.col("description") != "", F.struct(-F.octet_length("description"), "at", F.col("description").alias("value")))
+    least = [F.min(f).alias(f) for f in first]
+    like = own.withColumn("at", at).withColumns(first).groupBy("control_id", "words", F.when(alone, F.col("at")).alias("alone"), "type", "properties").agg(
+        F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("n_votes"), F.count("pos").alias("n"), *least,
+        F.collect_set("vote_key").alias("voters"), F.min("at").alias("at"),
+    )
+    some = F.when(F.col("n") > 0, F.struct("at", "words", "type", "properties", "n", "name", "frequency", "owner_role", "description", "voters"))
+    control = like.groupBy("control_id").agg(F.sum("n_votes").alias("n_votes"), F.sort_array(F.collect_list(some)).alias("like"))
+    homes = _homes(F.transform("like", lambda x: x["words"]), threshold)
+    placed = control.select("control_id", "n_votes", F.explode(F.arrays_zip(homes.alias("home"), F.col("like"))).alias("x")).select("control_id", "n_votes", "x.home", "x.like.*")
+    group = ["control_id", "home"]
+    placed = placed.withColumn("of_type", F.sum("n").over(Window.partitionBy(*group, "type")))
+    priority = F.coalesce(F.nullif(_rank("type", ARTIFACT_TYPES), F.lit(0)), F.lit(len(ARTIFACT_TYPES) + 1))
+    rolled = placed.groupBy(*group).agg(
+        F.first("n_votes").alias("n_votes"), *least, F.min_by("type", F.struct(-F.col("of_type"), priority)).alias("type"),
+        F.sort_array(F.collect_list(F.struct("at", "properties"))).alias("properties"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("voters")))).alias("voters"),
+    )
+    share = F.size("voters") / F.col("n_votes")
+    return rolled.select(
+        "control_id", *[F.coalesce(F.col(f)["value"], F.lit("")).alias(f) if f in first else F.col(f) for f in fields], _first_values(F.col("properties")).alias("properties"),
+        "voters", (F.floor(share * 1000 + 0.5) / 1000).alias("confidence"), (F.size("voters") == F.col("n_votes")).alias("unanimous"),
+    )
+
+
+def _words(name: F.Column) -> F.Column:
+    """The different words of the normal name, in order, as one text; a leading article is none."""
+    name = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), SPACE + r"+\z", "")
+    name = F.regexp_replace(name, rf"\.+\z|\A{SPACE}+", "")
+    name = F.regexp_replace(name, rf"\A(the|a|an)({SPACE}+|\z)", "")
+    words = F.filter(F.split(name, SPACE + "+"), lambda w: w != "")
+    return F.array_join(F.sort_array(F.array_distinct(words)), " ")
+
+
+def _homes(words: F.Column, threshold: float) -> F.Column:
+    """For each of some names' words the number of the group that it joins or opens, gone through in order."""
+    none = F.struct(F.array().cast("array<array<string>>").alias("heads"), F.array().cast("array<int>").alias("homes"))
+
+    def met(head: F.Column, own: F.Column) -> F.Column:
+        return (F.size(own) > 0) & (F.size(head) > 0) & (F.size(F.array_intersect(head, own)) / F.nullif(F.least(F.size(head), F.size(own)), F.lit(0)) >= threshold)
+
+    def placed(sofar: F.Column, words: F.Column) -> F.Column:
+        own = F.filter(F.split(words, " "), lambda w: w != "")
+        home = F.array_position(F.transform(sofar["heads"], lambda h: F.coalesce(met(h, own), F.lit(False))), True).cast("int")
+        opened = F.struct(F.array_append(sofar["heads"], own).alias("heads"), F.array_append(sofar["homes"], F.size(sofar["heads"]) + 1).alias("homes"))
+        return F.when(home == 0, opened).otherwise(F.struct(sofar["heads"].alias("heads"), F.array_append(sofar["homes"], home).alias("homes")))
+
+    return F.aggregate(words, none, placed, lambda sofar: sofar["homes"])
+
 
-    def grouped(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vote_key", kind="stable")
-        groups: list[dict] = []
-        for r in rows[rows.parse_status == "OK"].itertuples():
-            for a in r.artifacts if r.artifacts is not None else []:
-                own = set(_normal(a["name"]).split())
-                home = next((g for g in groups if own and g["tokens"] and len(own & g["tokens"]) / min(len(own), len(g["tokens"])) >= threshold), None)
-                if home is None:
-                    home = {"tokens": own, "members": []}
-                    groups.append(home)
-                home["members"].append((r.vote_key, a))
-        out = [_rolled_up(g["members"], len(rows)) | {"control_id": rows.control_id.iloc[0]} for g in groups]
-        out.sort(key=lambda x: (-x["confidence"], x["name"]))
-        names = ["control_id", "name", "type", "frequency", "owner_role", "description", "properties", "voters", "confidence", "unanimous"]
-        return pd.DataFrame(out, columns=names)
-
-    schema = f"control_id string, {ARTIFACT}, voters array<string>, confidence double, unanimous boolean"
-    return votes.select("control_id", "vote_key", "parse_status", "artifacts").groupBy("control_id").applyInPandas(grouped, schema)
-
-
-def _normal(name: str) -> str:
-    words = (name or "").lower().strip().rstrip(".").split()
-    return " ".join(words[1:] if words and words[0] in ("the", "a", "an") else words)
-
-
-def _rolled_up(members: list[tuple[str, dict]], n_votes: int) -> dict:
-    """One artifact of a group: the commonest type (ties by priority), the first filled fields, the longest description."""
-    voters = sorted({k for k, _ in members})
-    types = [a["type"] for _, a in members]
-    first = lambda field: next((a[field] for _, a in members if a[field]), "")
-    properties: dict[str, str] = {}
-    for _, a in members:
-        for k, v in dict(a["properties"] or {}).items():
-            properties.setdefault(k, v)
-    return {
-        "name": first("name"),
-        "type": min(set(types), key=lambda t: (-types.count(t), ARTIFACT_TYPES.index(t))),
-        "frequency": first("frequency"),
-        "owner_role": first("owner_role"),
-        "description": max((a["description"] or "" for _, a in members), key=lambda d: len(d.encode())),
-        "properties": properties,
-        "voters": voters,
-        "confidence": int(len(voters) / n_votes * 1000 + 0.5) / 1000,
-        "unanimous": len(voters) == n_votes,
-    }
+def _first_values(properties: F.Column) -> F.Column:
+    """One map of some (at, properties) in order: of each key the first value."""
+    entries = F.flatten(F.transform(F.filter(properties, lambda x: x["properties"].isNotNull()), lambda x: x["properties"]))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(entries, lambda e: e["key"] == k), F.lit(0))["value"]))
