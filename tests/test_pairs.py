@@ -39,6 +39,28 @@ def test_matching_pairs_of_frequent_names(spark, monkeypatch):
     assert max(tasks.count(t) for t in set(tasks)) < 0.6 * len(tasks)
 
 
+def test_matching_pairs_send_keys_not_pairs(spark, monkeypatch):
+    """Four times the keys of frequent names are sixteen times the pairs, but what is shuffled grows with the keys."""
+    monkeypatch.setattr(text, "KEYS", 16, raising=False)
+    monkeypatch.setattr(text, "AT_ONCE", 4, raising=False)
+    sc, none = spark.sparkContext._jsc.sc(), spark._jvm.java.util.ArrayList()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    sent = []
+    for size in (1000, 4000):
+        names = [("a b", "a c", "d e", "d a")[k % 4] for k in range(size)]
+        before = shuffled()
+        n = text.matching_pairs(spark.createDataFrame([(k, "x", x) for k, x in enumerate(names)], "k int, by string, name string"), "k", "name", ["by"], 0.5).count()
+        sent.append(shuffled() - before)
+        met = [sum(bool({*x.split()} & {*y.split()}) for y in names[:4]) * size // 4 for x in names]
+        assert n == (sum(met) - size) // 2
+    assert 0 < sent[1] < 8 * sent[0], sent
+
+
 def test_most_similar_between(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 7)
     rng = np.random.default_rng(3)
